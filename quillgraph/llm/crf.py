@@ -33,6 +33,8 @@ class Crf:
         for i, (a, b) in enumerate(zip(features, labels, strict=True)):
             f[: len(b), i], y[: len(b), i] = a, b
         mask = np.arange(longest)[:, None] < n
+        valid = np.flatnonzero(mask.ravel())
+        columns = [f[:, :, c].ravel()[valid] for c in range(f.shape[2])]
         emit, move, begin = np.zeros((n_features, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
         m = [np.zeros_like(x) for x in (emit, move, begin)]
         v = [np.zeros_like(x) for x in (emit, move, begin)]
@@ -52,7 +54,8 @@ class Crf:
             grad = [l2 * count * x for x in (emit, move, begin)]
             d = (p - want).reshape(-1, n_labels)
             for c in range(f.shape[2]):
-                np.add.at(grad[0], f[:, :, c].ravel(), d)
+                for k in range(n_labels):
+                    grad[0][:, k] += np.bincount(columns[c], weights=d[valid, k], minlength=n_features)
             for t in range(1, longest):
                 on = mask[t]
                 if not on.any():

@@ -2,8 +2,8 @@
 
 Every level splits all open nodes at once. A node is split along the dimension
 in which its documents spread widest, relative to the whole table; its cut is
-the weighted median of that dimension, found by counting weights in 4096 bins at
-a time, refined inside the bin that holds the median. Rows equal in the
+the weighted median of that dimension, found by counting weights in 32768 bins
+at a time, refined inside the bin that holds the median. Rows equal in the
 dimension are told apart by a hash, so a value that a third of all rows share is
 cut where the weights ask for it.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import documents_of, materialize
 
 #: A dimension's bits in the composite key; a hash fills the rest.
-COORD_BITS, TIE_BITS, STEP = 24, 36, 12
+COORD_BITS, TIE_BITS, STEP = 15, 45, 15
 #: A cut this close to its share of the node's weight needs no further counting.
 TOLERANCE = 0.0005
 DIMENSIONS = ("source", "lang", "length", "id")
@@ -44,86 +44,90 @@ def kd_leaves(meta: DataFrame, dimensions: tuple[str, ...], leaves: int, toleran
     """meta with `leaf`, 0 to leaves - 1.
 
     meta: size (weight, >= 1), tie (a hash), and one column per dimension with
-    values from 0 to 2**COORD_BITS - 1. On the driver there is one row per tree
-    node, twice the leaves at most.
+    values from 0 to 2**COORD_BITS - 1. What is broadcast, and what reaches the
+    driver, is one row per tree node: twice the leaves at most.
     """
     out = meta.withColumn("node", F.lit(0).cast("bigint"))
     # node -> (first leaf, leaves below it)
     nodes = {0: (0, leaves)}
-    done: dict[int, int] = {0: 0} if leaves == 1 else {}
     spread = meta.agg(*[f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("lo", F.min), ("hi", F.max))]).first()
     width = {d: max(1, (spread[f"hi_{d}"] or 0) - (spread[f"lo_{d}"] or 0)) for d in dimensions}
     while open_nodes := {k: v for k, v in nodes.items() if v[1] > 1}:
-        inside = F.col("node").isin(list(open_nodes)) if len(open_nodes) < len(nodes) else F.lit(True)
         extent = {
             r["node"]: r
-            for r in out.filter(inside)
-            .groupBy("node")
-            .agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(f"x_{d}") for d in dimensions])
-            .collect()
+            for r in out.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(d) - F.min(d)).alias(f"x_{d}") for d in dimensions]).collect()
+            if r["node"] in open_nodes
         }
         along = {k: max(dimensions, key=lambda d: (extent[k][f"x_{d}"] / width[d], -dimensions.index(d))) for k in extent}
-        cuts = _medians(out, along, {k: extent[k]["w"] for k in extent}, open_nodes, tolerance)
-        step, after = F.col("node"), {k: v for k, v in nodes.items() if k not in open_nodes}
+        cuts = _medians(out, dimensions, along, {k: extent[k]["w"] for k in extent}, open_nodes, tolerance)
+        after, steps = {k: v for k, v in nodes.items() if k not in open_nodes}, []
         fresh = max(nodes) + 1
-        # a node without rows (an empty table) needs no cut
         for k, (first, n) in open_nodes.items():
             left, right, fresh = fresh, fresh + 1, fresh + 2
             after[left], after[right] = (first, n // 2), (first + n // 2, n - n // 2)
-            if k in cuts:
-                step = F.when(F.col("node") == k, F.when(_key(along[k]) < F.lit(cuts[k]), left).otherwise(right)).otherwise(step)
+            if k in cuts:  # a node without rows needs no cut
+                steps.append((k, dimensions.index(along[k]), cuts[k], left, right))
         nodes = after
-        out = out.withColumn("node", step.cast("bigint"))
-    leaf = F.lit(None).cast("int")
-    for k, (first, _) in nodes.items():
-        leaf = F.when(F.col("node") == k, first).otherwise(leaf)
-    return out.withColumn("leaf", leaf.cast("int")).drop("node")
+        if steps:
+            table = _small(out, steps, "node", "dim", "cut", "lower", "upper")
+            out = (
+                out.join(F.broadcast(table), "node", "left")
+                .withColumn("node", F.when(F.col("cut").isNull(), F.col("node")).when(_key(dimensions) < F.col("cut"), F.col("lower")).otherwise(F.col("upper")))
+                .drop("dim", "cut", "lower", "upper")
+            )
+            out = materialize(out, "nodes")  # narrow rows; else every level would carry the plans of those before
+    names = _small(out, [(k, first) for k, (first, _) in nodes.items()], "node", "leaf")
+    return out.join(F.broadcast(names), "node").drop("node").withColumn("leaf", F.col("leaf").cast("int"))
+
+
+def _small(like: DataFrame, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
+    return like.sparkSession.sql(f"select * from values {values} as t({', '.join(names)})")
 
 
-def _key(dimension: str):
-    return F.shiftleft(F.col(dimension).cast("bigint"), TIE_BITS) + F.col("tie")
+def _key(dimensions: tuple[str, ...]):
+    """The composite key along the dimension whose number is in `dim`."""
+    value = F.col(dimensions[-1])
+    for i, d in enumerate(dimensions[:-1]):
+        value = F.when(F.col("dim") == i, F.col(d)).otherwise(value)
+    return F.shiftleft(value.cast("bigint"), TIE_BITS) + F.col("tie")
 
 
-def _medians(rows: DataFrame, along: dict[int, str], weight: dict[int, int], parts: dict, tolerance: float) -> dict[int, int]:
+def _medians(rows: DataFrame, dimensions: tuple[str, ...], along: dict[int, str], weight: dict[int, int], parts: dict, tolerance: float) -> dict[int, int]:
     """For each node the smallest key of its right part."""
     bits = COORD_BITS + TIE_BITS
     # node -> (bin's start, weight before the bin, weight wanted on the left)
-    state = {k: (0, 0, weight[k] * (parts[k][1] // 2) / parts[k][1]) for k in along}
+    state = {k: (0, 0, weight[k] * (parts[k][1] // 2) // parts[k][1]) for k in along}
     cuts: dict[int, int] = {}
     while bits and state:
         shift = bits - STEP
-        key = F.lit(None).cast("bigint")
-        start = F.lit(None).cast("bigint")
-        for k, (lo, _, _) in state.items():
-            key = F.when(F.col("node") == k, _key(along[k])).otherwise(key)
-            start = F.when(F.col("node") == k, F.lit(lo)).otherwise(start)
+        table = _small(rows, [(k, dimensions.index(along[k]), lo, goal - before) for k, (lo, before, goal) in state.items()], "node", "dim", "start", "want")
         bins = (
-            rows.withColumn("_key", key)
-            .withColumn("_bin", F.shiftright(F.col("_key") - start, shift))
-            .filter(F.col("_bin").between(0, 2**STEP - 1))
-            .groupBy("node", "_bin")
+            rows.select("node", "size", "tie", *dimensions)
+            .join(F.broadcast(table), "node")
+            .withColumn("bin", F.shiftright(_key(dimensions) - F.col("start"), shift))
+            .filter(F.col("bin").between(0, 2**STEP - 1))
+            .groupBy("node", "want", "bin")
             .agg(F.sum("size").alias("w"))
         )
-        # at most 4096 bins a node reach this window; one row a node reaches the driver
-        w = Window.partitionBy("node").orderBy("_bin")
-        below = F.sum("w").over(w) - F.col("w")
-        want = F.lit(None).cast("double")
-        for k, (_, before, goal) in state.items():
-            want = F.when(F.col("node") == k, F.lit(float(goal - before))).otherwise(want)
+        # at most 2**STEP bins a node reach this window; one row a node reaches the driver
+        below = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) - F.col("w")
         found = (
-            bins.withColumn("_below", below)
-            .filter(F.col("_below") < want)
+            bins.withColumn("below", below)
+            .filter(F.col("below") < F.col("want"))
             .groupBy("node")
-            .agg(F.max_by(F.struct("_bin", "_below", "w"), "_bin").alias("b"))
+            .agg(F.max_by(F.struct("bin", "below", "w"), "bin").alias("b"))
             .collect()
         )
+        for k in set(state) - {r["node"] for r in found}:
+            cuts[k] = state.pop(k)[0]  # nothing is wanted on the left
         for r in found:
             k, b = r["node"], r["b"]
             lo, before, goal = state.pop(k)
-            before, lo = before + b["_below"], lo + (b["_bin"] << shift)
-            if abs(goal - before) <= tolerance * weight[k] or (shift == 0 and goal - before < b["w"] / 2):
+            before, lo = before + b["below"], lo + (b["bin"] << shift)
+            if goal - before <= tolerance * weight[k] or (shift == 0 and goal - before < b["w"] / 2):
                 cuts[k] = lo
-            elif abs(before + b["w"] - goal) <= tolerance * weight[k] or shift == 0:
+            elif before + b["w"] - goal <= tolerance * weight[k] or shift == 0:
                 cuts[k] = lo + (1 << shift)
             else:
                 state[k] = (lo, before, goal)
