@@ -28,7 +28,7 @@ END_ID = 1
 #: Pieces of a partition; the memory of a packing task is a few MB for that many.
 PARTITION_PIECES = 16_384
 #: Entries of a worker's word cache, after which it starts again.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_200_000
 _TRAILING = ".,!|&%$*#?;:"
 
 
@@ -50,7 +50,8 @@ class WordTokens:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        # all keys' ids in a row, and where each key's begin and how many they are
+        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _add(self, keys: list[str]) -> None:
         letters = [k for k in keys if k.isalpha()]
@@ -62,7 +63,7 @@ class WordTokens:
             )
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
-                self._put(some, np.split(ids, cuts[:-1]))
+                self._put(some, ids, np.diff(cuts, prepend=0))
             else:
                 self._one_by_one(some)
         self._one_by_one([k for k in keys if not k.isalpha()])
@@ -70,12 +71,15 @@ class WordTokens:
     def _one_by_one(self, keys: list[str]) -> None:
         for i in range(0, len(keys), 20_000):
             some = keys[i : i + 20_000]
-            self._put(some, [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self._put(some, np.array([x for y in ids for x in y], np.uint32), np.array([len(x) for x in ids], np.int64))
 
-    def _put(self, keys: list[str], ids: list[np.ndarray]) -> None:
-        for k, x in zip(keys, ids, strict=True):
-            self.number[k] = len(self.ids)
-            self.ids.append(x)
+    def _put(self, keys: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        first = len(self.begin)
+        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
 
     def _keys(self, word: str) -> tuple[str, str]:
         head = word.rstrip(_TRAILING)
@@ -88,22 +92,19 @@ class WordTokens:
     def of_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): text i's ids, end_id last, are ids[starts[i]:starts[i+1]]."""
         codes, words, starts = numbered_words(texts)
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.number) > CACHE_WORDS:
             self.clear()
         pairs = [self._keys(w) for w in words]
         number = self.number
         if missing := {k for p in pairs for k in p if k not in number}:
             self._add(list(missing))
         used = np.array([(number[a], number[b]) for a, b in pairs], np.int64).reshape(-1, 2)
-        heads = [self.ids[i] for i in used[:, 0]]
-        tails = [self.ids[i] for i in used[:, 1]]
-        flat = [x for pair in zip(heads, tails, strict=True) for x in pair]
-        table = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        lengths = np.fromiter((len(a) + len(b) for a, b in zip(heads, tails, strict=True)), np.int64, len(words))
-        begin = np.concatenate([[0], np.cumsum(lengths)])
-        n = lengths[codes] if len(codes) else np.zeros(0, np.int64)
+        # each word is two keys' ids in a row
+        keys = used[codes].ravel()
+        n = self.length[keys]
         at = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.arange(at[-1]) - np.repeat(at[:-1] - begin[codes], n)] if len(n) else np.zeros(0, np.uint32)
+        ids = self.ids[np.arange(at[-1]) - np.repeat(at[:-1] - self.begin[keys], n)]
+        at = at[::2]
         ends = at[starts]
         ids = np.insert(ids, ends[1:], np.uint32(end_id))
         return ids, ends + np.arange(len(ends))
@@ -212,6 +213,18 @@ def _pack_group(group: int, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return out
 
 
+def _repacking(base: int, capacity: int):
+    """Packs a group anew where that needs fewer sequences; its ids follow those of `base` groups."""
+
+    def repack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        new = _pack_group(base + int(key[0]), pdf, capacity)
+        if new["sequence_id"].nunique() < pdf["sequence_id"].nunique():
+            return new
+        return pdf[["uid", "length", "sequence_id", "offset", "fill", "gap"]].assign(gap=0)
+
+    return repack
+
+
 def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 2) -> DataFrame:
     """(uid, sequence_id, offset) for pieces (uid long, length long), 1 <= length <= capacity.
 
@@ -238,17 +251,9 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, rounds: int =
         if not counts["n"] or counts["from"] < 2:
             break
         again = max(1, -(-counts["n"] // PARTITION_PIECES))
-        base = first
-
-        def repack(key: tuple, pdf: pd.DataFrame, base: int = base) -> pd.DataFrame:
-            new = _pack_group(base + int(key[0]), pdf, capacity)
-            if new["sequence_id"].nunique() < pdf["sequence_id"].nunique():
-                return new
-            return pdf[["uid", "length", "sequence_id", "offset", "fill", "gap"]].assign(gap=0)
-
         # a whole sequence goes to one group, so that a group may keep it as it is
         moved = packed.filter(loose).withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(again)))
-        packed = materialize(packed.filter(~loose).unionByName(moved.groupBy("g").applyInPandas(repack, schema)), "repacked")
+        packed = materialize(packed.filter(~loose).unionByName(moved.groupBy("g").applyInPandas(_repacking(first, capacity), schema)), "repacked")
         first += again
     return packed.select("uid", "sequence_id", "offset")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import columns_of, materialize, ship
+from quillgraph.llm.common import columns_of, documents_of, materialize, ship
 from quillgraph.llm.words import chunks, numbered_words, row_of
 
 # The common words whose shares make the word histogram, by language.
@@ -77,8 +77,8 @@ def _repeat_words(codes: np.ndarray, size: int) -> int:
     return int(covered.sum())
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words.
+def document_features(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, lang_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, words, row (that column, else null).
 
     lang_key is the language where its common words are known, else `other`.
     """
@@ -122,9 +122,7 @@ def document_features(docs: DataFrame) -> DataFrame:
                 names=[x.split()[0] for x in schema.split(", ")],
             )
 
-    there = columns_of(docs, doc_id="bigint", text="string", lang="string", **({"row": "bigint"} if "row" in docs.columns else {}))
-    if "row" not in there.columns:
-        there = there.withColumn("row", F.lit(None).cast("bigint"))
+    there = columns_of(docs.withColumnRenamed(row, "row") if row else docs.drop("row"), doc_id="bigint", text="string", lang="string", row="bigint")
     return there.mapInArrow(features, schema)
 
 
@@ -137,14 +135,14 @@ def _distance(p, q):
     return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, x: a + x) / 2)))
 
 
-def quality_verdicts(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def quality_verdicts(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, row: str | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept.
 
-    docs: doc_id, text, lang (and row, which is passed through). Null texts have
-    no words and fail; documents of unknown language are judged by their
+    docs: doc_id, text, lang; `row` names a bigint column that is passed through as
+    row. Null texts have no words and fail; documents of unknown language are judged by their
     characters only; an empty table gives no rows.
     """
-    f = document_features(docs)
+    f = document_features(docs, row)
     base = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     f = materialize(f.withColumn("base_failed", base), "features")
     sums = lambda c, n: F.array(*[F.sum(F.when(~F.col("base_failed"), F.col(c)[i]).otherwise(0)) for i in range(n)])
@@ -163,8 +161,6 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Verdicts are joined by a row number that is written with the documents.
     """
-    from quillgraph.llm.common import documents_of
-
     rows = materialize(documents_of(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
-    good = quality_verdicts(rows).filter("kept").select("row")
+    good = quality_verdicts(rows, row="row").filter("kept").select("row")
     return rows.join(good, "row", "left_semi").drop("row")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,528 @@
+"""The training-data operators against brute force, and on the odd inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import html
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, None)[:5] if len(r) == 4 else r for r in rows], DOCS)
+
+
+def odd(spark):
+    """Null and empty texts, ties, repeated rows, null ids and metadata, a long text, more columns with clashing names."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + rng.choice(["", "", ".", ",\n"]) for _ in range(30_000))
+    body = "The cat sat on the mat, and the dog was by the door.\nIt is for you and it was for me. " * 6
+    rows = [(1, None, "en", "a"), (2, "", "en", None), (3, body, "en", "a"), (3, body, "en", "a"), (4, body, None, "b"), (None, body + " more", "en", "b"), (5, long, "xx", "c"), (6, " \t\n ", "en", "a"), (7, "one", "de", "a"), (8, "é\U0001f600 +1 (555) 010-2233", "fr", "z")]
+    d = frame(spark, rows)
+    from pyspark.sql import functions as F
+
+    for c in ("shard", "size", "tie", "node", "digest", "label", "k1", "row", "kept", "uid", "s", "at", "lines", "hash", "bucket", "word"):
+        d = d.withColumn(c, F.lit("x"))
+    return d
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_pieces_are_the_tokenizers_ids(spark, small):
+    from tokenizers import Tokenizer
+
+    from quillgraph.llm.packing import pack_documents
+
+    tk = Tokenizer.from_file(TOKENIZER)
+    got = defaultdict(dict)
+    rows = pack_documents(small, TOKENIZER).collect()
+    for r in rows:
+        got[r["doc_id"]][r["piece"]] = r
+    for d in small.collect():
+        ids = [*tk.encode(d["text"], add_special_tokens=False).ids, 1]
+        parts = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+        assert [got[d["doc_id"]][i]["length"] for i in range(len(parts))] == [len(p) for p in parts]
+        assert [got[d["doc_id"]][i]["ids_crc32"] for i in range(len(parts))] == [zlib.crc32(np.array(p, "<u4").tobytes()) for p in parts]
+    check_sequences(rows)
+    total = sum(r["length"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) <= 1.05 * -(-total // 4096) + 1
+
+
+def check_sequences(rows):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spans in by.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 4096
+
+
+def test_packing_odd_inputs(spark):
+    from quillgraph.llm.packing import pack_documents, tokenized_pieces
+
+    rows = pack_documents(odd(spark), TOKENIZER).collect()
+    check_sequences(rows)
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows) - 1  # one row is repeated
+    assert [r["length"] for r in rows if r["doc_id"] == 1] == [1]
+    assert pack_documents(odd(spark).limit(0), TOKENIZER).count() == 0
+    with_ids = tokenized_pieces(odd(spark), TOKENIZER, with_ids=True).collect()
+    assert all(len(r["ids"]) == r["length"] for r in with_ids)
+
+
+def test_lower_bounds_never_exceed_an_optimum():
+    from quillgraph.llm.packing import best_fit_decreasing, lower_bound
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        # cut full bins at random: the optimum is the number of bins
+        bins = int(rng.integers(1, 6))
+        x = np.concatenate([np.diff(np.concatenate([[0], np.sort(rng.choice(np.arange(1, 100), rng.integers(0, 4), replace=False)), [100]])) for _ in range(bins)])
+        assert lower_bound(x, 100) == bins
+        where, offset, n = best_fit_decreasing(x, 100)
+        assert n >= bins and max(np.bincount(where, weights=x)) <= 100
+    assert lower_bound(np.array([60] * 7), 100) == 7
+    assert lower_bound(np.array([34] * 4), 100) == 2
+    assert lower_bound(np.array([], int), 100) == 0
+
+
+def test_kd_shards(spark, small):
+    from quillgraph.llm.sharding import shard_documents
+
+    for d in (small, odd(spark)):
+        rows = shard_documents(d, 4).collect()
+        assert len(rows) == d.count()
+        by = defaultdict(list)
+        for r in rows:
+            by[r["shard"]].append(r)
+        assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in by.values())
+        text = {r["doc_id"]: r["text"] for r in d.collect()}
+        for r in rows:
+            t = (text[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(t) + 1, zlib.crc32(t))
+    sizes = Counter()
+    for r in shard_documents(small, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    largest = max(len(r["text"].encode()) for r in small.collect())
+    assert max(sizes.values()) - min(sizes.values()) <= 2.5 * largest
+    assert shard_documents(small.limit(0), 4).count() == 0
+    assert shard_documents(small, None, target_bytes=100_000).agg({"shard": "max"}).first()[0] >= 2
+
+
+def test_kd_shards_split_a_hot_value(spark):
+    from quillgraph.llm.sharding import shard_documents
+
+    d = frame(spark, [(7, "same text", "en", "hot") for _ in range(3)] + [(i, "same text", "en", "hot") for i in range(400)])
+    n = Counter(r["shard"] for r in shard_documents(d, 8).collect())
+    assert max(n.values()) - min(n.values()) <= 4
+
+
+def test_exact_topk(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm.exact_topk import exact_topk
+
+    rng = np.random.default_rng(2)
+    x = {i: (rng.normal(size=8) * 0.3).tolist() for i in range(300)}
+    for i in range(100, 160):
+        x[i] = x[100]  # many equal vectors
+    x[40] = [0.1] * 5  # another length
+    x |= {900: None, 901: [None] + [0.0] * 7, 902: [float("nan")] + [0.0] * 7, 903: [float("inf")] + [0.0] * 7, 904: []}
+    d = spark.createDataFrame(list(x.items()), "vec_id bigint, embedding array<double>").withColumn("block", F.lit(1)).withColumn("v", F.lit(2))
+    good = {i: np.floor(64 * np.array(v)).astype(int) for i, v in x.items() if v and all(e is not None and np.isfinite(e) for e in v)}
+    want = set()
+    for q in (i for i in good if i % 20 == 0):
+        scored = sorted((-int(good[q] @ good[c]), c) for c in good if c != q and len(good[c]) == len(good[q]))[:20]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)}
+    assert {tuple(r) for r in exact_topk(d, F.col("vec_id") % 20 == 0, 20).collect()} == want
+    assert exact_topk(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def plain_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if 13 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return out
+
+
+def test_base_spans_are_the_patterns():
+    from quillgraph.llm.pii import KINDS, base_spans
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choices("a1.2@-+ ()9b\n%0", k=rng.randint(0, 40)))
+        assert sorted((KINDS[k], a, b) for k, a, b in base_spans(text)) == sorted(plain_spans(text)), text
+    for text in ("4111 1111 1111 1111", "x 4111-1111-1111-1112", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.1", "a@b@c.de", "+49 (30) 123-45678 9", "0" * 5000, "a" * 5000 + "@", "1." * 3000):
+        assert sorted((KINDS[k], a, b) for k, a, b in base_spans(text)) == sorted(plain_spans(text)), text[:50]
+
+
+def test_personal_data(spark, small):
+    from quillgraph.llm.pii import labelled_table, personal_data, trained_crf, _sequence_features
+
+    order = ("email", "ip", "card", "phone")
+    for d in (small, odd(spark)):
+        text = defaultdict(set)
+        for r in d.collect():
+            text[r["doc_id"]].add(r["text"])
+        for r in personal_data(d).collect():
+            assert len(text[r["doc_id"]]) == 1
+            spans = sorted(plain_spans(next(iter(text[r["doc_id"]])) or ""), key=lambda s: (order.index(s[0]), s[1]))
+            joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+            assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+            assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[0] == k for s in spans) for k in order]
+            assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+    # held-out accuracy of the CRF
+    crf = trained_crf()
+    right = total = 0
+    for words, labels in labelled_table(200, seed=77):
+        scores = crf.emit[_sequence_features(words)].sum(1)
+        right += int((crf.decoded(scores, np.array([0, len(words)])) == labels).sum())
+        total += len(labels)
+    assert right / total > 0.97
+    d = frame(spark, [(1, "please call (415) 555-2671 today or write to anna (at) example (dot) org soon", "en", "a")])
+    spans = personal_data(d).first()["spans"]
+    assert "phone:12:26" in spans and "email:" in spans
+
+
+def test_viterbi_finds_the_best_path():
+    from itertools import product
+
+    from quillgraph.llm.crf import Crf
+
+    rng = np.random.default_rng(5)
+    crf = Crf(np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    lengths = [4, 0, 1, 5, 2]
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    scores = rng.normal(size=(starts[-1], 3))
+    got = crf.decoded(scores, starts)
+    for i, n in enumerate(lengths):
+        s = scores[starts[i] : starts[i + 1]]
+        value = lambda p, s=s: crf.begin[p[0]] + sum(s[t, x] for t, x in enumerate(p)) + sum(crf.move[a, b] for a, b in zip(p, p[1:]))
+        if n:
+            assert tuple(got[starts[i] : starts[i + 1]]) == max(product(range(3), repeat=n), key=value)
+
+
+def plain_line_dedup(docs):
+    """First occurrences in the order of id (all texts differ here)."""
+    def chunks(text):
+        lines = text.split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
+        cut = [0] + [i for i in range(1, len(lines)) if (h[i - 1] * 31 + (h[i - 2] if i > 1 else 0) * 17) % 3 == 0]
+        return [lines[a:b] for a, b in zip(cut, [*cut[1:], len(lines)])]
+
+    seen, out = set(), {}
+    for i, text in sorted(docs.items()):
+        kept = []
+        for c in chunks(text):
+            key = "\n".join(c)
+            if sum(x.strip(" \t\r\x0b\x0c") != "" for x in c) >= 2:
+                if key in seen:
+                    continue
+                seen.add(key)
+            kept += c
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_line_dedup(spark, small):
+    from quillgraph.llm.line_dedup import dedup_lines, without_repeated_lines
+
+    rng = random.Random(6)
+    shared = ["\n".join(f"line {rng.random()} of a passage" for _ in range(12)) for _ in range(5)]
+    docs = {i: "\n".join(rng.choice([f"own {rng.random()}", rng.choice(shared), "\n"]) for _ in range(rng.randint(1, 9))) for i in range(60)}
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(frame(spark, [(i, t, "en", "a") for i, t in docs.items()])).collect()}
+    assert got == plain_line_dedup(docs)
+    assert sum(len(t) for t in got.values()) < 0.7 * sum(len(t) for t in docs.values())
+    rows = dedup_lines(odd(spark)).collect()
+    assert len(rows) == 10 and {r["text"] for r in rows if r["doc_id"] in (1, 2)} == {""}
+    assert len({r["text"] for r in rows if r["doc_id"] == 3}) == 1
+    assert dedup_lines(small.limit(0)).count() == 0
+    assert without_repeated_lines(small).columns == small.columns
+
+
+def test_html(spark):
+    from quillgraph.llm.html_main import extract_main, labelled_pages, leaf_blocks, trained_crf, _features
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in extract_main(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        h = r["html"]
+        article = h[h.index("<article>") + 9 : h.index("</article>")]
+        parts = [" ".join(html.unescape(re.sub(r"<(?:/?b|br)>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n".join(p for p in parts if p)
+        assert r["n_chars"] == len(r["text"])
+    crf = trained_crf()
+    right = total = 0
+    for page, main in labelled_pages(80, seed=4):
+        b = leaf_blocks(page)
+        if b:
+            k = crf.decoded(crf.emit[_features(b)].sum(1), np.array([0, len(b)]))
+            right += sum(int(x) == int(t in main) for (t, _, _), x in zip(b, k))
+            total += len(b)
+    assert right / total > 0.98
+    page = "<nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>One  two\nthree <b>four</b> five six seven.<p>Not <i>closed &lt;b&gt;<script>var x='</p>'</script> text here, of some length.</article><div class='comments'><p>Nice post, thank you so much!</p></div><footer>&copy; 2020</footer>"
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p" * 2000), (5, "u", "<!-- open " + "x" * 1000), (6, "u", "<script>never closed")]
+    got = {r["page_id"]: r["text"] for r in extract_main(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[1] == "A & B\nOne two three four five six seven.\nNot closed <b> text here, of some length."
+    assert got[2] == got[3] == got[5] == got[6] == ""
+
+
+def water(sizes):
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, full, target = sum(sizes.values()), set(), {}
+    while True:
+        rest = total - sum(3 * sizes[s] for s in full)
+        w = sum(weight[s] for s in names if s not in full)
+        target = {s: 3.0 * sizes[s] if s in full else rest * weight[s] / w for s in names}
+        new = {s for s in names if s not in full and target[s] > 3 * sizes[s]}
+        if not new:
+            return target
+        full |= new
+
+
+def test_mixing(spark, small):
+    from quillgraph.llm.mixing import mixed_documents, taken_words
+
+    rng = random.Random(7)
+    skewed = [(i, " ".join("w" for _ in range(rng.randint(0, 900))), "en", rng.choices(["a", "b", "c", None, ""], [90, 5, 3, 1, 1])[0]) for i in range(300)]
+    for d in (small, frame(spark, skewed), odd(spark)):
+        rows = taken_words(d).collect()
+        text = {(r["doc_id"], r["source"]): r["text"] for r in d.collect()}
+        sizes = defaultdict(int)
+        for r in rows:
+            assert r["size"] == len(WORD.findall(text[r["doc_id"], r["source"]] or ""))
+            sizes[r["source"]] += r["size"]
+        target = water(sizes)
+        taken = defaultdict(int)
+        for r in rows:
+            assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - target[s]) <= 1 for s in sizes), (taken, target)
+        assert sorted(map(str, rows)) == sorted(map(str, taken_words(d).collect()))
+        words = defaultdict(int)
+        for r in mixed_documents(d).collect():
+            words[r["source"]] += len(WORD.findall(r["text"]))
+        assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
+    assert taken_words(small.limit(0)).count() == 0
+
+
+def test_permutations():
+    from quillgraph.llm.mixing import permuted
+
+    for n in (1, 2, 3, 5, 64, 100, 1000):
+        i = np.arange(n)
+        p = permuted(i, np.full(n, n), np.full(n, 12345, np.uint64))
+        assert sorted(p) == list(range(n))
+        assert (permuted(p, np.full(n, n), np.full(n, 12345, np.uint64), inverse=True) == i).all()
+
+
+def plain_quality(text):
+    words = WORD.findall(text or "")
+    tri = Counter(zip(words, words[1:], words[2:]))
+    repeat = {j for i, t in enumerate(zip(words, words[1:], words[2:])) if tri[t] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeat)
+
+
+def test_quality(spark, small):
+    from quillgraph.llm.quality import kept_documents, quality_verdicts
+
+    for d in (small, odd(spark)):
+        text = {(r["doc_id"], (r["text"] or "")[:20]): r["text"] for r in d.collect()}
+        by_id = {r["doc_id"]: r["text"] for r in d.collect()}
+        assert len(text) >= len(by_id)
+        for r in quality_verdicts(d).collect():
+            want = plain_quality(by_id[r["doc_id"]])
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+            assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+            assert not (r["base_failed"] and r["kept"])
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    verdicts = [r for r in quality_verdicts(small).collect() if not r["base_failed"]]
+    assert all(r["kept"] for r in verdicts if labels.get(r["doc_id"]) == 1)
+    assert kept_documents(small).columns == small.columns
+    assert quality_verdicts(small.limit(0)).count() == 0
+
+
+def test_distances(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm.quality import _distance
+
+    rng = np.random.default_rng(8)
+    p, q = rng.integers(0, 9, 12), rng.integers(0, 9, 12)
+    got = spark.createDataFrame([(p.tolist(), q.tolist())], "p array<bigint>, q array<bigint>").select(_distance(F.col("p"), F.col("q"))).first()[0]
+    a, b = p / p.sum(), q / q.sum()
+    m = (a + b) / 2
+    kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v)
+    assert got == pytest.approx(((kl(a) + kl(b)) / 2) ** 0.5)
+
+
+def plain_span_dedup(docs, min_sentences=2, min_words=16):
+    from quillgraph.llm.span_dedup import sentences_of
+
+    seen, gone = {}, defaultdict(set)
+    for i, text in sorted(docs.items()):
+        s, _ = sentences_of(text)
+        kept = [k for k, x in enumerate(s) if x.strip()]
+        for a in range(len(kept)):
+            b = a + min_sentences
+            while b <= len(kept) and sum(len(s[k].split()) for k in kept[a:b]) < min_words:
+                b += 1
+            if b > len(kept):
+                break
+            key = tuple(" ".join(s[k].split()) for k in kept[a:b])
+            if seen.setdefault(key, (i, a)) != (i, a):
+                gone[i] |= set(kept[a:b])
+    return {i: len(gone[i]) for i in docs}
+
+
+def test_span_dedup(spark, small):
+    from quillgraph.llm.span_dedup import dedup_spans, sentences_of
+
+    rng = random.Random(9)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(rng.randint(3, 12))).capitalize() + "."
+    passages = [" ".join(sentence() for _ in range(8)) for _ in range(4)]
+    docs = {i: " ".join(rng.choice([sentence(), sentence(), rng.choice(passages)]) + rng.choice(["", "\n"]) for _ in range(rng.randint(1, 12))) for i in range(80)}
+    rows = dedup_spans(frame(spark, [(i, t, "en", "a") for i, t in docs.items()])).collect()
+    want = plain_span_dedup(docs)
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == want
+    for r in rows:
+        spans = [tuple(map(int, x.split(":"))) for x in r["removed"].split(",") if x]
+        assert len(spans) == r["n_removed"]
+        for a, b in spans:
+            assert docs[r["doc_id"]][a:b] not in r["text"] or docs[r["doc_id"]].count(docs[r["doc_id"]][a:b]) > 1
+    for text in (docs[3], "", "A. B.\n\nC"):
+        s, b = sentences_of(text)
+        assert "".join(x + y for x, y in zip(s, [*b, ""])) == text
+    rows = dedup_spans(odd(spark)).collect()
+    assert len(rows) == 10 and [r["text"] for r in rows if r["doc_id"] == 1] == [""]
+    assert len({r["text"] for r in rows if r["doc_id"] == 3}) == 1
+    assert dedup_spans(small.limit(0)).count() == 0
+
+
+def plain_near(docs, similarity=0.8):
+    """Classes by all pairs of weighted Jaccard similarities."""
+    import pyarrow as pa
+
+    from quillgraph.llm.near_dedup import DF_BUCKETS, inverse_frequencies, weighted_shingles, _word_buckets
+
+    df = Counter()
+    for t in docs.values():
+        df.update(set(WORD.findall(t or "")))
+    counts = np.zeros(DF_BUCKETS, np.int64)
+    for w, n in df.items():
+        counts[int(_word_buckets([w])[0]) % DF_BUCKETS] += n
+    ids = sorted(docs)
+    s, w, st = weighted_shingles(pa.array([docs[i] for i in ids], pa.string()), inverse_frequencies(counts, len(docs)))
+    sets = [dict(zip(s[a:b].tolist(), w[a:b].tolist())) for a, b in zip(st, st[1:])]
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for i in range(len(ids)):
+        for j in range(i):
+            same = docs[ids[i]] == docs[ids[j]] or (not docs[ids[i]] and not docs[ids[j]])
+            a, b = sets[i], sets[j]
+            if not same and a and b and not a.keys().isdisjoint(b):
+                common = sum(min(v, b.get(k, 0)) for k, v in a.items())
+                same = common / (sum(a.values()) + sum(b.values()) - common) >= similarity
+            if same:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+                links += 1
+    return {ids[i]: ids[find(i)] for i in range(len(ids))}
+
+
+def near_docs(seed=10):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 8)))
+    docs, n = {}, 0
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(30, 300))]
+        for c in range(rng.choice([1, 1, 2, 5, 25])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60)) if c else 0):
+                w[rng.randrange(len(w))] = word()
+            docs[n] = " ".join(w)
+            n += 1
+    docs[n] = docs[0]
+    docs[n + 1], docs[n + 2], docs[n + 3], docs[n + 4] = "a b", "a  b", None, ""
+    return docs
+
+
+def test_near_classes(spark, small):
+    from quillgraph.llm.near_dedup import near_classes, one_of_each_class
+
+    docs = near_docs()
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(frame(spark, [(i, t, "en", "a") for i, t in docs.items()])).collect()}
+    assert got == plain_near(docs)
+    rows = near_classes(odd(spark)).collect()
+    assert len(rows) == 10
+    kept = one_of_each_class(odd(spark))
+    assert kept.columns == small.columns and kept.count() < 10
+    assert near_classes(small.limit(0)).count() == 0
+    many = one_of_each_class(frame(spark, [(1, "x y z a b c", "en", "a")] * 3 + [(2, "x y z a b c", "en", "a")]))
+    assert [r["doc_id"] for r in many.collect()] == [1]
+
+
+def test_samples_agree_as_often_as_texts_are_similar():
+    from quillgraph.llm.near_dedup import SAMPLES, consistent_samples
+
+    rng = np.random.default_rng(11)
+    with np.errstate(over="ignore"):
+        ids = rng.integers(0, 2**50, 4000).astype(np.uint64)
+    hits = trials = 0
+    expected = []
+    for _ in range(40):
+        pick = np.sort(rng.choice(ids, 120, replace=False))
+        w = rng.integers(1, 40, 120).astype(float)
+        v = np.where(rng.random(120) < 0.25, w + rng.integers(1, 60, 120), w)
+        expected.append(np.minimum(w, v).sum() / np.maximum(w, v).sum())
+        a = consistent_samples(np.concatenate([pick, pick]), np.concatenate([w, v]), np.array([0, 120, 240]))
+        hits += int((a[0] == a[1]).sum())
+        trials += SAMPLES
+    assert hits / trials == pytest.approx(np.mean(expected), abs=0.04)
+
+
+def test_components(spark):
+    from quillgraph.llm.near_dedup import components
+
+    chain = [(bytes([i]), bytes([i + 1])) for i in range(30)] + [(bytes([100]), bytes([120])), (bytes([120]), bytes([110]))]
+    got = {bytes(r["node"]): bytes(r["label"]) for r in components(spark.createDataFrame(chain, "a binary, b binary")).collect()}
+    assert {got[bytes([i])] for i in range(31)} == {bytes([0])} and got[bytes([110])] == bytes([100])
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+    assert cp.run(spark, SF).count() > n / 4
+    check_sequences(cp.run(spark, SF).collect())
