@@ -60,7 +60,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     several = F.transform(F.filter("chunks", _several), lambda c: F.struct(c.alias("code"), F.xxhash64(text_of(c)).alias("hash")))
     occ = materialize(chunked.select("k1", "k2", F.explode(several).alias("c")).select("k1", "k2", "c.code", "c.hash"), "chunks")
     place = F.struct("k1", "k2", "code")
-    repeated = occ.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("hash", "first")
+    # written, so that the join deals both sides out anew and a frequent chunk's partition can be split
+    repeated = materialize(occ.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("hash", "first"), "hashes")
     again = materialize(occ.join(repeated, "hash"), "repeated")
     # the texts of repeated chunks, for the comparison of bytes
     lists = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("code", "hash", "first")).alias("c"))
