@@ -28,7 +28,7 @@ END_ID = 1
 #: Pieces of a partition; the memory of a packing task is a few MB for that many.
 PARTITION_PIECES = 16_384
 #: Entries of a worker's word cache, after which it starts again.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 900_000
 _TRAILING = ".,!|&%$*#?;:"
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.llm.oracles import ORACLE_SQL  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,18 +86,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_minhash_near_dedup, op2_best_fit_packing, op3_kd_sharding, op4_exact_topk, op5_personal_data, op6_line_dedup, op7_html_main_text, op8_source_mixing, op9_quality_rules, op10_span_dedup, pipeline)
     return {f.__name__: f for f in own}
-
-
-ORACLE_SQL: dict[str, str] = {
-    "op4_exact_topk": """
-        with e as (
-          select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as bigint)) as v
-          from embeddings
-          where embedding is not null and len(embedding) > 0
-            and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-        s as (
-          select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) as bigint) as score
-          from e q join e c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
-        r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank" from s)
-        select query_id, "rank", vec_id, score from r where "rank" <= 20""",
-}

@@ -1,6 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a stop followed by a blank, or at a line's end. From every
+A sentence ends at a stop followed by a blank, or at a line's end; long ones are
+parted at commas. From every
 sentence starts a run: the fewest sentences, MIN_SENTENCES at least, that have
 MIN_WORDS words. Runs are hashed and joined over all documents; where a run has
 occurred before, in document, text and sentence order, all its sentences go.
@@ -23,16 +24,32 @@ from quillgraph.llm.words import chunks, spread
 MIN_SENTENCES = 2
 #: Shorter runs repeat by chance, as stock phrases do.
 MIN_WORDS = 16
-_BREAK = re.compile(r"(?<=[.!?])[ \t\r]+|[ \t\r]*\n\s*")
+#: Longer sentences are parted at their commas, so that a passage holds whole ones.
+LONG_CHARS = 60
+_COMMA = re.compile(r"(?<=,)[ \t\r]+")
+_BREAK = re.compile(r"(?<=[.!?])[ \t\r]++(?:\n\s*+)?|(?<![ \t\r])[ \t\r]*+\n\s*+")
 _BASE = 0x9E3779B97F4A7C15
 
 
 def sentences_of(text: str) -> tuple[list[str], list[str]]:
     """(sentences, breaks): the text is their interleaving; there is one sentence more than breaks, some may be empty."""
+    out, breaks = _cut(text, _BREAK)
+    parts, between = [], []
+    for i, s in enumerate(out):
+        if len(s) > LONG_CHARS and "," in s:
+            p, b = _cut(s, _COMMA)
+            parts += p
+            between += b
+        else:
+            parts.append(s)
+        if i < len(breaks):
+            between.append(breaks[i])
+    return parts, between
+
+
+def _cut(text: str, pattern: re.Pattern) -> tuple[list[str], list[str]]:
     out, breaks, at = [], [], 0
-    for m in _BREAK.finditer(text):
-        if m.start() < at:
-            continue
+    for m in pattern.finditer(text):
         out.append(text[at : m.start()])
         breaks.append(m[0])
         at = m.end()
@@ -55,10 +72,10 @@ def runs_of(sentences: list[str], min_sentences: int, min_words: int) -> tuple[n
     start, end = start[end <= n], end[end <= n]
     # the hash of a run from sums of hashes times powers
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.concatenate([[1], np.full(n, _BASE, np.uint64)]).astype(np.uint64))
+        power, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+        power[1:], back[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64))
+        power, back = np.cumprod(power), np.cumprod(back)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
-        # a power's inverse is a power of the inverse, as odd numbers have one modulo 2**64
-        back = np.cumprod(np.concatenate([[1], np.full(n, pow(_BASE, -1, 2**64), np.uint64)]).astype(np.uint64))
         value = spread((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
     where = np.array(kept, np.int64)
     return where[start], where[end - 1] - where[start] + 1, value.view(np.int64)
@@ -91,10 +108,11 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
             )
 
     runs = materialize(d.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start int, n int, hash bigint"), "runs")
-    twice = runs.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash")
+    # counts and firsts are written, so that a join deals both sides out anew and a frequent run's partition can be split
+    twice = materialize(runs.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash"), "twice")
     repeated = materialize(runs.join(twice, "hash"), "repeated")
     place = F.struct("k1", "k2", "start")
-    first = repeated.groupBy("hash").agg(F.min(place).alias("first"))
+    first = materialize(repeated.groupBy("hash").agg(F.min(place).alias("first")), "first")
     later = repeated.join(first, "hash").filter(place != F.col("first"))
     gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
 

@@ -526,3 +526,20 @@ def test_pipeline(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert cp.run(spark, SF).count() > n / 4
     check_sequences(cp.run(spark, SF).collect())
+
+
+@pytest.mark.parametrize("name", ["op4_exact_topk", "op6_line_dedup", "op9_quality_rules"])
+def test_matches_sql(name, spark):
+    import duckdb
+
+    from quillgraph.llm.queries import ORACLE_SQL, queries
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = c.execute(ORACLE_SQL[name])
+    columns = sorted(d[0] for d in want.description)
+    place = [[d[0] for d in want.description].index(x) for x in columns]
+    got = queries()[name](spark, SF)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(tuple(r[i] for i in place) for r in want.fetchall())
