@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CITE = re.compile(r"\\cite[a-zA-Z]*\*?\s*(?:\[[^\]]*\]\s*){0,2}\{")
@@ -175,22 +176,36 @@ def main_file(files: dict[str, str]) -> str | None:
     return max(tex, key=lambda n: score(n, tex[n]), default=None)
 
 
-@F.pandas_udf("struct<text string, ok boolean, reasons array<string>, raw_len int, clean_len int>")
-def cleaned(raw: pd.Series) -> pd.DataFrame:
+def _cleaned(raw: pd.Series) -> pd.DataFrame:
     rows = [(*clean_sentence(x or ""), len(x or "")) for x in raw]
     return pd.DataFrame([(t, ok, r, n, len(t)) for t, ok, r, n in rows], columns=["text", "ok", "reasons", "raw_len", "clean_len"])
 
 
-@F.pandas_udf("array<struct<sentence string, keys array<string>>>")
-def sentences_with_keys(tex: pd.Series) -> pd.Series:
+def _sentences(tex: pd.Series) -> pd.Series:
     return pd.Series([[{"sentence": s, "keys": k} for s, k in citing_sentences(x or "")] for x in tex])
 
 
-@F.pandas_udf("struct<introduction string, related string>")
-def introduction_and_related(tex: pd.Series) -> pd.DataFrame:
+def _intro(tex: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([intro_and_related(x or "") for x in tex], columns=["introduction", "related"])
 
 
-@F.pandas_udf("array<struct<cite_key string, fields map<string,string>>>")
-def bibliography(tex: pd.Series) -> pd.Series:
+def _bibliography(tex: pd.Series) -> pd.Series:
     return pd.Series([[{"cite_key": k, "fields": f} for k, f in bibitems(x or "") + bibtex_entries(x or "")] for x in tex])
+
+
+# The wrappers are made when called, as their types need a session.
+def cleaned(raw: str | Column) -> Column:
+    """clean_sentence as struct<text, ok, reasons, raw_len, clean_len>."""
+    return F.pandas_udf(_cleaned, "struct<text: string, ok: boolean, reasons: array<string>, raw_len: int, clean_len: int>")(raw)
+
+
+def sentences_with_keys(tex: str | Column) -> Column:
+    return F.pandas_udf(_sentences, "array<struct<sentence: string, keys: array<string>>>")(tex)
+
+
+def introduction_and_related(tex: str | Column) -> Column:
+    return F.pandas_udf(_intro, "struct<introduction: string, related: string>")(tex)
+
+
+def bibliography(tex: str | Column) -> Column:
+    return F.pandas_udf(_bibliography, "array<struct<cite_key: string, fields: map<string,string>>>")(tex)

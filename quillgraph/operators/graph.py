@@ -130,15 +130,15 @@ def evidence_pool(edges: DataFrame, exclude: Column | None = None, allowed: Colu
 def selected_evidence(pool: DataFrame, policy: str, most: int = 3, month: str = "month") -> DataFrame:
     """At most `most` sentences a cited paper: `stride` in graph order, `recent` newest first, `spread` evenly over time."""
     time = [F.col(month).asc_nulls_first(), F.col("src")] if policy != "stride" else [F.col("pos")]
+    if policy not in ("stride", "recent", "spread"):
+        raise ValueError(f"policy {policy!r} is none of stride, recent, spread")
     w = Window.partitionBy("dst")
     p = pool.withColumn("_i", F.row_number().over(w.orderBy(*time)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
     if policy == "recent":
         p = p.withColumn("ord", F.col("_n") - F.col("_i")).filter(F.col("ord") <= most)
-    elif policy in ("stride", "spread"):
+    else:
         step = F.greatest(F.lit(1), F.floor(F.col("_n") / most))
         p = p.filter(F.col("_i") % step == 0).withColumn("ord", F.floor(F.col("_i") / step) + 1).filter(F.col("ord") <= most)
-    else:
-        raise ValueError(f"policy {policy!r} is none of stride, recent, spread")
     return p.withColumn("ord", F.col("ord").cast("bigint")).drop("_i", "_n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def all_queries():
     """(queries, sql), each by name."""
-    from quillgraph.plans import graph, ranking, tables  # noqa: F401
+    from quillgraph.plans import assembly, graph, ranking, tables  # noqa: F401
     from quillgraph.plans.registry import QUERIES, SQL
 
     return QUERIES, SQL

@@ -104,7 +104,7 @@ def u01(t: Tables) -> DataFrame:
 _METRICS = """with g as (select qid, count(*) filter (where is_gold) as n_gold, count(*) filter (where is_gold and ord <= {k}) as hits, min(case when is_gold and ord <= {k} then ord end) as f,
     sum(case when is_gold and ord <= {k} then ln(2) / ln(ord + 1.0) else 0 end) as dcg from ranked group by 1)
     select qid, n_gold, hits, round(hits / {k}, 6) as precision, round(case when n_gold > 0 then hits / n_gold else 0 end, 6) as recall, round(coalesce(1.0 / f, 0), 6) as rr,
-    round(case when n_gold > 0 then dcg / list_sum(list_transform(range(1, cast(least({k}, n_gold) as bigint) + 1), i -> ln(2) / ln(i + 1.0))) else 0 end, 6) as ndcg from g"""
+    round(case when n_gold > 0 then dcg / list_sum(list_transform(range(1, cast(least({k}, n_gold) as bigint) + 1), lambda i: ln(2) / ln(i + 1.0))) else 0 end, 6) as ndcg from g"""
 
 
 @query("m01_m05_window_metrics", _METRICS.format(k=10), "ranked")

@@ -22,7 +22,7 @@ CTES = {
     "indeg": """select dst as id, count(*) as indeg from edges group by 1""",
     "outdeg": """select src as id, count(*) as outdeg from edges group by 1""",
     "deg": """select coalesce(i.id, o.id) as id, cast(coalesce(indeg, 0) as bigint) as indeg, cast(coalesce(outdeg, 0) as bigint) as outdeg from indeg i full join outdeg o on i.id = o.id""",
-    "vec": """select vec_id as id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings""",
+    "vec": """select vec_id as id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings""",
     "win": """select q.id as qid, c.id as cid, cast(row_number() over (partition by q.id order by c.id) - 1 as bigint) as slot,
         case when c.id % 13 = 0 then null else round(coalesce(list_cosine_similarity(q.v, c.v), 0), 9) end as ce,
         round(-list_distance(q.v, c.v), 9) as gat, coalesce(q.label = c.label, false) as is_gold

@@ -13,7 +13,7 @@ from quillgraph.plans.registry import Tables, query
 
 r6 = lambda c: F.round(c, 6)
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), x -> length(x) > 2 and x not in (" + _STOPS + ")))"
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) > 2 and x not in (" + _STOPS + ")))"
 
 
 @query("p01_canonical_id", "select o_orderkey, case when o_orderkey % 2 = 0 then concat('21', lpad(cast(o_orderkey % 12 + 1 as varchar), 2, '0'), '.', lpad(cast(o_orderkey as varchar), 5, '0')) else concat('hep-th/99', lpad(cast(o_orderkey % 12 + 1 as varchar), 2, '0'), lpad(cast(o_orderkey % 1000 as varchar), 3, '0')) end as id from orders")
@@ -168,13 +168,13 @@ def s04(t: Tables) -> DataFrame:
     return upserts.overridden(d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("topic")), d.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic")), ("topic",))
 
 
-@query("s33_unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, x -> x::double * x::double)), 5) as before, 1.0::double as after from embeddings")
+@query("s33_unit_vectors", "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 5) as before, 1.0::double as after from embeddings")
 def s33(t: Tables) -> DataFrame:
     v = t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return v.select("vec_id", F.round(vx.dot(F.col("v"), F.col("v")), 5).alias("before"), F.round(vx.norm(vx.unit(F.col("v"))), 9).alias("after"))
 
 
-@query("s34_topic_vector_sum", "select vec_id, round(2 * list_sum(list_transform(embedding, x -> x::double)), 5) as total from embeddings")
+@query("s34_topic_vector_sum", "select vec_id, round(2 * list_sum(list_transform(embedding, lambda x: x::double)), 5) as total from embeddings")
 def s34(t: Tables) -> DataFrame:
     v = F.col("v")
     return t.read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", F.round(F.aggregate(vx.added(v, v), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

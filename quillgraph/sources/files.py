@@ -7,7 +7,7 @@ import re
 import tarfile
 from collections.abc import Iterator
 from html import unescape
-from xml.sax.saxutils import quoteattr
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -85,7 +85,15 @@ def content_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 _GEXF_TAG = re.compile(r"<(node|edge)\b([^>]*?)(/>|>(.*?)</\1>)", re.S)
-_GEXF_ATTR = re.compile(r'(\w+)="([^"]*)"')
+_GEXF_ATTR = re.compile(r"""(\w+)=(?:"([^"]*)"|'([^']*)')""")
+
+
+def _quoted(x: str) -> str:
+    return '"' + escape(x, {'"': "&quot;", "\n": "&#10;"}) + '"'
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    return {k: unescape(a or b) for k, a, b in _GEXF_ATTR.findall(tag)}
 
 
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -95,11 +103,12 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for content in b["content"]:
                 text, rows = bytes(content).decode(), []
-                names = {m[1]: m[2] for m in re.finditer(r'<attribute id="([^"]*)" title="([^"]*)"', text)}
+                defined = [_attributes(x) for x in re.findall(r"<attribute\b[^>]*>", text)]
+                names = {d.get("id", ""): d.get("title", "") for d in defined}
                 for i, m in enumerate(_GEXF_TAG.finditer(text)):
-                    a = {k: unescape(v) for k, v in _GEXF_ATTR.findall(m[2])}
-                    for f, v in re.findall(r'<attvalue for="([^"]*)" value="([^"]*)"', m[4] or ""):
-                        a[names.get(f, f)] = unescape(v)
+                    a = _attributes(m[2])
+                    for x in map(_attributes, re.findall(r"<attvalue\b[^>]*>", m[4] or "")):
+                        a[names.get(x.get("for", ""), x.get("for", ""))] = x.get("value", "")
                     rows.append((m[1], i, a))
                 yield pd.DataFrame(rows, columns=["kind", "pos", "a"])
 
@@ -118,10 +127,10 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     with open(part, "w", encoding="utf-8") as f:
         f.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf version="1.2"><graph defaultedgetype="directed">\n<attributes class="edge"><attribute id="0" title="sentence" type="string"/></attributes>\n<nodes>\n')
         for r in nodes.orderBy("id").toLocalIterator():
-            f.write(f"<node id={quoteattr(str(r['id']))} label={quoteattr(str(r['title']))}/>\n")
+            f.write(f"<node id={_quoted(str(r['id']))} label={_quoted(str(r['title']))}/>\n")
         f.write("</nodes>\n<edges>\n")
         for i, r in enumerate(edges.orderBy("pos", "src", "dst").toLocalIterator()):
-            f.write(f'<edge id="{i}" source={quoteattr(str(r["src"]))} target={quoteattr(str(r["dst"]))}><attvalues><attvalue for="0" value={quoteattr(r["sentence"] or "")}/></attvalues></edge>\n')
+            f.write(f'<edge id="{i}" source={_quoted(str(r["src"]))} target={_quoted(str(r["dst"]))}><attvalues><attvalue for="0" value={_quoted(r["sentence"] or "")}/></attvalues></edge>\n')
         f.write("</edges>\n</graph></gexf>\n")
     os.replace(part, path)
 
