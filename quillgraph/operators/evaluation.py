@@ -138,3 +138,63 @@ def paired_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0) -> Da
 def subsample_spread(values: DataFrame, n: int) -> DataFrame:
     """(mean, se) of a sample of n without replacement, in closed form."""
     return values.agg(F.avg("x").alias("mean"), F.sqrt(F.var_samp("x") / n * (1 - n / F.count(F.lit(1)))).alias("se"))
+
+
+def citation_rollup(outputs: DataFrame) -> DataFrame:
+    """One row for outputs (qid, cite, id, title): shares that are non-empty, name the id, match the title, hold a keyword; mean of distinct ones and greatest pairwise Jaccard."""
+    from quillgraph.functions import text as tx
+    from quillgraph.functions.vectors import jaccard
+
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    own = F.collect_list(F.struct("cite", tx.token_set(F.col("cite")).alias("s")))
+    per = outputs.groupBy("qid").agg(
+        share(F.trim("cite") != "").alias("non_empty"), share(F.col("cite").contains(F.col("id"))).alias("id_present"), share(tx.cite_matches_title(F.col("cite"), F.col("title"))).alias("title_consistent"), share(tx.title_keyword_hit(F.col("cite"), F.col("title"))).alias("keyword"), (F.countDistinct("cite") / F.count(F.lit(1))).alias("distinct"), own.alias("l"),
+    )
+    # a query's outputs are few
+    most = F.coalesce(F.array_max(F.flatten(F.transform("l", lambda a, i: F.transform(F.filter("l", lambda b, j: j > i), lambda b: jaccard(a["s"], b["s"]))))), F.lit(0.0))
+    return per.withColumn("max_jaccard", most).agg(*[F.avg(c).alias(c) for c in ("non_empty", "id_present", "title_consistent", "keyword", "distinct", "max_jaccard")])
+
+
+def pair_cosines(vectors: DataFrame, pairs: int, seed: int = 0) -> DataFrame:
+    """One row of statistics over cosines of about `pairs` random pairs: every vector meets others of its hash bucket."""
+    from quillgraph.functions.vectors import cosine
+
+    n = max(1, vectors.count())
+    buckets = max(1, n * n // (2 * max(1, pairs)))
+    b = vectors.select("id", "emb", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("b"))
+    c = b.join(b.select("b", F.col("id").alias("id2"), F.col("emb").alias("emb2")), "b").filter("id < id2").select(cosine(F.col("emb"), F.col("emb2")).alias("c"))
+    p = lambda q: F.percentile("c", F.lit(q))
+    return c.agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+
+
+def grouped_recall(scored: DataFrame, k: int) -> DataFrame:
+    """(recall): mean over groups with positives of the recall at k; scored (qid, slot, score, y)."""
+    d = _ranked(scored)
+    g = d.groupBy("qid").agg(F.sum("y").alias("p"), F.sum(F.when(F.col("_rn") <= k, F.col("y")).otherwise(0)).alias("h")).filter("p > 0")
+    return g.agg(F.avg(F.col("h") / F.col("p")).alias("recall"))
+
+
+def recipe_comparison(ranked: DataFrame, gold: DataFrame, base: str, k: int, top: int = 400) -> DataFrame:
+    """ranked (recipe, qid, cid, ord): per recipe the mean recall at k, the mean Jaccard of its top with the base recipe's, and the lead in recall."""
+    g = gold.select("qid", "cid").distinct()
+    n = g.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    hit = ranked.filter(F.col("ord") <= k).join(g, ["qid", "cid"], "left_semi").groupBy("recipe", "qid").agg(F.count(F.lit(1)).alias("h"))
+    all_pairs = ranked.select("recipe", "qid").distinct().join(n, "qid").join(hit, ["recipe", "qid"], "left")
+    recall = all_pairs.groupBy("recipe").agg(F.avg(F.coalesce("h", F.lit(0)) / F.col("n")).alias("recall"))
+    t = ranked.filter(F.col("ord") <= top)
+    own, b = t.groupBy("recipe", "qid").agg(F.collect_set("cid").alias("s")), t.filter(F.col("recipe") == base).groupBy("qid").agg(F.collect_set("cid").alias("b"))
+    j = own.join(b, "qid").groupBy("recipe").agg(F.avg(F.size(F.array_intersect("s", "b")) / F.size(F.array_union("s", "b"))).alias("overlap"))
+    lead = recall.filter(F.col("recipe") == base).select(F.col("recall").alias("r0"))
+    return recall.join(j, "recipe").crossJoin(lead).select("recipe", "recall", "overlap", (F.col("recall") - F.col("r0")).alias("delta"))
+
+
+def rank_features(scored: DataFrame) -> DataFrame:
+    """Features of a second head on (qid, cid, score, ce, cl): the scores, the rank, 1 / (1 + rank), ce - cl."""
+    d = scored.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "cid")) - 1)
+    return d.withColumn("inverse_rank", 1.0 / (1.0 + F.col("i"))).withColumn("ce_lead", F.col("ce") - F.col("cl"))
+
+
+def window_blend(window: DataFrame, blend: float) -> DataFrame:
+    """score = logit + blend * (1 - slot / window size)."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
+    return window.withColumn("score", F.col("logit") + blend * (1 - F.col("slot") / n))

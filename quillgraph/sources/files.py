@@ -153,3 +153,18 @@ def latest_records(records: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Of each key the record that comes last in the order."""
     w = Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order])
     return records.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+
+def oai_records(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata rows of staged OAI record files (JSON lines with one `xml` string each); an empty update date falls back to the creation date."""
+    x = spark.read.schema("xml string").json(path)
+    get = lambda tag: F.nullif(F.trim(F.regexp_extract("xml", rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
+    names = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<author>(.*?)</author>"), 1), lambda a: F.trim(F.concat_ws(" ", F.nullif(F.regexp_extract(a, r"<forenames>(.*?)</forenames>", 1), F.lit("")), F.regexp_extract(a, r"<keyname>(.*?)</keyname>", 1))))
+    return x.select(get("id").alias("id"), F.array_join(names, ", ").alias("authors"), get("title").alias("title"), get("categories").alias("categories"), get("abstract").alias("abstract"), F.coalesce(get("updated"), get("created")).alias("update_date")).filter("id is not null")
+
+
+def read_id_list(spark: SparkSession, path: str, keys: tuple[str, ...] = ("ids", "source_ids", "test_sources")) -> DataFrame:
+    """(id) of JSON files that hold a list, or an object with one of the keys."""
+    t = spark.read.text(path, wholetext=True)
+    lists = [F.from_json("value", "array<string>"), *[F.from_json("value", f"{k} array<string>")[k] for k in keys]]
+    return t.select(F.explode(F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists])).alias("id"))

@@ -198,3 +198,41 @@ def test_stream_merge(spark, tmp_path):
     incoming = spark.readStream.schema("id string, title string, update_date string, seq bigint").json(str(tmp_path / "in"))
     merge_stream(spark, incoming, table, str(tmp_path / "check")).awaitTermination()
     assert {r["id"]: r["title"] for r in spark.read.parquet(f"{table}/v=1").collect()} == {"1": "new", "2": "more"}
+
+
+def test_text_parsers(spark):
+    assert tx.normalised_queries(["c"], "a| b |a", ["z"]) == ["c", "a", "b"] and tx.normalised_queries(None, " ", ["z"]) == ["z"]
+    assert value(spark, tx.chosen_ids(F.lit("1. first\n[3] third\nuse x2 too\n1."), F.array(F.lit("x1"), F.lit("x2"), F.lit("x3")), 3)) == ["x1", "x3", "x2"]
+    assert value(spark, tx.concepts(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a")))) == "a, b"
+    assert value(spark, tx.without_macro(F.lit("x \\todo{y} z \\href{u}{v}"), "todo")) == "x z \\href{u}{v}"
+    assert value(spark, tx.plausible_title(F.lit("Attention is all you need"))) and not value(spark, tx.plausible_title(F.lit("In Proceedings of the conference 2020")))
+    assert value(spark, tx.plain_tex(F.lit("a~b \\url{x} c % d"))) == "a b c"
+    c = F.array(F.struct(F.lit("i").alias("id"), F.lit("T").alias("title"), F.lit("abc").alias("abstract")))
+    assert value(spark, tx.candidate_list(c, "rank")) == "1. [i] T (rank 1)" and value(spark, tx.candidate_list(c, "abstract", 2)).endswith("ab")
+    assert "Rank the 5" in value(spark, tx.prompt("rank", F.lit("t"), F.lit("a"), tx.candidate_list(c), 5))
+
+
+def test_rollups(spark):
+    from quillgraph.operators import evaluation as ev
+
+    o = spark.createDataFrame([("q", "See graph nets [1]", "[1]", "Graph nets"), ("q", "", "[2]", "Other things")], "qid string, cite string, id string, title string")
+    r = ev.citation_rollup(o).first()
+    assert r["non_empty"] == 0.5 and r["id_present"] == 0.5 and r["distinct"] == 1.0
+    v = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id int, emb array<double>")
+    assert ev.pair_cosines(v, 200).first()["n"] > 50
+    s = spark.createDataFrame([("q", 0, 0.9, 1), ("q", 1, 0.8, 0), ("q", 2, 0.1, 1)], "qid string, slot int, score double, y int")
+    assert ev.grouped_recall(s, 2).first()["recall"] == 0.5
+    ranked = spark.createDataFrame([("a", "q", 1, 1), ("a", "q", 2, 2), ("b", "q", 2, 1), ("b", "q", 1, 2)], "recipe string, qid string, cid int, ord int")
+    out = {x["recipe"]: x for x in ev.recipe_comparison(ranked, spark.createDataFrame([("q", 1)], "qid string, cid int"), "a", 1).collect()}
+    assert out["b"]["delta"] == -1.0 and out["b"]["overlap"] == 1.0
+
+
+def test_record_sources(spark, tmp_path):
+    import json
+
+    (tmp_path / "oai.jsonl").write_text(json.dumps({"xml": "<r><id>1</id><created>2020-01-02</created><updated></updated><authors><author><keyname>Doe</keyname><forenames>Ann</forenames></author></authors><title>T</title></r>"}))
+    r = files.oai_records(spark, str(tmp_path / "oai.jsonl")).first()
+    assert (r["authors"], r["update_date"]) == ("Ann Doe", "2020-01-02")
+    (tmp_path / "ids.json").write_text('{"test_sources": ["a", "b"]}')
+    (tmp_path / "ids2.json").write_text('["c"]')
+    assert {x["id"] for x in files.read_id_list(spark, str(tmp_path / "ids*.json")).collect()} == {"a", "b", "c"}
