@@ -229,21 +229,43 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for links (a, b): the least node of each node's component.
 
-    Least labels spread over the links; each round also follows labels to their
-    labels, so the rounds are about the logarithm of the longest path.
+    Every node points to its least neighbour, pointers are followed twice, and
+    the links between what they point to are the next round's; a star is one
+    node after a round. The tables' files follow the number of links.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    n = max(8, links.count() // 200_000)
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("other"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "other").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        step = materialize(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.filter(F.col("old") != F.col("label")).isEmpty():
+        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        point = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")).coalesce(n), "point")
+        far = point.select(F.col("node").alias("to"), F.col("to").alias("to2"))
+        two = point.join(far, "to").select("node", F.col("to2").alias("to"))
+        point = materialize(two.join(far, "to").select("node", F.col("to2").alias("to")).coalesce(n), "points")
+        if labels is None:
+            labels = point.withColumnRenamed("to", "label")
+        else:
+            step = point.select(F.col("node").alias("label"), "to")
+            labels = materialize(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(n), "labels")
+        ends = [point.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")) for c in ("a", "b")]
+        between = links.join(ends[0], "a").join(ends[1], "b").filter("a2 != b2")
+        links = materialize(between.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct().coalesce(n), "links")
+        if links.isEmpty():
             return labels
 
 
+def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels after more links: only the classes that they join are looked at again."""
+    if labels is None:
+        return components(found)
+    of = labels.select(F.col("node"), F.col("label"))
+    j = found.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+    pairs = materialize(j.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "label-links")
+    joined = components(pairs.filter("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    fresh = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of, "node", "left_anti").select("node", F.col("node").alias("label"))
+    step = joined.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialize(of.unionByName(fresh).join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class_id (least doc_id of the class), class_digest, n_links.
 
@@ -258,7 +280,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # equal texts have equal samples: any of them stands for the text
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
     members = texts.select("digest", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # sums by bucket are written, so that a join deals both sides out anew and a large bucket can be split
+    buckets = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = materialize(members.join(buckets, "bucket"), "members")
     in_buckets = members.select("digest").distinct()
     samples = materialize(texts.select("digest", "doc_id", "samples").join(in_buckets, "digest", "left_semi"), "samples")
@@ -277,6 +300,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             m = m.withColumn("label", F.col("digest"))
         # a bucket's leader differs from round to round
         leader = m.groupBy("bucket").agg(F.min_by(F.struct("digest", "label"), F.xxhash64(F.lit(round_no), "bucket", "digest")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
+        leader = materialize(leader.select("bucket", "lead"), "leaders")
         stars = m.filter(F.col("n") > SMALL_BUCKET).join(leader, "bucket").filter(F.col("label") != F.col("lead.label"))
         pairs = stars.select(F.least("digest", "lead.digest").alias("a"), F.greatest("digest", "lead.digest").alias("b"))
         if round_no == 0:  # small buckets are read whole at once
@@ -294,7 +318,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if found.isEmpty():
             break
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = _relabelled(labels, found)
     base = signed.select("doc_id", "digest")
     if links is None:
         out = base.withColumn("class_digest", F.col("digest")).withColumn("n_links", F.lit(0).cast("bigint"))
@@ -302,7 +326,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
         named = labels.select(F.col("node").alias("digest"), F.col("label").alias("class_digest")).join(ends, "digest", "left")
         out = base.join(named, "digest", "left").select("doc_id", "digest", F.coalesce("class_digest", "digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    least = out.groupBy("class_digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    out = materialize(out, "classes")
+    least = materialize(out.groupBy("class_digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
     return out.join(least, "class_digest").select("doc_id", "digest", "class_id", "class_digest", "class_size", "n_links")
 
 
