@@ -202,7 +202,7 @@ def j16(t: Tables) -> DataFrame:
     return t.edges.select("src", "dst").join(l, ["src", "dst"]).groupBy(F.col("src").alias("qid")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("gold"))
 
 
-@query("g18_expansion_similarity", "with s as (select c.id, max(list_cosine_similarity(c.v, p.v)) as s from vec c join vec p on p.id % 20 = 0 group by 1) select n.id, round(coalesce(s.s, -1), 6) as sim from nodes n left join s on s.id = n.id", "nodes", "vec")
+@query("g18_expansion_similarity", "with s as (select c.id, round(max(list_cosine_similarity(c.v, p.v)), 9) as s from vec c join vec p on p.id % 20 = 0 group by 1) select n.id, round(coalesce(s.s, -1), 6) as sim from nodes n left join s on s.id = n.id", "nodes", "vec")
 def g18(t: Tables) -> DataFrame:
     v = t.vec.select("id", F.col("v").alias("emb"))
     s = universe.prototype_scores(v, v.filter("id % 20 = 0").select("emb"))
