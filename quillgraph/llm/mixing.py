@@ -11,8 +11,6 @@ indices, a new one for each pass. Blocks and documents meet by block index.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window

@@ -28,7 +28,9 @@ END_ID = 1
 #: Pieces of a partition; the memory of a packing task is a few MB for that many.
 PARTITION_PIECES = 16_384
 #: Entries of a worker's word cache, after which it starts again.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 500_000
+#: Text tokenised at once; what a step needs for it is about 30 times as large.
+CHUNK_BYTES = 2_000_000
 _TRAILING = ".,!|&%$*#?;:"
 
 
@@ -131,7 +133,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
-        for b in chunks(batches):
+        for b in chunks(batches, size=CHUNK_BYTES):
             ids, starts = tokens.of_texts(b.column("text"), end_id)
             n = np.diff(starts)
             count = -(-n // capacity)

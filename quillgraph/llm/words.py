@@ -9,16 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about CHUNK_BYTES of text."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes of text."""
     for b in batches:
         if not b.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // CHUNK_BYTES
+        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // size
         cuts = np.flatnonzero(np.diff(part)) + 1
         for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
             yield b.slice(i, j - i)
