@@ -10,9 +10,11 @@ Candidates are verified by the exact weighted Jaccard similarity of their whole
 texts. Verified links join texts into classes.
 
 A band's bucket of up to SMALL_BUCKET texts gives all its pairs. A larger one
-gives stars: each text with a leader drawn at random for the bucket; in further
-rounds with new leaders only texts of other classes than the leader's are held
-against it.
+gives stars first: each text with a leader drawn at random for the bucket; in
+further rounds with new leaders only texts of other classes than the leader's are
+held against it. Stars only join classes cheaply: at the end the samples of all
+texts of a bucket that are still of different classes are compared, and close
+pairs verified, cell by cell, so that the classes are those of all pairs that share a band.
 """
 
 from __future__ import annotations
@@ -35,10 +37,13 @@ SAMPLES = BANDS * BAND_ROWS
 #: Hash buckets of the document-frequency table; its size bounds what is broadcast.
 DF_BUCKETS = 1 << 17
 SMALL_BUCKET = 8
+#: Rounds of stars before the rest of each larger bucket is compared whole.
 ROUNDS = 4
 #: Pairs whose samples agree less are not read: with 48 samples a pair at 0.8 does so once in 10^5.
 LEAST_AGREEMENT = 26
 _BLOCK = 32_768
+#: Texts a side in a cell of a larger bucket's comparison.
+_CELL = 512
 _SHINGLE_BITS, _IDF_BITS = 42, 8
 
 
@@ -266,6 +271,114 @@ def _relabelled(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return materialize(of.unionByName(fresh).join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
+def links_between_classes(members: DataFrame, samples: DataFrame, texts: DataFrame, labels: DataFrame | None, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Verified links (a, b) that join all classes with a close pair in a larger bucket.
+
+    members: bucket, digest, n. In each bucket the texts outside its largest
+    class are held against all its texts, in cells of about _CELL by _CELL texts.
+    Pairs stay inside their cell, which gives links for its own classes only; a
+    pair is held in the first bucket that it shares.
+    """
+    ship(members.sparkSession)
+    broadcast = members.sparkSession.sparkContext.broadcast(idf)
+    m = members.filter(F.col("n") > SMALL_BUCKET).select("bucket", "digest")
+    if labels is not None:
+        m = m.join(labels.select(F.col("node").alias("digest"), "label"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    else:
+        m = m.withColumn("label", F.col("digest"))
+    m = materialize(m, "labelled")
+    sizes = m.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.sum("c").alias("all"), F.max("c").alias("c"))
+    cells = lambda n: F.ceil(n / F.lit(_CELL)).cast("int")
+    sizes = sizes.filter(F.col("all") > F.col("c")).select("bucket", "most", cells(F.col("all") - F.col("c")).alias("ni"), cells(F.col("all")).alias("nj"))
+    m = m.join(materialize(sizes, "bucket-classes"), "bucket").withColumn("loose", F.col("label") != F.col("most"))
+    at = lambda n: F.pmod(F.xxhash64("bucket", "digest"), F.col(n).cast("bigint")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    names = ["bucket", "digest", "label", "loose"]
+    rows = m.filter("loose").select(*names, F.lit(0).alias("side"), at("ni").alias("i"), every("nj").alias("j"))
+    cols = m.select(*names, F.lit(1).alias("side"), every("ni").alias("i"), at("nj").alias("j"))
+    held = materialize(rows.unionByName(cols), "cells").join(samples.select("digest", "samples", "bands"), "digest")
+
+    def candidates(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows x and y of close pairs of different classes, their agreement, and the classes' numbers."""
+        side, loose = t.column("side").to_numpy(), t.column("loose").to_numpy(zero_copy_only=False)
+        s = t.column("samples").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        number = lambda c: t.column(c).combine_chunks().dictionary_encode().indices.to_numpy()
+        label, digest = number("label"), np.array(t.column("digest").to_pylist(), object)
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        agree = np.zeros((len(x), len(y)), np.uint8)
+        for k in range(SAMPLES):
+            agree += s[x, k][:, None] == s[y, k][None, :]
+        a, b = np.nonzero((agree >= LEAST_AGREEMENT) & (label[x][:, None] != label[y][None, :]))
+        agree, a, b = agree[a, b], x[a], y[b]
+        same = bands[a] == bands[b]
+        here = bands[a, same.argmax(1)] == t.column("bucket")[0].as_py()
+        # two loose texts meet twice
+        here &= ~loose[b] | (digest[a] < digest[b]).astype(bool)
+        return a[here], b[here], agree[here], label
+
+    def of_interest(t: pa.Table) -> pa.Table:
+        x, y, _, _ = candidates(t)
+        return t.take(pa.array(np.unique(np.concatenate([x, y])))).combine_chunks()
+
+    def linked(t: pa.Table) -> pa.Table:
+        x, y, agree, label = candidates(t)
+        shingle, weight, starts = weighted_shingles(t.column("text").combine_chunks(), broadcast.value)
+        total = np.array([weight[a:b].sum() for a, b in zip(starts, starts[1:])])
+
+        def similar(i: int, js: np.ndarray) -> np.ndarray:
+            p, w = shingle[starts[i] : starts[i + 1]], weight[starts[i] : starts[i + 1]]
+            q = np.concatenate([shingle[starts[j] : starts[j + 1]] for j in js])
+            v = np.concatenate([weight[starts[j] : starts[j + 1]] for j in js])
+            place = np.minimum(np.searchsorted(p, q), len(p) - 1)
+            v = np.where(p[place] == q, np.minimum(v, w[place]), 0.0)
+            common = np.add.reduceat(v, np.concatenate([[0], np.cumsum(np.diff(starts)[js])[:-1]]))
+            return common / (total[i] + total[js] - common) >= similarity - 1e-9
+
+        a, b = [], []
+        label = label.copy()
+        order = np.lexsort((-agree.astype(int), x))
+        x, y = x[order], y[order]
+        for some in np.split(np.arange(len(x)), np.flatnonzero(np.diff(x)) + 1) if len(x) else []:
+            i = x[some[0]]
+            # the closest first, as a link spares the other texts of its class
+            for js in (y[some[:1]], y[some[1:]]):
+                js = js[label[js] != label[i]]
+                for j in js[similar(i, js)] if len(js) else []:
+                    if label[j] != label[i]:
+                        a.append(i)
+                        b.append(j)
+                        label[label == label[j]] = label[i]
+        digest = t.column("digest").combine_chunks()
+        return pa.table({"a": digest.take(pa.array(a, pa.int64())), "b": digest.take(pa.array(b, pa.int64()))})
+
+    def by_cell(of_cell):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, last = [], None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), b.num_rows]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if parts and tuple(key[lo]) != last:
+                        yield from of_cell(pa.Table.from_batches(parts)).to_batches()
+                        parts = []
+                    parts.append(b.slice(lo, hi - lo))
+                    last = tuple(key[lo])
+            if parts:
+                yield from of_cell(pa.Table.from_batches(parts)).to_batches()
+
+        return run
+
+    sorted_cells = lambda d: d.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    # texts travel only to the cells where they have a pair
+    close = materialize(sorted_cells(held).mapInArrow(by_cell(of_interest), held.schema), "close")
+    found = sorted_cells(close.join(texts, "digest")).mapInArrow(by_cell(linked), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest, class_id (least doc_id of the class), class_digest, n_links.
 
@@ -284,7 +397,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     members = materialize(members.join(buckets, "bucket"), "members")
     in_buckets = members.select("digest").distinct()
-    samples = materialize(texts.select("digest", "doc_id", "samples").join(in_buckets, "digest", "left_semi"), "samples")
+    samples = materialize(texts.select("digest", "doc_id", "samples", "bands").join(in_buckets, "digest", "left_semi"), "samples")
     # the text of one document of each class
     wanted = samples.select(F.col("doc_id").alias("id2"), F.col("digest").alias("digest2"))
     read = d.join(wanted, (d["digest"] == F.col("digest2")) & d["doc_id"].eqNullSafe(F.col("id2"))).select("digest", "text")
@@ -319,6 +432,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             break
         links = found if links is None else links.unionByName(found)
         labels = _relabelled(labels, found)
+    # what no leader has joined: the texts of other classes in each larger bucket, all of them
+    found = materialize(links_between_classes(members, samples, read, labels, idf, similarity), "found")
+    if not found.isEmpty():
+        links = found if links is None else links.unionByName(found)
+        labels = _relabelled(labels, found)
     base = signed.select("doc_id", "digest")
     if links is None:
         out = base.withColumn("class_digest", F.col("digest")).withColumn("n_links", F.lit(0).cast("bigint"))

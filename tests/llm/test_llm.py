@@ -543,3 +543,22 @@ def test_matches_sql(name, spark):
     got = queries()[name](spark, SF)
     assert sorted(got.columns) == columns
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(tuple(r[i] for i in place) for r in want.fetchall())
+
+
+def test_near_copies_inside_a_large_family(spark):
+    """Texts on one template fill the bands' buckets; each has one near copy, which no leader need ever be."""
+    from quillgraph.llm.near_dedup import near_classes
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(5, 9)))
+    template = [word() for _ in range(390)]
+    docs = {}
+    for i in range(120):
+        own = [word() for _ in range(12)]
+        docs[2 * i] = " ".join(template + own)
+        own[3], own[6] = word(), word()
+        docs[2 * i + 1] = " ".join(template + own)
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(frame(spark, [(i, t, "en", "a") for i, t in docs.items()])).collect()}
+    want = plain_near(docs)
+    assert len(set(want.values())) == 120
+    assert got == want
