@@ -74,7 +74,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillgraph.llm.span_dedup import dedup_spans
 
-    return dedup_spans(_table(spark, sf_dir, "documents"))
+    return dedup_spans(_table(spark, sf_dir, "documents"), both_ends=True)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

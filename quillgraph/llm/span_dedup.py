@@ -3,7 +3,9 @@
 A sentence ends at a stop followed by a blank, or at a line's end; long ones are
 parted at commas. From every
 sentence starts a run: the fewest sentences, MIN_SENTENCES at least, that have
-MIN_WORDS words. Runs are hashed and joined over all documents; where a run has
+MIN_WORDS words; with both_ends, as in the query, such a run also ends at every
+sentence, so that a repeated passage's last sentences are covered like its first.
+Runs are hashed and joined over all documents; where a run has
 occurred before, in document, text and sentence order, all its sentences go.
 """
 
@@ -57,8 +59,8 @@ def _cut(text: str, pattern: re.Pattern) -> tuple[list[str], list[str]]:
     return out, breaks
 
 
-def runs_of(sentences: list[str], min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, hash) of each sentence's run, for those that have one."""
+def runs_of(sentences: list[str], min_sentences: int, min_words: int, both_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash) of the run from each sentence, for those that have one; both_ends: and of the run up to each."""
     kept = [i for i, s in enumerate(sentences) if s.strip()]
     if len(kept) < min_sentences:
         z = np.zeros(0, np.int64)
@@ -70,6 +72,11 @@ def runs_of(sentences: list[str], min_sentences: int, min_words: int) -> tuple[n
     start = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + min_words), start + min_sentences)
     start, end = start[end <= n], end[end <= n]
+    if both_ends:
+        last = np.arange(1, n + 1)
+        begin = np.minimum(np.searchsorted(total, total[1:] - min_words, "right") - 1, last - min_sentences)
+        run = np.unique(np.concatenate([start * (n + 1) + end, (begin * (n + 1) + last)[begin >= 0]]))
+        start, end = run // (n + 1), run % (n + 1)
     # the hash of a run from sums of hashes times powers
     with np.errstate(over="ignore"):
         power, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
@@ -81,13 +88,16 @@ def runs_of(sentences: list[str], min_sentences: int, min_words: int) -> tuple[n
     return where[start], where[end - 1] - where[start] + 1, value.view(np.int64)
 
 
-def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
     """doc_id, text, n_sentences, n_removed, removed (start:end of removed sentences, comma-joined).
 
     One row per document. First occurrences are in the order of doc_id, text hash
     and sentence. Null and empty texts have no sentences and stay (a null one
     becomes empty). Rows equal in id and text are one document and lose the same
-    sentences. Runs that a text repeats itself also go.
+    sentences. Runs that a text repeats itself also go. both_ends: runs that end at
+    each sentence count besides those that start there, so that every sentence of a
+    repeated run of min_sentences and min_words goes; else those after the last start
+    of a run may stay.
     """
     ship(docs.sparkSession)
     d = keyed(documents_of(docs).select("doc_id", "text"))
@@ -96,7 +106,7 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
         for b in chunks(batches):
             row, start, length, value = [], [], [], []
             for i, text in enumerate(b.column("text")):
-                s, n, h = runs_of(sentences_of(text.as_py() or "")[0], min_sentences, min_words)
+                s, n, h = runs_of(sentences_of(text.as_py() or "")[0], min_sentences, min_words, both_ends)
                 row.append(np.full(len(s), i))
                 start.append(s)
                 length.append(n)

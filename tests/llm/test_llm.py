@@ -562,3 +562,26 @@ def test_near_copies_inside_a_large_family(spark):
     want = plain_near(docs)
     assert len(set(want.values())) == 120
     assert got == want
+
+
+def test_span_query_removes_a_passages_last_sentences(spark, tmp_path):
+    from quillgraph.llm.queries import queries
+    from quillgraph.llm.span_dedup import runs_of
+
+    rng = random.Random(13)
+    for _ in range(200):
+        s = [" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 12))]
+        kept = [i for i, x in enumerate(s) if x]
+        n = [len(s[i].split()) for i in kept]
+        enough = lambda a, b: b - a >= 2 and sum(n[a:b]) >= 16
+        runs = [(a, b) for a in range(len(kept)) for b in range(a + 1, len(kept) + 1) if enough(a, b)]
+        want = {(a, b) for a, b in runs if not enough(a, b - 1) or not enough(a + 1, b)}
+        start, length, _ = runs_of(s, 2, 16, both_ends=True)
+        assert sorted((kept[a], kept[b - 1] - kept[a] + 1) for a, b in want) == sorted(zip(start.tolist(), length.tolist()))
+    words = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k)) + "."
+    passage = " ".join([words(10), words(10), words(3)])
+    docs = [(i, f"{words(9)} {passage} {words(9)}", "en", "a") for i in (1, 2)]
+    frame(spark, docs).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries()["op10_span_dedup"](spark, str(tmp_path)).collect()}
+    assert [rows[i]["n_removed"] for i in (1, 2)] == [0, 3]
+    assert rows[2]["text"] == docs[1][1].replace(passage + " ", "")
