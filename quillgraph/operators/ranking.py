@@ -171,3 +171,37 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return weighted.select("term", "doc", part.alias("part")).join(q, "term").groupBy("qid", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_terms"))
+
+
+def bm25_before(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, doc, score, rank): the top k of all documents of months before the query's, other than the query itself.
+
+    docs (doc, month, terms array), queries (qid, month, terms array). Document
+    counts, frequencies and the mean length are those of a query's eligible
+    documents. Documents without a term of the query score zero and fill the
+    list by id. A null month is never eligible; a query's terms count once each.
+    """
+    d = docs.select("doc", "month", "terms", F.size("terms").alias("len"))
+    q = queries.select("qid", F.col("month").alias("cutoff"), F.array_distinct("terms").alias("terms"))
+    cutoffs = q.select("cutoff").distinct()
+    before = F.col("month") < F.col("cutoff")
+    # sums by month first, so that the joins on months are between small tables
+    months = d.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("len"))
+    stats = months.join(cutoffs, before).groupBy("cutoff").agg(F.sum("n").alias("N"), F.sum("len").alias("all_len"))
+    qt = q.select("qid", "cutoff", F.explode("terms").alias("term"))
+    tf = d.select("doc", "month", "len", F.explode("terms").alias("term")).join(qt.select("term").distinct(), "term", "left_semi").groupBy("term", "doc", "month", "len").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term", "month").agg(F.count(F.lit(1)).alias("df")).join(qt.select("term", "cutoff").distinct(), "term").filter(before).groupBy("term", "cutoff").agg(F.sum("df").alias("df"))
+    # a query that is an eligible document by its month counts in nothing
+    own = q.select("qid", "cutoff").join(d.withColumnRenamed("doc", "qid"), "qid").filter(before).select("qid", F.lit(1).alias("own"), F.col("len").alias("own_len"), F.col("terms").alias("own_terms"))
+    hits = tf.join(qt, "term").filter(before & (F.col("doc") != F.col("qid"))).join(df, ["term", "cutoff"]).join(stats, "cutoff").join(own, "qid", "left")
+    n = F.col("N") - F.coalesce("own", F.lit(0))
+    mean = F.greatest((F.col("all_len") - F.coalesce("own_len", F.lit(0))) / n, F.lit(1e-9))
+    freq = F.col("df") - F.coalesce(F.array_contains("own_terms", F.col("term")), F.lit(False)).cast("int")
+    part = F.log(1 + (n - freq + 0.5) / (freq + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
+    scored = hits.groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    # k + 1 of the least ids of a cutoff hold enough documents for every list, whether or not the query and its hits are among them
+    least = d.select("doc", "month").join(cutoffs, before).withColumn("_n", F.row_number().over(Window.partitionBy("cutoff").orderBy("doc"))).filter(F.col("_n") <= k + 1)
+    zero = q.select("qid", "cutoff").join(least, "cutoff").filter(F.col("doc") != F.col("qid")).select("qid", "doc").join(scored, ["qid", "doc"], "left_anti")
+    both = scored.unionByName(zero.withColumn("score", F.lit(0.0)))
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc")
+    return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -236,3 +236,30 @@ def test_record_sources(spark, tmp_path):
     (tmp_path / "ids.json").write_text('{"test_sources": ["a", "b"]}')
     (tmp_path / "ids2.json").write_text('["c"]')
     assert {x["id"] for x in files.read_id_list(spark, str(tmp_path / "ids*.json")).collect()} == {"a", "b", "c"}
+
+
+def test_bm25_before_a_month(spark):
+    import math
+    import random
+
+    from quillgraph.operators import ranking as rk
+
+    rng = random.Random(5)
+    docs = [(f"d{i:02}", rng.choice([1, 2, 3, 4, None]), rng.choices("abcdefghijkl", k=rng.randint(0, 6))) for i in range(40)]
+    queries = [("q0", 2, ["a", "b", "a"]), ("q1", 4, ["c", "zz"]), ("q2", 4, ["zz"]), ("d03", 9, ["d", "e"]), ("q4", 1, ["a"])]
+    want = {}
+    for qid, cutoff, terms in queries:
+        e = [(d, t) for d, m, t in docs if m is not None and m < cutoff and d != qid]
+        mean = sum(len(t) for _, t in e) / max(1, len(e))
+        score = {d: 0.0 for d, _ in e}
+        for x in set(terms):
+            df = sum(x in t for _, t in e)
+            for d, t in e:
+                score[d] += math.log(1 + (len(e) - df + 0.5) / (df + 0.5)) * t.count(x) * 2.2 / (t.count(x) + 1.2 * (0.25 + 0.75 * len(t) / max(mean, 1e-9)))
+        want[qid] = sorted(((-round(s, 9), d) for d, s in score.items()))[:10]
+    got = {q[0]: [] for q in queries}
+    d = spark.createDataFrame(docs, "doc string, month int, terms array<string>")
+    for r in rk.bm25_before(d, spark.createDataFrame(queries, "qid string, month int, terms array<string>")).orderBy("qid", "rank").collect():
+        got[r["qid"]].append((-round(r["score"], 9), r["doc"]))
+    assert got == want
+    assert len(got["q2"]) == 10 and not got["q4"]
