@@ -384,8 +384,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     docs: doc_id, text. One row per document. Equal texts are one class without
     sampling; texts without words, and null texts, have only equal texts for
-    their class. n_links counts the verified links of a text to other texts. A
-    null doc_id is kept and ranks first.
+    their class. n_links counts the links of a text that were used for its class,
+    not all texts close to it. A null doc_id is kept and ranks first.
     """
     d = documents_of(docs).select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     idf = inverse_frequencies(*document_frequencies(d))
