@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,29 +18,45 @@ ROOT = Path(__file__).resolve().parents[2]
 _NO_ID = -(2**63)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, wherever the driver was started.
+#: Rows of an Arrow batch while a table is written: bounds what JVM and Python hold at once.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-    Nothing is done where the workers already find it (working directory or PYTHONPATH).
-    """
-    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
-    if any(p and os.path.isdir(os.path.join(p, "quillgraph", "llm")) for p in places):
-        return
-    if getattr(spark.sparkContext, "_quillgraph_shipped", False):
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_quillgraph_shipped", False):
         return
     target = os.path.join(tempfile.mkdtemp(), "quillgraph.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in (ROOT / "quillgraph").rglob("*.py"):
             z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(target)
-    spark.sparkContext._quillgraph_shipped = True
+    context.addPyFile(target)
+    context._quillgraph_shipped = True
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Send a file to the workers, once for each Spark context; they find it by SparkFiles.get(the returned name)."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_quillgraph_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local run (one JVM) takes a temporary folder of its
+    own; on a cluster, where no other machine would see that, it is an error.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
     own = getattr(spark.sparkContext, "_quillgraph_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
@@ -45,19 +64,62 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows in what runs inside."""
+    before = spark.conf.get(_BATCH, None)
+    if before and 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    table goes when the driver's JVM ends.
+    table goes with drop_tables, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
+    p, fs = _place(spark, path)
+    fs.deleteOnExit(p)
+    _tables(spark).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillgraph_path = path
+    return out
+
+
+def _place(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _tables(spark: SparkSession) -> list[str]:
+    return spark.sparkContext.__dict__.setdefault("_quillgraph_tables", [])
+
+
+def tables_so_far(spark: SparkSession) -> int:
+    return len(_tables(spark))
+
+
+def drop_tables(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables that materialize wrote after `since` (of tables_so_far), but for those that it returned as `keep`."""
+    made, kept = _tables(spark), {x._quillgraph_path for x in keep}
+    for path in made[since:]:
+        if path not in kept:
+            p, fs = _place(spark, path)
+            fs.delete(p, True)
+    made[since:] = [x for x in made[since:] if x in kept]
 
 
 def columns_of(df: DataFrame, **types: str) -> DataFrame:

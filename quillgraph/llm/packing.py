@@ -5,32 +5,40 @@ partitions of bounded size by a hash; each partition packs its lengths best-fit
 decreasing and compares the bin count with lower bounds from dual feasible
 functions. Where the count equals the bound, the partition is certified: no
 packing of its pieces has fewer sequences. Partitions with a gap give the pieces
-of their least filled sequences to exchange groups, which pack them anew; a
-group's new packing is used only where it needs fewer sequences.
+of their sequences that are not full to new partitions, which pack them anew; a
+new packing is used only where it needs fewer sequences. Rounds go on as long as
+they save sequences.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import columns_of, materialize, ship
-from quillgraph.llm.words import chunks, numbered_words
+from quillgraph.llm.common import columns_of, drop_tables, materialize, ship, ship_file, tables_so_far
+from quillgraph.llm.words import chunks, word_codes
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of a partition; the memory of a packing task is a few MB for that many.
 PARTITION_PIECES = 16_384
-#: Entries of a worker's word cache, after which it starts again.
-CACHE_WORDS = 500_000
-#: Text tokenised at once; what a step needs for it is about 30 times as large.
+#: Entries of a worker's word cache, after which it starts again: some 10 MB.
+CACHE_WORDS = 250_000
+#: Text tokenised at once; what a step needs for it is about 15 times as large.
 CHUNK_BYTES = 2_000_000
+#: Stops behind a word's letters that are looked up on their own; longer runs are one word with the letters.
+MOST_TAIL = 8
+#: Fuller sequences are not given to the exchange.
+FULL = 0.995
 _TRAILING = ".,!|&%$*#?;:"
 
 
@@ -39,9 +47,11 @@ class WordTokens:
     pre-tokeniser drops white space, so that a text's ids are its words' ids in a row.
 
     A word of letters with ASCII punctuation behind it is looked up as two keys.
+    All lookups are over a chunk's distinct words, in Arrow.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -51,24 +61,23 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        # all keys' ids in a row, and where each key's begin and how many they are
-        self.ids, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def _add(self, keys: list[str]) -> None:
-        letters = [k for k in keys if k.isalpha()]
-        for i in range(0, len(letters), 50_000):
-            some = letters[i : i + 50_000]
+        """Known keys, with their ids as lists; the first key is the empty one, without ids."""
+        self.known = pa.array([""], pa.large_string())
+        self.ids = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.uint32()))
+
+    def _add(self, keys: pa.Array) -> None:
+        letters = pc.utf8_is_alpha(keys)
+        plain = keys.filter(letters).to_pylist()
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
             lines = [" ".join(some[j : j + 400]) for j in range(0, len(some), 400)]
-            ids = np.concatenate(
-                [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-            )
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 self._put(some, ids, np.diff(cuts, prepend=0))
             else:
                 self._one_by_one(some)
-        self._one_by_one([k for k in keys if not k.isalpha()])
+        self._one_by_one(keys.filter(pc.invert(letters)).to_pylist())
 
     def _one_by_one(self, keys: list[str]) -> None:
         for i in range(0, len(keys), 20_000):
@@ -77,39 +86,45 @@ class WordTokens:
             self._put(some, np.array([x for y in ids for x in y], np.uint32), np.array([len(x) for x in ids], np.int64))
 
     def _put(self, keys: list[str], ids: np.ndarray, length: np.ndarray) -> None:
-        first = len(self.begin)
-        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, ids])
-
-    def _keys(self, word: str) -> tuple[str, str]:
-        head = word.rstrip(_TRAILING)
-        if head.isascii() and head.isalpha():
-            return head.lower(), word[len(head) :]
-        if head != word and head.isalpha():
-            return head, word[len(head) :]
-        return word, ""
+        offsets = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+        self.known = pa.concat_arrays([self.known, pa.array(keys, pa.large_string())])
+        self.ids = pa.concat_arrays([self.ids, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.uint32()))])
+
+    def _keys(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word's head and tail: letters, in lower case where they are ASCII, and up to MOST_TAIL stops behind them; else the word and nothing."""
+        head = pc.utf8_rtrim(words, characters=_TRAILING)
+        tail = pc.subtract(pc.binary_length(words), pc.binary_length(head)).to_numpy(zero_copy_only=False)
+        alpha = pc.utf8_is_alpha(head).to_numpy(zero_copy_only=False) & (tail <= MOST_TAIL)
+        ascii_head = alpha & pc.string_is_ascii(head).to_numpy(zero_copy_only=False)
+        tail = np.where(alpha, tail, 0)
+        key = pc.if_else(pa.array(ascii_head), pc.ascii_lower(head), pc.if_else(pa.array(alpha), head, words))
+        order, parts = [np.flatnonzero(tail == 0)], [pa.array([""] * int((tail == 0).sum()), pa.large_string())]
+        for n in np.unique(tail[tail > 0]).tolist():
+            order.append(np.flatnonzero(tail == n))
+            parts.append(pc.utf8_slice_codeunits(words.take(pa.array(order[-1])), -n, 2**31 - 1))
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate(order)] = np.arange(len(words))
+        return key, pa.concat_arrays(parts).take(pa.array(place))
 
     def of_texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, starts): text i's ids, end_id last, are ids[starts[i]:starts[i+1]]."""
-        codes, words, starts = numbered_words(texts)
-        if len(self.number) > CACHE_WORDS:
+        codes, words, starts = word_codes(texts)
+        if len(self.known) > CACHE_WORDS:
             self.clear()
-        pairs = [self._keys(w) for w in words]
-        number = self.number
-        if missing := {k for p in pairs for k in p if k not in number}:
-            self._add(list(missing))
-        used = np.array([(number[a], number[b]) for a, b in pairs], np.int64).reshape(-1, 2)
-        # each word is two keys' ids in a row
-        keys = used[codes].ravel()
-        n = self.length[keys]
-        at = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.arange(at[-1]) - np.repeat(at[:-1] - self.begin[keys], n)]
-        at = at[::2]
-        ends = at[starts]
-        ids = np.insert(ids, ends[1:], np.uint32(end_id))
-        return ids, ends + np.arange(len(ends))
+        keys = pa.chunked_array(self._keys(words)).combine_chunks().dictionary_encode()
+        distinct = keys.dictionary
+        number = pc.index_in(distinct, self.known)
+        if number.null_count:
+            self._add(distinct.filter(pc.is_null(number)))
+            number = pc.index_in(distinct, self.known)
+        # a word is two keys' ids in a row; the last list is a text's end
+        pairs = keys.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.ravel()
+        two = self.ids.take(number.take(pa.array(pairs)))
+        offsets = np.append(two.offsets.to_numpy()[::2], len(two.flatten()) + 1)
+        word_ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([two.flatten(), pa.array([end_id], pa.uint32())]))
+        codes = np.insert(codes, starts[1:], len(words))
+        ids = word_ids.take(pa.array(codes))
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[starts + np.arange(len(starts))].astype(np.int64)
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -129,10 +144,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     rows are documents of their own.
     """
     ship(docs.sparkSession)
+    name = ship_file(docs.sparkSession, tokenizer)
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(tokenizer)
+        tokens = word_tokens(SparkFiles.get(name))
         for b in chunks(batches, size=CHUNK_BYTES):
             ids, starts = tokens.of_texts(b.column("text"), end_id)
             n = np.diff(starts)
@@ -148,6 +164,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                 flat = np.concatenate([[0], np.cumsum(end - begin)])
                 out.append(pa.ListArray.from_arrays(pa.array(flat, pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
+            pa.default_memory_pool().release_unused()
 
     return columns_of(docs, doc_id="bigint", text="string").mapInArrow(pieces, schema)
 
@@ -200,73 +217,84 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return where, offset, bins
 
 
+_PLACED = "uid bigint, length bigint, partition bigint, sequence_id bigint, offset bigint, fill bigint, gap bigint"
+
+
 def _pack_group(group: int, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """A partition packed best-fit decreasing; gap is its number of sequences less its lower bound."""
     pdf = pdf.sort_values(["length", "uid"], ascending=[False, True], kind="stable", ignore_index=True)
     x = pdf["length"].to_numpy()
     where, offset, bins = best_fit_decreasing(x, capacity)
-    bound = lower_bound(x, capacity)
     fill = np.bincount(where, weights=x, minlength=bins)
-    out = pdf[["uid"]].copy()
-    out["length"] = x
-    out["sequence_id"] = group * 2**20 + where
-    out["offset"] = offset
-    out["fill"] = fill[where].astype(np.int64)
-    out["gap"] = bins - bound
-    return out
+    return pd.DataFrame({
+        "uid": pdf["uid"], "length": x, "partition": group, "sequence_id": group * 2**20 + where, "offset": offset,
+        "fill": fill[where].astype(np.int64), "gap": bins - lower_bound(x, capacity),
+    })
 
 
 def _repacking(base: int, capacity: int):
-    """Packs a group anew where that needs fewer sequences; its ids follow those of `base` groups."""
+    """Packs a group anew where that needs fewer sequences, else keeps its sequences; its gap is that of what stands."""
 
     def repack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         new = _pack_group(base + int(key[0]), pdf, capacity)
-        if new["sequence_id"].nunique() < pdf["sequence_id"].nunique():
+        had, has = pdf["sequence_id"].nunique(), new["sequence_id"].nunique()
+        if has < had:
             return new
-        return pdf[["uid", "length", "sequence_id", "offset", "fill", "gap"]].assign(gap=0)
+        return pdf[["uid", "length", "partition", "sequence_id", "offset", "fill", "gap"]].assign(partition=base + int(key[0]), gap=new["gap"].iloc[0] + had - has)
 
     return repack
 
 
-def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 2) -> DataFrame:
-    """(uid, sequence_id, offset) for pieces (uid long, length long), 1 <= length <= capacity.
+def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(uid, sequence_id, offset, partition, partition_gap) for pieces (uid long, length long), 1 <= length <= capacity.
 
-    In each round the sequences that are not full, of partitions whose count
-    exceeds their bound, are dealt into new groups and packed best-fit
-    decreasing; a new group's packing stands where it has fewer sequences than
-    its pieces had. Empty input gives no rows.
+    While partitions have more sequences than their bounds, their sequences that
+    are not full are dealt into new partitions and packed best-fit decreasing; a
+    new packing stands where it has fewer sequences than its pieces had. The
+    rounds end when one saves no sequence, or when as many are left as all tokens
+    together need. partition_gap is a partition's sequences less its bound: 0
+    certifies that no packing of its pieces has fewer. Empty input gives no rows.
     """
-    schema = "uid bigint, length bigint, sequence_id bigint, offset bigint, fill bigint, gap bigint"
-    n = pieces.count()
-    groups = max(1, -(-n // PARTITION_PIECES))
+    total = pieces.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).first()
+    groups = max(1, -(-total["n"] // PARTITION_PIECES))
+    fewest = -(-(total["tokens"] or 0) // capacity)
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return _pack_group(int(key[0]), pdf, capacity)
 
-    packed = materialize(
-        pieces.select(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("g"), "uid", "length").groupBy("g").applyInPandas(pack, schema),
-        "packed",
-    )
-    first = groups
-    for _ in range(rounds):
-        loose = (F.col("gap") > 0) & (F.col("fill") < int(capacity * 0.995))
-        counts = packed.agg(F.count(F.when(loose, 1)).alias("n"), F.countDistinct(F.when(loose, F.floor(F.col("sequence_id") / 2**20))).alias("from")).first()
-        if not counts["n"] or counts["from"] < 2:
+    packed = materialize(pieces.select(F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("g"), "uid", "length").groupBy("g").applyInPandas(pack, _PLACED), "packed")
+    first, round_no, before = groups, 0, None
+    loose = (F.col("gap") > 0) & (F.col("fill") < int(capacity * FULL))
+    while True:
+        starts = F.col("offset") == 0  # one row of each sequence
+        now = packed.agg(F.count(F.when(starts, 1)).alias("sequences"), F.count(F.when(loose, 1)).alias("loose"), F.count(F.when(loose & starts, 1)).alias("open")).first()
+        if now["open"] < 2 or now["sequences"] == fewest or now["sequences"] == before:
             break
-        again = max(1, -(-counts["n"] // PARTITION_PIECES))
+        before = now["sequences"]
+        again = max(1, -(-now["loose"] // PARTITION_PIECES))
         # a whole sequence goes to one group, so that a group may keep it as it is
-        moved = packed.filter(loose).withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(again)))
-        packed = materialize(packed.filter(~loose).unionByName(moved.groupBy("g").applyInPandas(_repacking(first, capacity), schema)), "repacked")
-        first += again
-    return packed.select("uid", "sequence_id", "offset")
+        moved = packed.filter(loose).withColumn("g", F.pmod(F.xxhash64("sequence_id", F.lit(round_no)), F.lit(again)))
+        packed = materialize(packed.filter(~loose).unionByName(moved.groupBy("g").applyInPandas(_repacking(first, capacity), _PLACED)), "repacked")
+        first, round_no = first + again, round_no + 1
+
+    def certify(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        gap = pdf["sequence_id"].nunique() - lower_bound(pdf["length"].to_numpy(), capacity)
+        return pdf[["uid", "sequence_id", "offset", "partition"]].assign(partition_gap=gap)
+
+    return packed.groupBy("partition").applyInPandas(certify, "uid bigint, sequence_id bigint, offset bigint, partition bigint, partition_gap bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Packs all documents into as few sequences as best-fit with exchange finds.
 
     docs: doc_id, text. Returns doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset and, with_ids, the ids. Null texts have only the end
-    token; very long ones are cut into pieces; repeated rows are packed each.
+    sequence_id, offset, partition, partition_gap (see assign_sequences) and, with_ids,
+    the ids. Null texts have only the end token; very long ones are cut into
+    pieces; repeated rows are packed each.
     """
+    spark = docs.sparkSession
+    since = tables_so_far(spark)
     pieces = materialize(tokenized_pieces(docs, tokenizer, capacity, end_id, with_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    placed = assign_sequences(pieces.select("uid", "length"), capacity)
+    placed = materialize(assign_sequences(pieces.select("uid", "length"), capacity), "placed")
+    drop_tables(spark, since, pieces, placed)
     return pieces.join(placed, "uid").drop("uid")

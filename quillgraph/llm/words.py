@@ -24,7 +24,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield b.slice(i, j - i)
 
 
-def numbered_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text (null: none).
 
     Returns (codes, vocabulary, starts): text i's words are codes[starts[i]:starts[i+1]],
@@ -37,18 +37,23 @@ def numbered_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     flat = lists.values.slice(starts[0], starts[-1] - starts[0])
     starts = starts - starts[0]
     coded = flat.dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary = coded.dictionary.to_pylist()
-    if "" in vocabulary:
-        empty = vocabulary.index("")
+    codes, vocabulary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    empty = pc.index(vocabulary, pa.scalar("", vocabulary.type)).as_py() if len(vocabulary) else -1
+    if empty >= 0:
         keep = codes != empty
         kept = np.concatenate([[0], np.cumsum(keep)])
         starts, codes = kept[starts], codes[keep]
         codes -= codes > empty
-        vocabulary.pop(empty)
+        vocabulary = pa.concat_arrays([vocabulary.slice(0, empty), vocabulary.slice(empty + 1)])
     return codes, vocabulary, starts
 
 
+def numbered_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """word_codes with the codes as 64-bit numbers and the vocabulary as a list."""
+    codes, vocabulary, starts = word_codes(texts)
+    return codes.astype(np.int64), vocabulary.to_pylist(), starts
+
+
 def spread(x: np.ndarray) -> np.ndarray:
     """Mixes the bits of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
