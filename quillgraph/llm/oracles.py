@@ -31,13 +31,16 @@ from r group by doc_id
 
 
 def quality_rules() -> str:
-    """The base rules, the pooled references and both Jensen-Shannon distances."""
+    """The base rules, the references pooled in two passes and both Jensen-Shannon distances."""
     words = " union all ".join(f"select '{k}' as lang, unnest(string_split('{v}', ' ')) as w, unnest(range(0, {len(v.split())})) as slot" for k, v in COMMON_WORDS.items())
     n = {"upper": r"[\p{Lu}]", "lower": r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]", "digit": r"[\p{Nd}]", "space": r"[\s\v\p{Z}\x{1c}-\x{1f}\x{85}]", "stop": r"[-.,;:''\"()!?]", "symbol": r"[\x00-\x08\x0e-\x1b#$%&*+/<=>@\[\\\]^_`{|}~\x7f]"}
     count = ", ".join(f"length(t) - length(regexp_replace(t, '{p}', '', 'g')) as c_{k}" for k, p in n.items())
     names = list(n)
     arr = "[" + ", ".join(f"c_{k}" for k in names) + ", length(t) - " + " - ".join(f"c_{k}" for k in names) + "]"
     dist = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: case when {p}[i] > 0 then {p}[i] / list_sum({p}) * log2({p}[i] / list_sum({p}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end + case when {q}[i] > 0 then {q}[i] / list_sum({q}) * log2({q}[i] / list_sum({q}) / (({p}[i] / list_sum({p}) + {q}[i] / list_sum({q})) / 2)) else 0 end)) / 2))"
+    # pooled histograms of the rows where `out` does not hold, and the verdict against two such references
+    pooled = lambda name, column, rows, out: f"{name} as (select lang, list(s order by i) as {name} from (select lang, i, sum(case when {out} then 0 else x end) as s from (select lang, {out.split()[-1]}, unnest({column}) as x, generate_subscripts({column}, 1) as i from {rows}) group by 1, 2) group by 1)"
+    near = lambda c, w: f"(n_chars < 200 or coalesce({dist('cv', c)}, 0) <= {MAX_CLASS_DISTANCE}) and (n_words < 100 or lang = 'other' or coalesce({dist('wv', w)}, 0) <= {MAX_WORD_DISTANCE})"
     return f"""
     with d as (select doc_id, coalesce(text, '') as t, case when lang in ({', '.join(f"'{k}'" for k in COMMON_WORDS)}) then lang else 'other' end as lang from documents),
     w as (select doc_id, lang, unnest(ws) as w, generate_subscripts(ws, 1) as i from (select doc_id, lang, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws from d)),
@@ -54,11 +57,12 @@ def quality_rules() -> str:
       list_transform({arr}, lambda x: cast(x as double)) as cv, list_transform(list_append(h, coalesce(wc.n, 0) - list_sum(h)), lambda x: cast(x as double)) as wv, length(t) as n_chars
       from d join hist using (doc_id) join cl using (doc_id) left join wc using (doc_id) left join ln using (doc_id) left join rep using (doc_id)),
     b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-    rc as (select lang, list(s order by i) as rc from (select lang, i, sum(case when base_failed then 0 else x end) as s from (select lang, base_failed, unnest(cv) as x, generate_subscripts(cv, 1) as i from b) group by 1, 2) group by 1),
-    rw as (select lang, list(s order by i) as rw from (select lang, i, sum(case when base_failed then 0 else x end) as s from (select lang, base_failed, unnest(wv) as x, generate_subscripts(wv, 1) as i from b) group by 1, 2) group by 1)
+    {pooled('rc', 'cv', 'b', 'base_failed')}, {pooled('rw', 'wv', 'b', 'base_failed')},
+    t as (select b.*, not base_failed and {near('rc', 'rw')} as trusted from b join rc using (lang) join rw using (lang)),
+    {pooled('rc2', 'cv', 't', 'not trusted')}, {pooled('rw2', 'wv', 't', 'not trusted')}
     select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-      not base_failed and (n_chars < 200 or coalesce({dist('cv', 'rc')}, 0) <= {MAX_CLASS_DISTANCE}) and (n_words < 100 or lang = 'other' or coalesce({dist('wv', 'rw')}, 0) <= {MAX_WORD_DISTANCE}) as kept
-    from b join rc using (lang) join rw using (lang)"""
+      not base_failed and {near('rc2', 'rw2')} as kept
+    from t join rc2 using (lang) join rw2 using (lang)"""
 
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_topk": EXACT_TOPK, "op6_line_dedup": LINE_DEDUP, "op9_quality_rules": quality_rules()}
