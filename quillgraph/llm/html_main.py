@@ -19,19 +19,23 @@ from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import columns_of, ship
 from quillgraph.llm.crf import Crf
+from quillgraph.llm.words import chunks
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+# quotes hold a value only right behind an equals sign; an open quote ends with its tag
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 # Elements by what they do to text.
-RAW = frozenset("script style textarea noscript template svg math iframe noembed noframes xmp canvas object audio video select".split())
+# their content is no markup and no text, up to their end tag
+RAW = frozenset("script style textarea iframe noembed noframes xmp".split())
+# what is inside is not shown as text
+UNSEEN = frozenset("noscript template canvas object audio video svg select".split())
+# of these, the ones that a block element ends
+PHRASING = frozenset("svg select".split())
 BLOCK = frozenset(
     "html head body title article section nav aside header footer main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th form fieldset legend blockquote pre figure figcaption hr address details summary dialog menu center hgroup search option optgroup".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCK - {"html", "head", "body", "title"}
+CLOSES_P = BLOCK - {"html", "head", "body", "title", "option", "optgroup"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 TAGS = "nav header footer aside form article main head title section ul ol table figure figcaption blockquote pre h1 h2 h3 h4 p li td dl button label details dialog menu address fieldset a".split()
 # Parts of class, id and role words, by what they say of a block.
@@ -48,6 +52,7 @@ CUES = {
     "main": "content article post entry story main text body",
 }
 _AD_WORDS = frozenset("ad ads adv adverts".split())
+_ASIDE = re.compile(r"cookie|subscribe|advertis|newsletter|sign in|log in|sponsored", re.I)
 _NAMES = [*TAGS, *CUES, "hidden"]
 _LENGTHS, _LINKS = (1, 15, 40, 80, 160, 320, 640), (0.001, 0.3, 0.7)
 _N_TEXT = 6
@@ -70,91 +75,137 @@ def _mask(tag: str, attributes: str) -> int:
     return bits
 
 
+class _Open:
+    """The open elements of a page: innermost last, with the places of each tag and of the blocks."""
+
+    def __init__(self) -> None:
+        # (tag, bits of its ancestors and itself)
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = self.unseen = 0
+
+    def mask(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
+    def push(self, tag: str, bits: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.links += tag == "a"
+        self.unseen += tag in UNSEEN
+        self.stack.append((tag, self.mask() | bits))
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place and all inside it."""
+        while len(self.stack) > place:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.links -= tag == "a"
+            self.unseen -= tag in UNSEEN
+
+    def innermost(self, tag: str) -> int:
+        """The place of the innermost open `tag`, -1 without one."""
+        there = self.places.get(tag)
+        return there[-1] if there else -1
+
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def close(self, tag: str) -> None:
+        place = self.innermost(tag)
+        # the end of an element in a block never closes the block
+        if place >= 0 and (tag in BLOCK or tag in UNSEEN or place > self.block()):
+            self.cut(place)
+
+    def begin_block(self, tag: str) -> None:
+        """What a block's start closes: unseen phrasing, an open paragraph, and siblings like the item before."""
+        for inner in PHRASING if tag not in ("option", "optgroup") else ():
+            if (place := self.innermost(inner)) > self.block():
+                self.cut(place)
+        if tag in CLOSES_P and self.blocks and self.stack[self.block()][0] == "p":
+            self.cut(self.block())
+        if tag in SIBLINGS and self.blocks and self.stack[self.block()][0] in SIBLINGS[tag]:
+            self.cut(self.block())
+
+
 def leaf_blocks(page: str) -> list[tuple[str, int, float]]:
     """(text, ancestors, share of characters in links) of each leaf block with text, in page order.
 
-    References are decoded, white space is one blank. The contents of scripts,
-    styles, comments and the like are no text.
+    References are decoded in each run of text between tags, white space is one
+    blank. The contents of scripts, styles, comments and unseen elements are no
+    text. A self-closed element other than a block is empty; an unseen element
+    without an end tag further on counts as empty, and one inside a block ends
+    with it. Each tag costs a constant time, whatever is open.
     """
     out: list[tuple[str, int, float]] = []
     parts: list[str] = []
     linked = chars = 0
-    stack: list[tuple[str, int]] = []
+    open_now = _Open()
     masks: dict[tuple[str, str], int] = {}
+    last_end: dict[str, int] = {}
 
-    def flush(mask: int) -> None:
+    def flush() -> None:
         nonlocal linked, chars
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
-                out.append((text, mask, linked / max(1, chars)))
+                out.append((text, open_now.mask() & ~for_link, linked / max(1, chars)))
             parts.clear()
             linked = chars = 0
 
-    at, links = 0, 0
-    for_link = 1 << _NAMES.index("a")
+    def ends_later(tag: str) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", page, re.I)), default=-1)
+        return last_end[tag] >= at
+
+    at, for_link = 0, 1 << _NAMES.index("a")
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
         here = page[at : m.start() if m else n]
-        if here:
-            parts.append(here)
+        if here and not open_now.unseen:
+            parts.append(html.unescape(here))
             size = len(here.strip())
             chars += size
-            linked += size if links else 0
+            linked += size if open_now.links else 0
         if not m:
             break
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             continue
-        closing, attributes = bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
-        mask = stack[-1][1] if stack else 0
+        attributes = m[3]
+        if m[1]:
+            if tag in BLOCK:
+                flush()
+            open_now.close(tag)
+            continue
         if tag == "br":
             parts.append(" ")
             continue
-        if closing:
-            if tag in BLOCK:
-                flush(mask & ~for_link)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(x == "a" for x, _ in stack[i:])
-                    del stack[i:]
-                    break
-                # an inline element's end never closes a block
-                if tag not in BLOCK and stack[i][0] in BLOCK:
-                    break
-            continue
+        empty = attributes.rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if not empty and (ends_later(tag) or tag in ("script", "style")):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*+>?", re.I).search(page, at)
+                at = end.end() if end else n
+            continue
+        if tag in UNSEEN and (empty or not ends_later(tag)):
             continue
         if tag in BLOCK:
-            flush(mask & ~for_link)
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                    if stack[i][0] == "p":
-                        links -= sum(x == "a" for x, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
-            for i in range(len(stack) - 1, max(-1, len(stack) - 40), -1):
-                if stack[i][0] in SIBLINGS.get(tag, ()):
-                    links -= sum(x == "a" for x, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-            mask = stack[-1][1] if stack else 0
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
+            flush()
+            open_now.begin_block(tag)
+        elif empty:
+            continue
+        if tag in VOID:
             continue
         key = (tag, attributes)
         if key not in masks:
             masks[key] = _mask(tag, attributes)
-        stack.append((tag, mask | masks[key]))
-        links += tag == "a"
-    flush((stack[-1][1] if stack else 0) & ~for_link)
+        open_now.push(tag, masks[key])
+    flush()
     return out
 
 
@@ -174,9 +225,10 @@ def _features(blocks: list[tuple[str, int, float]]) -> np.ndarray:
     at += len(_LINKS) + 1
     out[:, width + 2] = at + np.array([b[0][-1] in ".!?\"'”»…:" for b in blocks])
     at += 2
-    out[:, width + 3] = at + np.array(["©" in b[0][:80] for b in blocks])
+    # in whole blocks, and only where such words are frequent
+    out[:, width + 3] = at + np.array([80 * b[0].count("©") >= len(b[0]) for b in blocks])
     at += 2
-    out[:, width + 4] = at + np.array([bool(re.search(r"cookie|subscribe|advertis|newsletter|sign in|log in|sponsored", b[0][:200].lower())) for b in blocks])
+    out[:, width + 4] = at + np.array([200 * sum(1 for _ in _ASIDE.finditer(b[0])) >= len(b[0]) for b in blocks])
     at += 2
     out[:, width + 5] = at + np.minimum(3, np.array([b[0].count(" ") // 4 for b in blocks]))
     return out
@@ -239,7 +291,7 @@ def labelled_pages(pages: int = 260, seed: int = 11) -> list[tuple[str, set[str]
         for _ in range(rng.integers(1, 14)):
             kind = rng.random()
             if kind < 0.7:
-                body.append(some(f"<p>{block(sentence())}</p>", f"<p>{block(sentence())}", f"<p><b>{block(sentence())}<br>", f"<div>{block(sentence(8, 70))}</div>", f"<p>{block(words(1, 5))}.</p>" if False else f"<p>{block(sentence(1, 5))}</p>"))
+                body.append(some(f"<p>{block(sentence())}</p>", f"<p>{block(sentence())}", f"<p><b>{block(sentence())}<br>", f"<div>{block(sentence(8, 70))}</div>", f"<p>{block(sentence(1, 5))}</p>"))
             elif kind < 0.78:
                 body.append(f"<{(h := some('h2', 'h3', 'h4'))}>{block(words(1, 8))}</{h}>")
             elif kind < 0.86:
@@ -276,33 +328,30 @@ def trained_crf() -> Crf:
     return Crf.trained([_features(b) for b, _ in table], labels, N_FEATURES, 2, steps=120, rate=0.1)
 
 
-def main_text(page: str | None, crf: Crf) -> str:
-    blocks = leaf_blocks(page or "")
-    if not blocks:
-        return ""
-    scores = crf.emit[_features(blocks)].sum(1)
-    keep = crf.decoded(scores, np.array([0, len(blocks)]))
-    return "\n".join(t for (t, _, _), k in zip(blocks, keep, strict=True) if k)
+def main_texts(pages: list[str | None], crf: Crf) -> list[str]:
+    """The main text of each page (null: none), its main blocks joined by line feeds."""
+    blocks = [leaf_blocks(x or "") for x in pages]
+    flat = [x for page in blocks for x in page]
+    if not flat:
+        return [""] * len(pages)
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype(np.int64)
+    keep = crf.decoded(crf.emit[_features(flat)].sum(1), starts)
+    return ["\n".join(flat[j][0] for j in range(starts[i], starts[i + 1]) if keep[j]) for i in range(len(blocks))]
 
 
 def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page's whole html.
 
     pages: page_id, url, html. Null and empty html, and pages without main text,
-    give empty text. Repeated rows give repeated rows.
+    give empty text. Repeated rows give repeated rows, an empty table none;
+    further columns, whatever their names, are left out.
     """
     ship(pages.sparkSession)
     crf = trained_crf()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                blocks = [leaf_blocks(x.as_py() or "") for x in some.column("html")]
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in blocks])]).astype(np.int64)
-                flat = [x for page in blocks for x in page]
-                keep = crf.decoded(crf.emit[_features(flat)].sum(1), starts) if flat else []
-                texts = ["\n".join(flat[j][0] for j in range(starts[i], starts[i + 1]) if keep[j]) for i in range(len(blocks))]
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        for some in chunks(batches, "html"):
+            texts = main_texts(some.column("html").to_pylist(), crf)
+            yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return columns_of(pages, page_id="bigint", url="string", html="string").mapInArrow(extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -337,6 +337,51 @@ def test_permutations():
         assert (permuted(p, np.full(n, n), np.full(n, 12345, np.uint64), inverse=True) == i).all()
 
 
+@pytest.mark.parametrize("odd_tag", ["<svg/>", "<canvas/>", "<select>", "<svg>", "<object>", "<video src=x>", "<textarea>", "<iframe/>", "<math/>"])
+def test_html_loses_no_text_to_odd_tags(odd_tag):
+    from quillgraph.llm.html_main import leaf_blocks, main_texts, trained_crf
+
+    first, second = "One two three four five six seven eight.", "Second paragraph, of some length, here."
+    page = f"<nav><a href=/>Home</a></nav><article><p>{first}</p>{odd_tag}<p>{second}</p></article>"
+    assert [t for t, _, _ in leaf_blocks(page)] == ["Home", first, second]
+    assert main_texts([page], trained_crf()) == [f"{first}\n{second}"]
+
+
+def test_html_text_nodes_and_unseen_parts():
+    from quillgraph.llm.html_main import leaf_blocks
+
+    texts = lambda x: [t for t, _, _ in leaf_blocks(x)]
+    assert texts("<p>a &am<b></b>p; b &amp;amp; c</p>") == ["a &amp; b &amp; c"]
+    assert texts("<p>a <svg><text>no</text></svg> b <math><mi>x</mi></math></p><noscript><p>no</p></noscript><p>c") == ["a b x", "c"]
+    assert texts("<p>a <svg><text>no<p>b</p></svg><p>c <select><option>no</select> d</p>") == ["a", "b", "c", "d"]
+    assert texts("<p data=it's>Don't <b title='x>y'>stop</b> <i a=\"it's>\">now</i></p>") == ["Don't stop now"]
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    from quillgraph.llm.html_main import leaf_blocks
+
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n + "x", "<i>" + "<div>" * n + "<b>" * n + "</i>" * n + "x", "<canvas>" * n + "</section><svg>" * n + "x", "<a href=\"x>y " * n + ">x", "<li>" * n + "<p>" * n + "x", "<script>" * n, "&amp" * n, "<!--" * n):
+        begun = time.thread_time()
+        leaf_blocks(page)
+        assert time.thread_time() - begun < 1
+
+
+def test_html_odd_tables(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm.html_main import extract_main
+
+    pages = spark.createDataFrame([(1, "u", "<article><p>" + "word and word. " * 100_000 + "</p></article>"), (2, None, "<p>"), (2, None, "<p>"), (None, "u", None)], "page_id bigint, url string, html string")
+    for c in ("text", "n_chars", "block"):
+        pages = pages.withColumn(c, F.lit("x"))
+    got = extract_main(pages).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 1_499_999), (2, 0), (2, 0)]
+    assert extract_main(pages.limit(0)).count() == 0
+
+
 def plain_quality(text):
     words = WORD.findall(text or "")
     tri = Counter(zip(words, words[1:], words[2:]))
@@ -371,7 +416,7 @@ def test_distances(spark):
 
     rng = np.random.default_rng(8)
     p, q = rng.integers(0, 9, 12), rng.integers(0, 9, 12)
-    got = spark.createDataFrame([(p.tolist(), q.tolist())], "p array<bigint>, q array<bigint>").select(_distance(F.col("p"), F.col("q"))).first()[0]
+    got = spark.createDataFrame([(p.tolist(), q.tolist())], "p array<bigint>, q array<bigint>").select(_distance(F.col("p"), F.col("q"), F.lit(int(p.sum())), F.lit(int(q.sum())))).first()[0]
     a, b = p / p.sum(), q / q.sum()
     m = (a + b) / 2
     kl = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m) if v)
