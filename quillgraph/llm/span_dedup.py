@@ -1,12 +1,14 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a stop followed by a blank, or at a line's end; long ones are
-parted at commas. From every
+A sentence ends at a stop or clause mark (. ! ? , ; :) followed by a blank, or at
+a line's end; parting at clause marks, too, lets a passage hold whole ones. From every
 sentence starts a run: the fewest sentences, MIN_SENTENCES at least, that have
 MIN_WORDS words; with both_ends, as in the query, such a run also ends at every
 sentence, so that a repeated passage's last sentences are covered like its first.
-Runs are hashed and joined over all documents; where a run has
-occurred before, in document, text and sentence order, all its sentences go.
+Runs are hashed to 128 bits, two independent hashes that must both agree, and
+joined over all documents; at 10^13 runs the odds of any two different ones
+agreeing are below 10^-12. Where a run has occurred before, in document, text and
+sentence order, all its sentences go.
 """
 
 from __future__ import annotations
@@ -20,38 +22,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents_of, keyed, materialize, ship
+from quillgraph.llm.common import documents_of, drop_tables, keyed, materialize, ship, tables_so_far
 from quillgraph.llm.words import chunks, spread
 
 MIN_SENTENCES = 2
 #: Shorter runs repeat by chance, as stock phrases do.
 MIN_WORDS = 16
-#: Longer sentences are parted at their commas, so that a passage holds whole ones.
-LONG_CHARS = 60
-_COMMA = re.compile(r"(?<=,)[ \t\r]+")
-_BREAK = re.compile(r"(?<=[.!?])[ \t\r]++(?:\n\s*+)?|(?<![ \t\r])[ \t\r]*+\n\s*+")
-_BASE = 0x9E3779B97F4A7C15
+_BREAK = re.compile(r"(?<=[.!?,;:])[ \t\r]++(?:\n\s*+)?|(?<![ \t\r])[ \t\r]*+\n\s*+")
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def sentences_of(text: str) -> tuple[list[str], list[str]]:
     """(sentences, breaks): the text is their interleaving; there is one sentence more than breaks, some may be empty."""
-    out, breaks = _cut(text, _BREAK)
-    parts, between = [], []
-    for i, s in enumerate(out):
-        if len(s) > LONG_CHARS and "," in s:
-            p, b = _cut(s, _COMMA)
-            parts += p
-            between += b
-        else:
-            parts.append(s)
-        if i < len(breaks):
-            between.append(breaks[i])
-    return parts, between
-
-
-def _cut(text: str, pattern: re.Pattern) -> tuple[list[str], list[str]]:
     out, breaks, at = [], [], 0
-    for m in pattern.finditer(text):
+    for m in _BREAK.finditer(text):
         out.append(text[at : m.start()])
         breaks.append(m[0])
         at = m.end()
@@ -59,15 +43,20 @@ def _cut(text: str, pattern: re.Pattern) -> tuple[list[str], list[str]]:
     return out, breaks
 
 
-def runs_of(sentences: list[str], min_sentences: int, min_words: int, both_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, length, hash) of the run from each sentence, for those that have one; both_ends: and of the run up to each."""
+def _hashes(sentences: list[str]) -> np.ndarray:
+    """Two 64-bit hashes a sentence."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in sentences), np.uint64).reshape(-1, 2)
+
+
+def runs_of(sentences: list[str], min_sentences: int, min_words: int, both_ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, hash, second hash) of the run from each sentence, for those that have one; both_ends: and of the run up to each."""
     kept = [i for i, s in enumerate(sentences) if s.strip()]
     if len(kept) < min_sentences:
         z = np.zeros(0, np.int64)
-        return z, z, z
+        return z, z, z, z
     words = [sentences[i].split() for i in kept]
     total = np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    h = spread(np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), np.uint64, len(words)))
+    h = _hashes([" ".join(w) for w in words])
     n = len(kept)
     start = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + min_words), start + min_sentences)
@@ -78,14 +67,16 @@ def runs_of(sentences: list[str], min_sentences: int, min_words: int, both_ends:
         run = np.unique(np.concatenate([start * (n + 1) + end, (begin * (n + 1) + last)[begin >= 0]]))
         start, end = run // (n + 1), run % (n + 1)
     # the hash of a run from sums of hashes times powers
+    values = []
     with np.errstate(over="ignore"):
-        power, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
-        power[1:], back[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 2**64))
-        power, back = np.cumprod(power), np.cumprod(back)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:-1])])
-        value = spread((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+        for base, own in zip(_BASES, h.T, strict=True):
+            power, back = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+            power[1:], back[1:] = np.uint64(base), np.uint64(pow(base, -1, 2**64))
+            power, back = np.cumprod(power), np.cumprod(back)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(spread(own) * power[:-1])])
+            values.append(spread((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)).view(np.int64))
     where = np.array(kept, np.int64)
-    return where[start], where[end - 1] - where[start] + 1, value.view(np.int64)
+    return where[start], where[end - 1] - where[start] + 1, *values
 
 
 def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, both_ends: bool = False) -> DataFrame:
@@ -104,27 +95,32 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            row, start, length, value = [], [], [], []
+            row, start, length, value, second = [], [], [], [], []
             for i, text in enumerate(b.column("text")):
-                s, n, h = runs_of(sentences_of(text.as_py() or "")[0], min_sentences, min_words, both_ends)
+                s, n, h, h2 = runs_of(sentences_of(text.as_py() or "")[0], min_sentences, min_words, both_ends)
                 row.append(np.full(len(s), i))
                 start.append(s)
                 length.append(n)
                 value.append(h)
+                second.append(h2)
             row = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
-                [b.column("k1").take(row), b.column("k2").take(row), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(value))],
-                names=["k1", "k2", "start", "n", "hash"],
+                [b.column("k1").take(row), b.column("k2").take(row), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(value)), pa.array(np.concatenate(second))],
+                names=["k1", "k2", "start", "n", "hash", "hash2"],
             )
 
-    runs = materialize(d.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start int, n int, hash bigint"), "runs")
+    spark = docs.sparkSession
+    since = tables_so_far(spark)
+    runs = materialize(d.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start int, n int, hash bigint, hash2 bigint"), "runs")
     # counts and firsts are written, so that a join deals both sides out anew and a frequent run's partition can be split
-    twice = materialize(runs.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash"), "twice")
-    repeated = materialize(runs.join(twice, "hash"), "repeated")
+    twice = materialize(runs.groupBy("hash", "hash2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash", "hash2"), "twice")
+    repeated = materialize(runs.join(twice, ["hash", "hash2"]), "repeated")
+    drop_tables(spark, since, repeated)
     place = F.struct("k1", "k2", "start")
-    first = materialize(repeated.groupBy("hash").agg(F.min(place).alias("first")), "first")
-    later = repeated.join(first, "hash").filter(place != F.col("first"))
-    gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
+    first = materialize(repeated.groupBy("hash", "hash2").agg(F.min(place).alias("first")), "first")
+    later = repeated.join(first, ["hash", "hash2"]).filter(place != F.col("first"))
+    gone = materialize(later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
+    drop_tables(spark, since, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
