@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents_of, keyed, materialize
+from quillgraph.llm.common import documents_of, drop_tables, keyed, materialize, tables_so_far
 
 #: A chunk ends where the rolling hash leaves no remainder by this: its mean number of lines.
 DIVISOR = 3
@@ -54,25 +54,28 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Rows equal in id and text are one document and lose the same chunks. Chunks
     repeated inside one text also go.
     """
+    since = tables_so_far(docs.sparkSession)
     d = keyed(documents_of(docs))
     chunked = _with_chunks(d)
     text_of = lambda c: F.array_join(_chunk_lines(c), "\n")
-    several = F.transform(F.filter("chunks", _several), lambda c: F.struct(c.alias("code"), F.xxhash64(text_of(c)).alias("hash")))
-    occ = materialize(chunked.select("k1", "k2", F.explode(several).alias("c")).select("k1", "k2", "c.code", "c.hash"), "chunks")
-    place = F.struct("k1", "k2", "code")
+    several = F.transform(F.filter("chunks", _several), lambda c: F.struct(c.alias("code"), F.xxhash64(text_of(c)).alias("hash"), F.xxhash64(F.lit(1), text_of(c)).alias("hash2")))
+    occ = materialize(chunked.select("k1", "k2", F.explode(several).alias("c")).select("k1", "k2", "c.code", "c.hash", "c.hash2"), "chunks")
+    # two hashes, so that a chunk whose first one collides still meets its own first occurrence
+    key, place = ["hash", "hash2"], F.struct("k1", "k2", "code")
     # written, so that the join deals both sides out anew and a frequent chunk's partition can be split
-    repeated = materialize(occ.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("hash", "first"), "hashes")
-    again = materialize(occ.join(repeated, "hash"), "repeated")
+    repeated = materialize(occ.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select(*key, "first"), "hashes")
+    again = materialize(occ.join(repeated, key), "repeated")
     # the texts of repeated chunks, for the comparison of bytes
-    lists = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("code", "hash", "first")).alias("c"))
+    lists = again.groupBy("k1", "k2").agg(F.collect_set(F.struct("code", "hash", "hash2", "first")).alias("c"))
     with_lines = d.join(lists.hint("shuffle_hash"), ["k1", "k2"]).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
     texts = with_lines.select("k1", "k2", F.explode("c").alias("c"), "lines").select(
-        "k1", "k2", F.col("c.code").alias("code"), F.col("c.hash").alias("hash"), F.col("c.first").alias("first"), text_of(F.col("c.code")).alias("chunk")
+        "k1", "k2", F.col("c.code").alias("code"), F.col("c.hash").alias("hash"), F.col("c.hash2").alias("hash2"), F.col("c.first").alias("first"), text_of(F.col("c.code")).alias("chunk")
     )
     texts = materialize(texts.withColumn("is_first", F.struct("k1", "k2", "code") == F.col("first")).drop("first"), "texts")
-    firsts = texts.filter("is_first").select("hash", F.col("chunk").alias("chunk_first")).dropDuplicates(["hash"])
-    removed = texts.filter("not is_first").join(firsts, "hash").filter(F.col("chunk") == F.col("chunk_first"))
-    gone = removed.groupBy("k1", "k2").agg(F.collect_set("code").alias("gone"))
+    firsts = texts.filter("is_first").select(*key, F.col("chunk").alias("chunk_first")).dropDuplicates(key)
+    removed = texts.filter("not is_first").join(firsts, key).filter(F.col("chunk") == F.col("chunk_first"))
+    gone = materialize(removed.groupBy("k1", "k2").agg(F.collect_set("code").alias("gone")), "gone")
+    drop_tables(docs.sparkSession, since, gone)
     out = d.join(gone.hint("shuffle_hash"), ["k1", "k2"], "left")
     out = _with_chunks(out)
     kept = F.array_except("chunks", "gone")
