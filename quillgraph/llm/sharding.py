@@ -4,8 +4,10 @@ Every level splits all open nodes at once. A node is split along the dimension
 in which its documents spread widest, relative to the whole table; its cut is
 the weighted median of that dimension, found by counting weights in 32768 bins
 at a time, refined inside the bin that holds the median. Rows equal in the
-dimension are told apart by a hash, so a value that a third of all rows share is
-cut where the weights ask for it.
+dimension are told apart by a hash, and rows equal in everything by their number,
+so a value or a row that a third of all rows share is cut where the weights ask
+for it. A node is split while it has more than the target bytes. Names (source,
+language) have hashed places, the same in every table.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from quillgraph.llm.common import documents_of, materialize
 
 #: A dimension's bits in the composite key; a hash fills the rest.
 COORD_BITS, TIE_BITS, STEP = 15, 45, 15
+#: The tie's lowest bits, which tell rows apart that are equal in everything.
+ROW_BITS = 22
 #: A cut this close to its share of the node's weight needs no further counting.
 TOLERANCE = 0.0005
 DIMENSIONS = ("source", "lang", "length", "id")
@@ -36,7 +40,8 @@ def _metadata(docs: DataFrame) -> DataFrame:
         name("lang").alias("lang"),
         F.least(top, (F.log2(size.cast("double")) * (2**COORD_BITS / 40)).cast("bigint")).alias("length"),
         F.coalesce("doc_id", F.lit(0)).alias("raw_id"),
-        F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(2**TIE_BITS)).alias("tie"),
+        # a hash of the row, then one of its number, so that rows equal in everything can be parted
+        (F.shiftleft(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(2 ** (TIE_BITS - ROW_BITS))), ROW_BITS) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**ROW_BITS))).alias("tie"),
     )
 
 
@@ -155,19 +160,19 @@ def with_slots(rows: DataFrame, shard: str = "shard", buckets: int = 64) -> Data
 def shard_documents(docs: DataFrame, shards: int | None = 16, target_bytes: int | None = None) -> DataFrame:
     """Every document's shard, so that the shards' bytes are near equal (law `bytes`).
 
-    docs: doc_id, text, lang, source. Give the number of shards, or target_bytes
-    for as many as needed. Returns doc_id, size (UTF-8 bytes plus 1), text_crc32,
-    shard, slot. Null texts have size 1; null metadata counts as empty; repeated
-    rows are documents of their own, and rows equal in everything may share a
-    side of a cut; an empty table gives no rows. A document larger than a shard's
-    share makes its shard larger.
+    docs: doc_id, text, lang, source. target_bytes is the size that no leaf should
+    exceed; without it, it is the part of one of `shards` in all bytes. Returns
+    doc_id, size (UTF-8 bytes plus 1), text_crc32, shard, slot. Null texts have size
+    1; null metadata counts as empty; repeated rows are documents of their own; an
+    empty table gives no rows. A document larger than the target makes its shard larger.
     """
     meta = materialize(_metadata(docs), "metadata")
     span = meta.agg(F.min("raw_id").alias("lo"), F.max("raw_id").alias("hi"), F.sum("size").alias("w")).first()
-    if target_bytes:
-        shards = max(1, -(-(span["w"] or 0) // target_bytes))
+    total = span["w"] or 0
+    target = target_bytes or max(1, -(-total // shards))
     lo, hi = span["lo"] or 0, span["hi"] or 0
     scaled = (F.col("raw_id").cast("double") - float(lo)) / max(1.0, float(hi) - float(lo)) * (2**COORD_BITS - 1)
     meta = meta.withColumn("id", scaled.cast("bigint"))
-    out = kd_leaves(meta, DIMENSIONS, shards).withColumnRenamed("leaf", "shard")
+    # a node's leaves are its bytes by the target
+    out = kd_leaves(meta, DIMENSIONS, max(1, -(-total // target))).withColumnRenamed("leaf", "shard")
     return with_slots(out).select("doc_id", "size", "text_crc32", "shard", "slot")

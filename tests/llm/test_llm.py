@@ -133,6 +133,55 @@ def test_kd_shards_split_a_hot_value(spark):
     assert max(n.values()) - min(n.values()) <= 4
 
 
+def plain_kd(rows, dims, leaves):
+    """The leaf of each row: nodes cut at the exact weighted median along the widest dimension."""
+    from quillgraph.llm.sharding import TIE_BITS
+
+    width = {d: max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in dims}
+    out = {}
+
+    def cut(some, first, n):
+        if n == 1 or not some:
+            out.update({r["tie"]: first for r in some})
+            return
+        extent = lambda d: max(r[d] for r in some) - min(r[d] for r in some)
+        dim = max(dims, key=lambda d: (extent(d) / width[d], -dims.index(d)))
+        key = lambda r: (r[dim] << TIE_BITS) + r["tie"]
+        weight = Counter()
+        for r in some:
+            weight[key(r)] += r["size"]
+        goal, below, at = sum(weight.values()) * (n // 2) // n, 0, 0
+        for k in sorted(weight):
+            if below >= goal:
+                break
+            at = k if goal - below < weight[k] / 2 else k + 1
+            below += weight[k]
+        cut([r for r in some if key(r) < at], first, n // 2)
+        cut([r for r in some if key(r) >= at], first + n // 2, n - n // 2)
+
+    cut(rows, 0, leaves)
+    return out
+
+
+def test_kd_leaves_are_those_of_a_plain_tree(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm.common import materialize
+    from quillgraph.llm.sharding import DIMENSIONS, _metadata, kd_leaves, shard_documents
+
+    rng = random.Random(2)
+    rows = [(7, "one row, found often", "en", "hot")] * 700 + [(rng.randint(0, 9999), "x " * min(40, int(rng.paretovariate(1))), rng.choice(["en", "de", None]), rng.choice("abcde")) for _ in range(1300)]
+    docs = frame(spark, rows)
+    meta = materialize(_metadata(docs), "test").withColumn("id", F.col("raw_id"))
+    dealt = kd_leaves(meta, DIMENSIONS, 11, tolerance=0).collect()
+    assert len({r["tie"] for r in dealt}) == len(dealt) == 2000
+    assert {r["tie"]: r["leaf"] for r in dealt} == plain_kd([r.asDict() for r in meta.collect()], DIMENSIONS, 11)
+    sizes = Counter()
+    for r in shard_documents(docs, 16).collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 16
+
+
 def test_exact_topk(spark):
     from pyspark.sql import functions as F
 
