@@ -41,25 +41,48 @@ def test_ids_and_months(spark):
 
 
 def test_titles(spark):
-    key = lambda s: value(spark, tx.title_key(F.lit(s)))
-    assert key("$\\pi_0.5$: a vision-language-action model") == key("$π_{0.5}$: a vision-language-action model")
-    assert key("dm\\_control: software") == key("dm_control: software")
-    assert key("SE(3) nets") == key("se (3) nets")
-    assert key("$ k $ means") == key("$k$ means")
-    assert key("Newton’s law") == key("Newton's law")
-    assert "vision language action model for robots" in value(spark, tx.title_keys(F.lit("vision-language-action model for robots")))
+    def keys(*titles):
+        return [r[0] for r in spark.createDataFrame([(t,) for t in titles], "t string").select(tx.title_key(F.col("t"))).collect()]
+
+    same = lambda *titles: len(set(keys(*titles))) == 1
+    assert same("A $\\beta_2$ bound for trees", "A β_{2} bound for trees", "a \\beta 2 {Bound} for Trees!")
+    assert same("Fast SO(3) pooling", "Fast SO (3) Pooling", "fast so 3 pooling")
+    assert same("The \\emph{quiet} river's bend", "The “quiet” river’s bend", "\\textbf{The quiet} river's bend")
+    assert same("log\\_file parsing", "log_file parsing", "log file parsing")
+    assert keys("Salt \\& Pepper: 5\\% of a 2 \\times 2 grid", None, "$$") == ["salt and pepper 5 percent of a 2 x 2 grid", "", ""]
+    readings = lambda t: value(spark, tx.title_keys(F.lit(t)))
+    assert readings("The self-made boat, May 2019") == ["the self-made boat may 2019", "the self-made boat", "the self-made boat may", "the self made boat may 2019", "the selfmade boat may 2019", "self-made boat may 2019"]
+    assert "slow boats" in readings("arXiv preprint arXiv:2101.00001 Slow boats") and "slow boats" in readings("Slow boats, arXiv:2101.00001")
+    assert readings("One") == [] and readings("The Boat") == ["the boat"]
     marked = lambda s: value(spark, tx.marked_id(F.lit(s)))
-    assert marked("arXiv preprint arXiv:2410.24164") == "2410.24164"
-    assert marked("arXiv:2504.16054") == "2504.16054"
-    assert marked("2410.24164") is None
+    assert marked("see arXiv: 2101.00001 (in press)") == "2101.00001"
+    assert marked("eprint 2101.00001") == "2101.00001"
+    assert marked("part 2101.00001") is None
+
+
+def test_recovered_prose(spark):
+    got = lambda s: value(spark, tx.recovered_prose(F.lit(s)))
+    assert got("} % We follow \\cite{a} in this.\n% and so on") == "We follow \\cite{a} in this."
+    assert got("We live with \\cite{b} here. % We follow \\cite{a} in this.") == "We live with \\cite{b} here. % We follow \\cite{a} in this."
+    assert got("Live text without any. % We follow \\cite{a} in this.") == "We follow \\cite{a} in this."
+    assert got("5\\% of it") == "5\\% of it" and got("") == "" and got("x % short") == "x % short"
+
+
+def test_sentence_flags(spark):
+    flags = lambda s: value(spark, tx.sentence_flags(F.lit(s)))
+    many = ", ".join(f"k{i}" for i in range(13))
+    assert flags("  ") == ["empty"] and flags("A plain sentence \\cite{a,b}.") == []
+    assert flags(f"}} \\label{{x}} \\cite{{{many}}}") == ["lead_junk", "label", "cite_spam"]
+    assert flags("\\subsubsection{A} \\begin{figure} \\IEEEPARstart{T}{he}") == ["section", "figure", "ieeeparstart"]
+    assert flags("1 2 3") == ["too_few_letters"] and flags("ab" * 451) == ["too_long"]
 
 
 def test_resolving(spark):
     library = spark.createDataFrame(
-        [("p", "a", {"journal": "arXiv preprint arXiv:2410.24164"}), ("p", "b", {"volume": "2410.24164"}), ("p", "c", {"eprint": "2504.16054", "journal": "arXiv:2410.24164"}), ("p", "d", {"title": "$\\pi_0.5$: a model with open-world generalization"})],
+        [("p", "a", {"journal": "arXiv preprint arXiv:2410.24164"}), ("p", "b", {"volume": "2410.24164"}), ("p", "c", {"eprint": "2504.16054", "journal": "arXiv:2410.24164"}), ("p", "d", {"title": "$\\omega_1$ and the well-ordered boats"})],
         "paper_id string, cite_key string, fields map<string,string>",
     )
-    index = spark.createDataFrame([("x",)], "t string").select(tx.title_key(F.lit("$π_{0.5}$: a model with open-world generalization")).alias("title_key"), F.lit("2504.16054").alias("id"))
+    index = spark.createDataFrame([("x",)], "t string").select(tx.title_key(F.lit("ω_{1} and the well-ordered boats")).alias("title_key"), F.lit("2504.16054").alias("id"))
     known = spark.createDataFrame([("2410.24164",), ("2504.16054",)], "id string")
     got = {r["cite_key"]: r["target"] for r in resolve.resolved_citations(library, index, known).collect()}
     assert got == {"a": "2410.24164", "c": "2504.16054", "d": "2504.16054"}
