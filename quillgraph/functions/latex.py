@@ -42,7 +42,7 @@ def cite_keys(text: str) -> list[str]:
 def sections(text: str) -> list[tuple[str, str]]:
     """(title, body) of every section, to the next one's start."""
     found = [(m.start(), m.end(), balanced(text, m.end() - 1)) for m in _SECTION.finditer(text)]
-    ends = [s for s, _, _ in found[1:]] + [len(text)]
+    ends = [s for s, _, _ in found[1:]] + [len(text)] * bool(found)
     return [(text[b : e - 1], text[e:end]) for (_, b, e), end in zip(found, ends, strict=True)]
 
 

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir (an own one where unset), read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir; what is there goes when the driver's JVM ends.
+
+    Where that is unset, a local run (one JVM) takes a temporary folder of its
+    own; on a cluster, where no other machine would see that, it is an error.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        top = getattr(spark.sparkContext, "_quillgraph_tables", None) or "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.sparkContext._quillgraph_tables = top
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        top = getattr(spark.sparkContext, "_quillgraph_folder", None) or "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+        spark.sparkContext._quillgraph_folder = top
     path = f"{top}/quillgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,6 +50,13 @@ def missing_from(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame
     return rows.join(done.select(key), key, "left_anti")
 
 
+def not_failed(rows: DataFrame, failed: DataFrame, key: str = "id") -> DataFrame:
+    """rows whose key is not in failed, neither as it is nor as the storage key without slashes."""
+    f = failed.select(F.col(key).alias("_failed")).distinct()
+    keys = rows.withColumn("_stored", F.replace(key, F.lit("/"), F.lit("")))
+    return keys.join(f, F.col(key) == F.col("_failed"), "left_anti").join(f, F.col("_stored") == F.col("_failed"), "left_anti").drop("_stored")
+
+
 def overridden(base: DataFrame, supplement: DataFrame, fields: tuple[str, ...], key: str = "id") -> DataFrame:
     """The union of both, the supplement's values first."""
     s = supplement.select(key, *[F.col(c).alias(f"_{c}") for c in fields])

@@ -6,13 +6,16 @@ import io
 import re
 import tarfile
 from collections.abc import Iterator
+from functools import reduce
 from html import unescape
-from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions import latex
+from quillgraph.operators.tables import written
+
 METADATA = "id string, submitter string, authors string, title string, comments string, `journal-ref` string, doi string, `report-no` string, categories string, license string, abstract string, versions array<struct<version: string, created: string>>, update_date string, authors_parsed array<array<string>>"
 
 
@@ -56,7 +59,7 @@ def read_embeddings(spark: SparkSession, base: str, supplement: str | None = Non
 
 
 def append_missing(new: DataFrame, path: str, key: str) -> int:
-    """Appends to a Parquet table the rows whose key it lacks, and returns how many."""
+    """Appends to a Parquet table the rows whose key it lacks, and returns how many. One writer at a time."""
     spark = new.sparkSession
     try:
         old = spark.read.parquet(path).select(key)
@@ -64,14 +67,28 @@ def append_missing(new: DataFrame, path: str, key: str) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = new.select(key).limit(0)
-    rows = new.dropDuplicates([key]).join(old, key, "left_anti").cache()
+    rows = written(new.dropDuplicates([key]).join(old, key, "left_anti"))
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)
-    rows.unpersist()
     return n
 
 
+def evolved_store(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet store whose parts may have come with more columns later on; rows of older parts have nulls there."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
+def edge_list(spark: SparkSession, path: str) -> DataFrame:
+    """(src, dst, ...) of a saved edge list: a Parquet table."""
+    return spark.read.parquet(path)
+
+
+def save_edge_list(edges: DataFrame, path: str) -> None:
+    """Saves edges clustered by source, so that a source's references lie in one file, with tight statistics for pruning."""
+    edges.repartition("src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(path)
+
+
 def ordered_papers(base: DataFrame, supplement: DataFrame) -> DataFrame:
     """(id, part, pos): the base in its order, then the supplement's other ids by id."""
     extra = supplement.select("id").distinct().join(base.select("id"), "id", "left_anti")
@@ -88,8 +105,8 @@ _GEXF_TAG = re.compile(r"<(node|edge)\b([^>]*?)(/>|>(.*?)</\1>)", re.S)
 _GEXF_ATTR = re.compile(r"""(\w+)=(?:"([^"]*)"|'([^']*)')""")
 
 
-def _quoted(x: str) -> str:
-    return '"' + escape(x, {'"': "&quot;", "\n": "&#10;"}) + '"'
+# Characters that XML attribute values can't hold as they are.
+_ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\n": "&#10;", "\r": "&#13;"}
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -119,24 +136,27 @@ def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One GEXF file for other tools, written through the driver row by row; Parquet is the primary format."""
-    import os
+def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line) of a GEXF file, in order: nodes (id, title and, if there, attributes map) and edges (src, dst, sentence, pos)."""
+    spark = nodes.sparkSession
+    quoted = lambda c: F.concat(F.lit('"'), reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _ESCAPES.items(), F.coalesce(c.cast("string"), F.lit(""))), F.lit('"'))
+    values = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("<attvalue for="), quoted(e["key"]), F.lit(" value="), quoted(e["value"]), F.lit("/>"))), "")
+    own = values(F.col("attributes")) if "attributes" in nodes.columns else F.lit("")
+    fixed = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<gexf version="1.2"><graph defaultedgetype="directed">'), (2, '<attributes class="edge"><attribute id="0" title="sentence" type="string"/></attributes>'), (3, "<nodes>"), (5, "</nodes>"), (6, "<edges>"), (8, "</edges>"), (9, "</graph></gexf>")]
+    frame = spark.createDataFrame(fixed, "part int, line string").select("part", F.array().cast("array<string>").alias("key"), "line")
+    key = lambda *c: F.array(*[x.cast("string") for x in c])
+    n = nodes.select(F.lit(4).alias("part"), key(F.col("id")).alias("key"), F.concat(F.lit("<node id="), quoted(F.col("id")), F.lit(" label="), quoted(F.col("title")), F.lit("><attvalues>"), own, F.lit("</attvalues></node>")).alias("line"))
+    e = edges.select(F.lit(7).alias("part"), key(F.lpad(F.col("pos").cast("string"), 20, "0"), F.col("src"), F.col("dst")).alias("key"), F.concat(F.lit("<edge source="), quoted(F.col("src")), F.lit(" target="), quoted(F.col("dst")), F.lit('><attvalues><attvalue for="0" value='), quoted(F.col("sentence")), F.lit("/></attvalues></edge>")).alias("line"))
+    return frame.unionByName(n).unionByName(e).orderBy("part", "key").select("line")
+
 
-    part = f"{path}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf version="1.2"><graph defaultedgetype="directed">\n<attributes class="edge"><attribute id="0" title="sentence" type="string"/></attributes>\n<nodes>\n')
-        for r in nodes.orderBy("id").toLocalIterator():
-            f.write(f"<node id={_quoted(str(r['id']))} label={_quoted(str(r['title']))}/>\n")
-        f.write("</nodes>\n<edges>\n")
-        for i, r in enumerate(edges.orderBy("pos", "src", "dst").toLocalIterator()):
-            f.write(f'<edge id="{i}" source={_quoted(str(r["src"]))} target={_quoted(str(r["dst"]))}><attvalues><attvalue for="0" value={_quoted(r["sentence"] or "")}/></attvalues></edge>\n')
-        f.write("</edges>\n</graph></gexf>\n")
-    os.replace(part, path)
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A folder with one GEXF file for other tools: sorted over all executors, then streamed through one task; Parquet is the primary format."""
+    gexf_lines(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
 
 
-def archive_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tex", ".bbl", ".bib"), largest: int = 1_500_000) -> DataFrame:
-    """(archive, name, text) of the text files in tar archives; larger ones are skipped."""
+def unpacked(archives: DataFrame, suffixes: tuple[str, ...] = (".tex", ".bbl", ".bib"), largest: int = 1_500_000) -> DataFrame:
+    """(archive, name, text) of the text files in tar archives (path, content); larger ones are skipped, as is anthology.bib."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -146,7 +166,23 @@ def archive_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("
                     rows += [(where, m.name, tar.extractfile(m).read().decode("utf-8", "replace")) for m in tar if m.isfile() and m.name.endswith(suffixes) and m.size <= largest and not m.name.endswith("anthology.bib")]
             yield pd.DataFrame(rows, columns=["archive", "name", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, name string, text string")
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, name string, text string")
+
+
+def archive_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tex", ".bbl", ".bib"), largest: int = 1_500_000) -> DataFrame:
+    """unpacked, for the tar files of a path."""
+    return unpacked(spark.read.format("binaryFile").load(path), suffixes, largest)
+
+
+def materialised_sources(texts: DataFrame) -> DataFrame:
+    """(archive, main, tex): each archive's main file (else its longest) with its inputs in place; texts as of unpacked."""
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        files = dict(zip(pdf["name"], pdf["text"], strict=True))
+        main = latex.main_file(files)
+        return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "main": [main], "tex": [latex.inlined(files, main)]})
+
+    return texts.groupBy("archive").applyInPandas(whole, "archive string, main string, tex string")
 
 
 def latest_records(records: DataFrame, key: str, order: list[str]) -> DataFrame:
