@@ -201,6 +201,25 @@ def test_exact_topk(spark):
         want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)}
     assert {tuple(r) for r in exact_topk(d, F.col("vec_id") % 20 == 0, 20).collect()} == want
     assert exact_topk(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    # repeated ids count each, but not for that id's own query; rows without an id take no part
+    same = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (1, [3.0]), (1, [3.0]), (None, [9.0])], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(r) for r in exact_topk(same, F.col("vec_id") % 20 == 0, 20).collect())
+    assert got == [(20, 1, 1, 64 * 192), (20, 1, 1, 128 * 192), (20, 2, 1, 64 * 192), (20, 2, 1, 128 * 192)]
+
+
+def test_topk_over_many_blocks_and_parts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillgraph.llm import exact_topk as module
+
+    for name, n in (("BLOCK_VECTORS", 40), ("BLOCK_QUERIES", 7), ("PART_BLOCKS", 3)):
+        monkeypatch.setattr(module, name, n)
+    rng = np.random.default_rng(6)
+    x = rng.integers(-900, 900, (700, 6)) / 64
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    score = np.floor(64 * x).astype(int) @ np.floor(64 * x).astype(int).T
+    want = {(q, r + 1, c, int(score[q, c])) for q in range(0, 700, 20) for r, c in enumerate(sorted((c for c in range(700) if c != q), key=lambda c: (-score[q, c], c))[:20])}
+    assert {tuple(r) for r in module.exact_topk(d, F.col("vec_id") % 20 == 0, 20, cells=8).collect()} == want
 
 
 def plain_spans(text):
