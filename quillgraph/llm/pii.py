@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -76,18 +77,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Words that stand by personal data, each a feature of its own.
 CUES = "tel telephone phone call mobile cell fax ring text email mail contact write at dot (at) [at] (dot) [dot] ip address host server card visa credit order number no invoice version page id year code".split()
 _SHAPE_NUMBERS = 4096
-_GROUPS = (_SHAPE_NUMBERS, 8, 8, 1 + len(CUES))
+#: Numbers of a word's features: its shape, length, digits, cue word, and marks (colons, dots, brackets).
+_GROUPS = (_SHAPE_NUMBERS, 8, 8, 1 + len(CUES), 32)
+#: Words whose features a worker keeps; longer ones are never kept.
+CACHED_WORDS, CACHED_CHARS = 100_000, 64
 
 
-@functools.cache
-def _shape(word: str) -> tuple[int, int, int, int]:
-    shape = re.sub(r"x{2,}", "x", re.sub(r"X{2,}", "X", re.sub(r"[^0-9A-Za-zÀ-ɏ]", lambda m: m[0] if m[0] in "@.+()-:/[]," else "_", re.sub(r"[a-zß-ɏ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", re.sub(r"[0-9]", "9", word[:64]))))))
-    digits = sum("0" <= c <= "9" for c in word)
+def _features_of(word: str) -> tuple[int, ...]:
+    shape = re.sub(r"x{2,}", "x", re.sub(r"X{2,}", "X", re.sub(r"[^0-9A-Za-zÀ-ɏ]", lambda m: m[0] if m[0] in "@.+()-:/[]," else "_", re.sub(r"[a-zß-ɏ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", re.sub(r"[0-9]", "9", word))))))
+    digits = len(_DIGITS.findall(word))
     number = 0
     for c in re.sub(r"9{5,}", "9999+", shape):
         number = (number * 131 + ord(c)) % 1_000_003
     bare = word.lower().strip(".,:;!?")
-    return number % _SHAPE_NUMBERS, min(7, len(word) // 3), min(7, digits // 2 + (digits > 0)), 1 + CUES.index(bare) if bare in CUES else 0
+    marks = min(3, word.count(":")) + 4 * min(3, word.count(".")) + 16 * ("[" in word or "(" in word)
+    return number % _SHAPE_NUMBERS, min(7, len(word) // 3), min(7, digits // 2 + (digits > 0)), 1 + CUES.index(bare) if bare in CUES else 0, marks
+
+
+_cached_features = functools.lru_cache(maxsize=CACHED_WORDS)(_features_of)
+
+
+def _shape(word: str) -> tuple[int, ...]:
+    return _cached_features(word) if len(word) <= CACHED_CHARS else _features_of(word)
 
 
 _OFFSETS = np.concatenate([[0], np.cumsum(_GROUPS)])
@@ -97,7 +108,7 @@ N_FEATURES = 3 * _OWN + 2
 
 
 def _word_features(words: list[str]) -> np.ndarray:
-    return np.array([_shape(w) for w in words], np.int64).reshape(-1, 4) + _OFFSETS[:4]
+    return np.array([_shape(w) for w in words], np.int64).reshape(-1, len(_GROUPS)) + _OFFSETS[: len(_GROUPS)]
 
 
 def _sequence_features(words: list[str]) -> np.ndarray:
@@ -107,7 +118,7 @@ def _sequence_features(words: list[str]) -> np.ndarray:
     return np.hstack([own, before, behind])
 
 
-def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list[int]]]:
+def labelled_table(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], list[int]]]:
     """The small labelled table: sentences of made-up words with made-up personal data and look-alikes."""
     rng = np.random.default_rng(seed)
     letters = list("aeiourtnslmdhkgbp")
@@ -121,18 +132,28 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list
 
     def email() -> str:
         at, dot = [("at", "dot"), ("(at)", "(dot)"), ("[at]", "[dot]"), ("(at)", "dot")][rng.integers(4)]
-        return f"{word()} {at} {word()} {dot} {['com', 'org', 'net', 'de'][rng.integers(4)]}"
+        gap = "" if at[0] in "([" and dot[0] in "([" and rng.random() < 0.4 else " "
+        return gap.join([word(), at, word(), dot, ["com", "org", "net", "de"][rng.integers(4)]])
 
     def card() -> str:
         x = "4" + num(14)
         x += str(next(d for d in range(10) if luhn(x + str(d))))
         return ".".join([x[:4], x[4:8], x[8:12], x[12:]])
 
+    def ip() -> str:
+        four = [str(rng.integers(0, 256 if rng.random() < 0.6 else 20)) for _ in range(4)]
+        hexes = lambda n: ["".join(rng.choice(list("0123456789abcdef"), rng.integers(1, 5))) for _ in range(n)]
+        return [
+            ":".join("".join(rng.choice(list("0123456789abcdef"), 4)) for _ in range(8)), ":".join(hexes(8)), ":".join(hexes(rng.integers(2, 4))) + "::" + ":".join(hexes(rng.integers(2, 4))), ":".join(hexes(4)).upper() + "::" + hexes(1)[0].upper(),
+            "[.]".join(four), "(.)".join(four), " dot ".join(four), ".".join(four[:2]) + "[.]" + "[.]".join(four[2:]), ".".join(four[:3]) + "[.]" + four[3], "[dot]".join(four), " (dot) ".join(four),
+        ][rng.integers(11)]
+
     def decoy() -> str:
         return [
+            f"{num(2)}:{num(2)}:{num(2)}", f"{word()}::{word()}", ":".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(6)), f"{word()}: {num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{word()} [{num(2)}]", f"{num(1)} dot {num(1)}",
             num(rng.integers(1, 9)), num(16), f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(3)},{num(3)}", f"{num(2)}:{num(2)}", f"{num(3)}-{num(2)}", f"${num(3)}.{num(2)}", "$$$", "***", f"{word()} at {word()}", f"{word()}, {word()}", f"{word()}.{word()}",
             f"no {num(8)}", f"invoice {num(10)}", f"version {num(1)}.{num(2)}", f"page {num(3)}", f"({num(4)})", f"{num(4)} {num(4)}", word().upper() + "!!", f"id {num(12)}", f'"{num(40)}"', f"{word()}@{num(2)}", f"{word()}|{word()}", "| " + word(),
-        ][rng.integers(26)]
+        ][rng.integers(33)]
 
     out = []
     for _ in range(rows):
@@ -144,21 +165,29 @@ def labelled_table(rows: int = 700, seed: int = 5) -> list[tuple[list[str], list
             words += some
             labels += [label] * len(some)
 
-        for _ in range(rng.integers(1, 5)):
-            add(" ".join(word().capitalize() if rng.random() < 0.1 else word() + ("," if rng.random() < 0.1 else "") for _ in range(rng.integers(1, 7))), 0)
-            kind = rng.integers(10)
+        for part in range(rng.integers(1, 5)):
+            if part or rng.random() < 0.8:  # some texts begin with what is to be found
+                add(" ".join(word().capitalize() if rng.random() < 0.1 else word() + ("," if rng.random() < 0.1 else "") for _ in range(rng.integers(1, 7))), 0)
+            kind = rng.integers(12)
             if kind < 2:
                 if rng.random() < 0.6:
                     add(["call", "phone:", "tel.", "Tel:", "mobile", "fax"][rng.integers(6)], 0)
                 add(phone() + [".", ",", "", ""][rng.integers(4)], LABELS.index("phone"))
-            elif kind == 2:
+            elif kind in (2, 5):
+                if rng.random() < 0.3:
+                    add(["mail", "contact:", "email:", "write to", "to"][rng.integers(5)], 0)
                 add(email() + [".", ""][rng.integers(2)], LABELS.index("email"))
             elif kind == 3 and rng.random() < 0.5:
                 add("card", 0)
                 add(card(), LABELS.index("card"))
+            elif kind == 4:
+                if rng.random() < 0.5:
+                    add(["host", "ip", "IP", "address", "server", "from"][rng.integers(6)], 0)
+                add(ip() + [".", ",", "", ""][rng.integers(4)], LABELS.index("ip"))
             else:
                 add(decoy(), 0)
-        add(word() + ".", 0)
+        if rng.random() < 0.8 or not words:
+            add(word() + ".", 0)
         out.append((words, labels))
     return out
 
@@ -177,7 +206,24 @@ def _passes(kind: int, text: str) -> bool:
         return 13 <= digits <= 19 and luhn("".join(_DIGITS.findall(text))) and not re.search(r"[A-Za-z]", text)
     if kind == 1:
         return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[(\[]\s*at\s*[)\]]|at)\s*[\w-]+(?:\s*(?:\.|[(\[]\s*dot\s*[)\]]|dot)\s*[\w-]+)+", text, re.I)) and bool(re.search(r"[(\[]|\bdot\b", text))
-    return kind == 2 and bool(re.fullmatch(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}", text))
+    return kind == 2 and _is_address(text)
+
+
+_NAMED_DOT = r"\s*(?:\[\.\]|\(\.\)|[\[(]\s*dot\s*[\])]|\s+dot\s+|\.)\s*"
+_DEFANGED = re.compile(rf"([0-9]{{1,3}}){_NAMED_DOT}([0-9]{{1,3}}){_NAMED_DOT}([0-9]{{1,3}}){_NAMED_DOT}([0-9]{{1,3}})", re.I)
+
+
+def _is_address(text: str) -> bool:
+    """An IPv6 address of three colons or more, or an IPv4 one whose dots are spelled out or put in brackets."""
+    if m := _DEFANGED.fullmatch(text):
+        return all(int(x) <= 255 for x in m.groups())
+    if text.count(":") < 3 or not re.fullmatch(r"[0-9A-Fa-f:.]+", text) or not _DIGITS.search(text):
+        return False
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return True
 
 
 def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
@@ -197,8 +243,8 @@ def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
         inner = last[last < len(codes) - 1]
         scores[inner] -= behind[codes[inner + 1]]
         # a missing neighbour counts once for each of its features
-        scores[first] += 4 * emit[3 * _OWN]
-        scores[last] += 4 * emit[3 * _OWN + 1]
+        scores[first] += len(_GROUPS) * emit[3 * _OWN]
+        scores[last] += len(_GROUPS) * emit[3 * _OWN + 1]
     crf32 = Crf(crf.emit, crf.move.astype(np.float32), crf.begin.astype(np.float32))
     labels = crf32.decoded(scores, starts)
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(starts) - 1)]
@@ -219,29 +265,30 @@ def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind and start,
-    comma-joined; counts and digest are those of the base patterns, spans has
-    the CRF's spans, too. Null and empty texts have none. Repeated rows give
+    comma-joined; counts by kind and digest are those of the base patterns, spans
+    and n_spans have the CRF's spans, too. Null and empty texts have none. Repeated rows give
     repeated rows.
     """
     ship(docs.sparkSession)
     crf = trained_crf()
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         for b in chunks(batches):
             text = b.column("text")
-            counts, digests, spans = [], [], []
+            counts, digests, spans, n_spans = [], [], [], []
             for t, more in zip(text, crf_spans(text, crf), strict=True):
                 base = base_spans(t.as_py() or "")
                 counts.append([sum(k == i for k, _, _ in base) for i in range(4)])
                 digests.append(hashlib.sha256(said(sorted(base)).encode()).hexdigest())
                 new = [x for x in more if all(x[2] <= a or e <= x[1] for _, a, e in base)]
                 spans.append(said(sorted(base + new)))
+                n_spans.append(len(base) + len(new))
             counts = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(counts[:, i]) for i in range(4)], pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(counts[:, i]) for i in range(4)], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names=names)
 
-    return columns_of(docs, doc_id="bigint", text="string").mapInArrow(find, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return columns_of(docs, doc_id="bigint", text="string").mapInArrow(find, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")

@@ -272,6 +272,77 @@ def test_personal_data(spark, small):
     assert "phone:12:26" in spans and "email:" in spans
 
 
+FOREIGN = {
+    "phone": ["Ring the office on (212) 736-5000 before noon.", "My number is 020 7946 0958, ask for Ben.", "Fax: 415-555-0132", "tel. 0049 301 2345678 for bookings", "Reach us at 617.495.1000 any day", "Call 650-253-0000, extension two"],
+    "email": ["Write to jane (at) uni-bonn (dot) de for a copy.", "contact: bob [at] mail [dot] com", "mail me: lee at gmail dot com please", "anna(at)example(dot)org answers fast", "support at kernel dot org handles it", "send it to zoe (at) web (dot) net"],
+    "ip": ["Traffic came from 2001:db8:85a3::8a2e:370:7334 all night.", "The gateway is fe80::1ff:fe23:4567:890a here", "host 203[.]0[.]113[.]7 was blocked", "they scanned 198.51.100[.]23 twice", "ip 10 dot 0 dot 0 dot 7 is the printer", "server 2001:0db8:0000:0042:0000:8a2e:0370:7334, port 80"],
+    "card": ["card 4111.1111.1111.1111 was charged", "paid with visa 4012.8888.8888.1881 yesterday", "use card 4222.2222.2222.2220 for tests"],
+}
+PLAIN = ["The meeting is at 12:30:45 on 12.04.2021 in room 204.", "Version 1.2.3 fixes std::vector and 14 more bugs.", "He paid $300.50 for 1,500 nails; see page 33.", "Look at dot plots: 3 dot 4 is not an address.", "Invoice 2021004512 of 2021-04-12 is paid.", "MAC a1:b2:c3:d4:e5:f6 is no address of this kind.", "It was a plain day, and nothing at all went wrong."]
+
+
+def test_crf_on_text_that_no_template_made():
+    import pyarrow as pa
+
+    from quillgraph.llm.pii import KINDS, crf_spans, trained_crf
+
+    crf = trained_crf()
+    for kind, texts in FOREIGN.items():
+        found = [any(KINDS[k] == kind for k, _, _ in spans) for spans in crf_spans(pa.array(texts), crf)]
+        assert sum(found) >= 0.8 * len(texts), (kind, [t for t, f in zip(texts, found) if not f])
+    assert crf_spans(pa.array(PLAIN), crf) == [[] for _ in PLAIN]
+    assert crf_spans(pa.array([], pa.string()), crf) == [] and crf_spans(pa.array([None, "", " "]), crf) == [[], [], []]
+
+
+def test_crf_spans_are_those_of_one_text_at_a_time(small):
+    """Fixed weights; every text decoded alone, from its words' own feature rows, by plain Viterbi."""
+    import pyarrow as pa
+
+    from quillgraph.llm.crf import Crf
+    from quillgraph.llm.pii import KINDS, LABELS, N_FEATURES, _passes, _sequence_features, crf_spans
+
+    rng = np.random.default_rng(21)
+    crf = Crf(rng.normal(size=(N_FEATURES, len(LABELS))), rng.normal(size=(len(LABELS), len(LABELS))), rng.normal(size=len(LABELS)))
+    texts = [r["text"] for r in small.limit(40).collect()] + [x for y in FOREIGN.values() for x in y] + ["", None, "one"]
+
+    def plain(text):
+        words = [m for m in WORD.finditer(text or "")]
+        if not words:
+            return []
+        scores = crf.emit[_sequence_features([m[0] for m in words])].sum(1)
+        best, back = [crf.begin + scores[0]], []
+        for row in scores[1:]:
+            step = best[-1][:, None] + crf.move
+            back.append(step.argmax(0))
+            best.append(step.max(0) + row)
+        labels = [int(best[-1].argmax())]
+        for b in back[::-1]:
+            labels.append(int(b[labels[-1]]))
+        labels, out, i = labels[::-1], [], 0
+        while i < len(words):
+            j = i
+            while j < len(words) and labels[j] == labels[i]:
+                j += 1
+            a, e = words[i].start(), words[j - 1].end()
+            while labels[i] and a < e and text[a] in ".,;:!?\"'<":
+                a += 1
+            while labels[i] and e > a and text[e - 1] in ".,;:!?\"'>":
+                e -= 1
+            if labels[i] and a < e and _passes(labels[i], text[a:e]):
+                out.append((labels[i] - 1, a, e))
+            i = j
+        return out
+
+    assert crf_spans(pa.array(texts, pa.string()), crf) == [plain(t) for t in texts]
+    assert len(KINDS) == 4
+
+
+def test_personal_data_in_an_empty_table(spark, small):
+    from quillgraph.llm.pii import personal_data
+
+    assert personal_data(small.limit(0)).count() == 0
+
+
 def test_viterbi_finds_the_best_path():
     from itertools import product
 
