@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import documents_of, materialize, ship
+from quillgraph.llm.common import documents_of, drop_tables, materialize, ship, tables_so_far
 from quillgraph.llm.words import chunks, numbered_words, row_of, spread
 
 SHINGLE_WORDS = 5
@@ -39,8 +39,10 @@ DF_BUCKETS = 1 << 17
 SMALL_BUCKET = 8
 #: Rounds of stars before the rest of each larger bucket is compared whole.
 ROUNDS = 4
-#: Pairs whose samples agree less are not read: with 48 samples a pair at 0.8 does so once in 10^5.
-LEAST_AGREEMENT = 26
+#: Pairs whose samples agree less are not read: with 48 samples a pair at 0.8 does so once in 10^8.
+LEAST_AGREEMENT = 20
+#: Rows of a chunk whose shingles are made at once; their numbers have that many bits in the shingles' keys.
+_ROW_BITS = 14
 _BLOCK = 32_768
 #: Texts a side in a cell of a larger bucket's comparison.
 _CELL = 512
@@ -84,6 +86,8 @@ def weighted_shingles(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.
     """(shingles, weights, starts): text i's distinct shingles, ascending, with their weights."""
     codes, vocabulary, starts = numbered_words(texts)
     rows = len(starts) - 1
+    if rows > 1 << _ROW_BITS:
+        raise ValueError(f"{rows} texts at once; the shingles' keys hold {1 << _ROW_BITS}")
     hashes = _word_buckets(vocabulary)
     weight = idf[(hashes % np.uint64(DF_BUCKETS)).astype(np.int64)] if len(hashes) else np.zeros(0, np.float32)
     n = np.diff(starts)
@@ -201,31 +205,29 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: fl
     held = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
-                distinct: dict[bytes, int] = {}
-                texts_of = []
-                for side in ("a", "b"):
-                    for d, t in zip(b.column(side).to_pylist(), b.column(f"text_{side}"), strict=True):
-                        if d not in distinct:
-                            distinct[d] = len(distinct)
-                            texts_of.append(t.as_py())
-                shingle, weight, starts = weighted_shingles(pa.array(texts_of, pa.string()), held.value)
-                sums = np.concatenate([[0.0], np.cumsum(weight)])
-                total = sums[starts[1:]] - sums[starts[:-1]]
-                value = np.zeros(b.num_rows)
-                for j, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)):
-                    x, y = distinct[x], distinct[y]
-                    p, q = slice(starts[x], starts[x + 1]), slice(starts[y], starts[y + 1])
-                    at = np.searchsorted(shingle[q], shingle[p])
-                    at[at == q.stop - q.start] = 0
-                    same = shingle[q][at] == shingle[p] if q.stop > q.start else np.zeros(p.stop - p.start, bool)
-                    common = np.minimum(weight[p][same], weight[q][at[same]]).sum()
-                    both = total[x] + total[y] - common
-                    value[j] = common / both if both else 0.0
-                keep = pa.array(value >= similarity - 1e-9)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+        for b in chunks(batches, "text_a", "text_b"):
+            distinct: dict[bytes, int] = {}
+            texts_of = []
+            for side in ("a", "b"):
+                for d, t in zip(b.column(side).to_pylist(), b.column(f"text_{side}"), strict=True):
+                    if d not in distinct:
+                        distinct[d] = len(distinct)
+                        texts_of.append(t.as_py())
+            shingle, weight, starts = weighted_shingles(pa.array(texts_of, pa.string()), held.value)
+            sums = np.concatenate([[0.0], np.cumsum(weight)])
+            total = sums[starts[1:]] - sums[starts[:-1]]
+            value = np.zeros(b.num_rows)
+            for j, (x, y) in enumerate(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)):
+                x, y = distinct[x], distinct[y]
+                p, q = slice(starts[x], starts[x + 1]), slice(starts[y], starts[y + 1])
+                at = np.searchsorted(shingle[q], shingle[p])
+                at[at == q.stop - q.start] = 0
+                same = shingle[q][at] == shingle[p] if q.stop > q.start else np.zeros(p.stop - p.start, bool)
+                common = np.minimum(weight[p][same], weight[q][at[same]]).sum()
+                both = total[x] + total[y] - common
+                value[j] = common / both if both else 0.0
+            keep = pa.array(value >= similarity - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     sides = [texts.select(F.col("digest").alias(s), F.col("text").alias(f"text_{s}")) for s in ("a", "b")]
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(hold, "a binary, b binary")
@@ -324,7 +326,10 @@ def links_between_classes(members: DataFrame, samples: DataFrame, texts: DataFra
 
     def linked(t: pa.Table) -> pa.Table:
         x, y, agree, label = candidates(t)
-        shingle, weight, starts = weighted_shingles(t.column("text").combine_chunks(), broadcast.value)
+        # texts a few MB at a time, as long ones need much more while their shingles are made
+        parts = [weighted_shingles(c.column("text"), broadcast.value) for c in chunks(t.select(["text"]).to_batches())] or [weighted_shingles(pa.array([], pa.string()), broadcast.value)]
+        shingle, weight, n = (np.concatenate(x) for x in zip(*[(s, w, np.diff(st)) for s, w, st in parts], strict=True))
+        starts = np.concatenate([[0], np.cumsum(n)])
         total = np.array([weight[a:b].sum() for a, b in zip(starts, starts[1:])])
 
         def similar(i: int, js: np.ndarray) -> np.ndarray:
@@ -387,6 +392,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     their class. n_links counts the links of a text that were used for its class,
     not all texts close to it. A null doc_id is kept and ranks first.
     """
+    spark = docs.sparkSession
+    since = tables_so_far(spark)
     d = documents_of(docs).select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
     idf = inverse_frequencies(*document_frequencies(d))
     signed = materialize(signatures(d, idf), "signatures")
@@ -446,6 +453,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         out = base.join(named, "digest", "left").select("doc_id", "digest", F.coalesce("class_digest", "digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     out = materialize(out, "classes")
     least = materialize(out.groupBy("class_digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
+    drop_tables(spark, since, out, least)
     return out.join(least, "class_digest").select("doc_id", "digest", "class_id", "class_digest", "class_size", "n_links")
 
 

@@ -8,20 +8,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text and rows handled at once; a longer text makes a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 4_000_000, 8_192
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `size` bytes of text."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // size
-        cuts = np.flatnonzero(np.diff(part)) + 1
-        for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-            yield b.slice(i, j - i)
+def chunks(batches: Iterator[pa.RecordBatch], *columns: str, size: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `size` bytes in the columns (by default text) and at most `rows` rows."""
+    for whole in batches:
+        for i in range(0, whole.num_rows, rows):
+            b = whole.slice(i, rows)
+            sizes = sum(pc.fill_null(pc.binary_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns or ("text",))
+            part = (np.cumsum(sizes) - sizes) // size
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            for j, k in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                yield b.slice(j, k - j)
 
 
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:

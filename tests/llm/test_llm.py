@@ -620,20 +620,22 @@ def test_span_hashes_depend_on_the_run_alone():
 
 
 def plain_near(docs, similarity=0.8):
-    """Classes by all pairs of weighted Jaccard similarities."""
-    import pyarrow as pa
+    """Classes by all pairs of weighted Jaccard similarities, with weights from their definition."""
+    from quillgraph.llm.near_dedup import DF_BUCKETS, _word_buckets
+
+    words = {i: WORD.findall(t or "") for i, t in docs.items()}
+    df, n = Counter(), len(docs)
+    bucket = {w: int(_word_buckets([w])[0]) % DF_BUCKETS for w in {w for x in words.values() for w in x}}
+    for x in words.values():
+        df.update(bucket[w] for w in set(x))  # words of a bucket are counted together
+    idf = {w: (1 + np.log((1 + n) / (1 + df[bucket[w]]))) / (1 + np.log(1 + n)) for w in bucket}
 
-    from quillgraph.llm.near_dedup import DF_BUCKETS, inverse_frequencies, weighted_shingles, _word_buckets
+    def weights(x):
+        out = Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4)) if len(x) >= 5 else Counter([tuple(x)] if x else [])
+        return {k: tf * max(1, min(255, round(255 * sum(idf[w] for w in k) / len(k)))) for k, tf in out.items()}
 
-    df = Counter()
-    for t in docs.values():
-        df.update(set(WORD.findall(t or "")))
-    counts = np.zeros(DF_BUCKETS, np.int64)
-    for w, n in df.items():
-        counts[int(_word_buckets([w])[0]) % DF_BUCKETS] += n
     ids = sorted(docs)
-    s, w, st = weighted_shingles(pa.array([docs[i] for i in ids], pa.string()), inverse_frequencies(counts, len(docs)))
-    sets = [dict(zip(s[a:b].tolist(), w[a:b].tolist())) for a, b in zip(st, st[1:])]
+    sets = [weights(words[i]) for i in ids]
     root = list(range(len(ids)))
 
     def find(x):
