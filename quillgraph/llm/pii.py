@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillgraph.llm.common import columns_of, ship
 from quillgraph.llm.crf import Crf
-from quillgraph.llm.words import chunks, numbered_words
+from quillgraph.llm.words import chunks, word_codes
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
@@ -79,26 +80,15 @@ CUES = "tel telephone phone call mobile cell fax ring text email mail contact wr
 _SHAPE_NUMBERS = 4096
 #: Numbers of a word's features: its shape, length, digits, cue word, and marks (colons, dots, brackets).
 _GROUPS = (_SHAPE_NUMBERS, 8, 8, 1 + len(CUES), 32)
-#: Words whose features a worker keeps; longer ones are never kept.
-CACHED_WORDS, CACHED_CHARS = 100_000, 64
+# a shape: capitals X, small letters x, digits 9, some marks as they are; runs of letters are one, long runs of digits 9999+
+_SHAPE = (("[0-9]", "9"), ("[A-ZÀ-Þ]", "X"), ("[a-zß-ɏ]", "x"), (r"[^9Xx@.+()\-:/\[\],]", "_"), ("X{2,}", "X"), ("x{2,}", "x"), ("9{5,}", "9999+"))
 
 
-def _features_of(word: str) -> tuple[int, ...]:
-    shape = re.sub(r"x{2,}", "x", re.sub(r"X{2,}", "X", re.sub(r"[^0-9A-Za-zÀ-ɏ]", lambda m: m[0] if m[0] in "@.+()-:/[]," else "_", re.sub(r"[a-zß-ɏ]", "x", re.sub(r"[A-ZÀ-Þ]", "X", re.sub(r"[0-9]", "9", word))))))
-    digits = len(_DIGITS.findall(word))
+def _number_of(shape: str) -> int:
     number = 0
-    for c in re.sub(r"9{5,}", "9999+", shape):
+    for c in shape:
         number = (number * 131 + ord(c)) % 1_000_003
-    bare = word.lower().strip(".,:;!?")
-    marks = min(3, word.count(":")) + 4 * min(3, word.count(".")) + 16 * ("[" in word or "(" in word)
-    return number % _SHAPE_NUMBERS, min(7, len(word) // 3), min(7, digits // 2 + (digits > 0)), 1 + CUES.index(bare) if bare in CUES else 0, marks
-
-
-_cached_features = functools.lru_cache(maxsize=CACHED_WORDS)(_features_of)
-
-
-def _shape(word: str) -> tuple[int, ...]:
-    return _cached_features(word) if len(word) <= CACHED_CHARS else _features_of(word)
+    return number % _SHAPE_NUMBERS
 
 
 _OFFSETS = np.concatenate([[0], np.cumsum(_GROUPS)])
@@ -107,8 +97,17 @@ _OWN = int(_OFFSETS[-1])
 N_FEATURES = 3 * _OWN + 2
 
 
-def _word_features(words: list[str]) -> np.ndarray:
-    return np.array([_shape(w) for w in words], np.int64).reshape(-1, len(_GROUPS)) + _OFFSETS[: len(_GROUPS)]
+def _word_features(words: pa.Array | list[str]) -> np.ndarray:
+    """A row of feature numbers for each word, made over all words at once."""
+    w = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+    shape = functools.reduce(lambda x, p: pc.replace_substring_regex(x, *p), _SHAPE, w).dictionary_encode()
+    numbers = np.array([_number_of(x) for x in shape.dictionary.to_pylist()], np.int64)
+    digits = pc.count_substring_regex(w, "[0-9]").to_numpy().astype(np.int64)
+    cue = pc.fill_null(pc.index_in(pc.utf8_trim(pc.utf8_lower(w), ".,:;!?"), pa.array(CUES, w.type)), -1).to_numpy().astype(np.int64)
+    count = lambda x: np.minimum(3, pc.count_substring(w, x).to_numpy().astype(np.int64))
+    bracket = pc.match_substring_regex(w, r"[\[(]").to_numpy(zero_copy_only=False)
+    columns = (numbers[shape.indices.to_numpy()], np.minimum(7, pc.utf8_length(w).to_numpy() // 3), np.minimum(7, digits // 2 + (digits > 0)), 1 + cue, count(":") + 4 * count(".") + 16 * bracket)
+    return np.stack(columns, 1).astype(np.int64).reshape(-1, len(_GROUPS)) + _OFFSETS[: len(_GROUPS)]
 
 
 def _sequence_features(words: list[str]) -> np.ndarray:
@@ -228,7 +227,7 @@ def _is_address(text: str) -> bool:
 
 def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
     """Per text (null: none) the CRF's spans that pass their kind's check."""
-    codes, vocabulary, starts = numbered_words(texts)
+    codes, vocabulary, starts = word_codes(texts)
     f = _word_features(vocabulary)
     emit = crf.emit.astype(np.float32)
     own, before, behind = emit[f].sum(1), emit[f + _OWN].sum(1), emit[f + 2 * _OWN].sum(1)
