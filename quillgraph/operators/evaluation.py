@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.hashing import stable_hash
 from quillgraph.operators.ranking import zscore
 
 
@@ -116,22 +117,22 @@ def score_decomposition(scored: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, draws: int = 10_000, seed: int = 0) -> DataFrame:
-    """(delta, lo, hi, p): mean of a - b, its 95 % interval by Poisson resampling of queries, and a sign-flip p-value.
+    """(delta, lo, hi, p): mean of a - b, its 95 % interval over resampled queries, and a sign-flip p-value.
 
-    Every query's weight and sign in a draw come from a hash, so reruns agree.
+    A draw takes as many queries as there are, with replacement. Which ones, and
+    the signs, come from hashes, so reruns agree.
     """
     d = pairs.select("qid", (F.col("a") - F.col("b")).cast("double").alias("d"))
-    x = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("qid", "draw", F.lit(seed)), F.lit(2**30)) / float(2**30)
-    # a Poisson(1) count from its distribution function
-    cdf = [0.36788, 0.73576, 0.9197, 0.98101, 0.99634, 0.99941]
-    count = F.lit(6)
-    for i, c in list(enumerate(cdf))[::-1]:
-        count = F.when(u < c, i).otherwise(count)
-    flip = F.when(F.pmod(F.xxhash64("draw", "qid", F.lit(seed + 1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    one = x.withColumn("c", count).withColumn("f", flip).groupBy("draw").agg((F.sum(F.col("d") * F.col("c")) / F.greatest(F.sum("c"), F.lit(1))).alias("m"), F.avg(F.col("d") * F.col("f")).alias("s"))
-    mean = d.agg(F.avg("d").alias("delta"))
-    r = one.crossJoin(mean)
+    # one row for each query of the evaluation
+    d = d.withColumn("i", F.row_number().over(Window.orderBy("qid")) - 1)
+    n = d.count()
+    if not n:
+        return d.agg(F.avg("d").alias("delta"), F.avg("d").alias("lo"), F.avg("d").alias("hi"), F.avg("d").alias("p"))
+    grid = pairs.sparkSession.range(draws).select((F.col("id") + 1).alias("draw")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    drawn = grid.withColumn("i", (stable_hash("draw", "k", seed) % n).cast("int")).join(d.select("i", "d"), "i").groupBy("draw").agg(F.avg("d").alias("m"))
+    sign = F.when(stable_hash("k", "draw", seed + 1) % 2 == 0, 1.0).otherwise(-1.0)
+    flipped = grid.join(d.select(F.col("i").alias("k"), "d"), "k").groupBy("draw").agg(F.avg(F.col("d") * sign).alias("s"))
+    r = drawn.join(flipped, "draw").crossJoin(d.agg(F.avg("d").alias("delta")))
     return r.agg(F.max("delta").alias("delta"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), ((F.count_if(F.abs("s") >= F.abs("delta") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
 
 
@@ -161,7 +162,7 @@ def pair_cosines(vectors: DataFrame, pairs: int, seed: int = 0) -> DataFrame:
 
     n = max(1, vectors.count())
     buckets = max(1, n * n // (2 * max(1, pairs)))
-    b = vectors.select("id", "emb", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(buckets)).alias("b"))
+    b = vectors.select("id", "emb", (stable_hash("id", seed) % buckets).alias("b"))
     c = b.join(b.select("b", F.col("id").alias("id2"), F.col("emb").alias("emb2")), "b").filter("id < id2").select(cosine(F.col("emb"), F.col("emb2")).alias("c"))
     p = lambda q: F.percentile("c", F.lit(q))
     return c.agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean"), F.stddev_pop("c").alias("sd"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
@@ -198,3 +199,18 @@ def window_blend(window: DataFrame, blend: float) -> DataFrame:
     """score = logit + blend * (1 - slot / window size)."""
     n = F.count(F.lit(1)).over(Window.partitionBy("qid"))
     return window.withColumn("score", F.col("logit") + blend * (1 - F.col("slot") / n))
+
+
+def domain_report(scored: DataFrame, head: int, margin: float, domain: str = "domain") -> DataFrame:
+    """(domain, n, tau, knee, p50, head_mean): for several domains, how a retrieval's scores (domain, slot, score) fall off; tau is the head's median less the margin."""
+    d = scored.withColumn("qid", F.col(domain))
+    t, k = default_threshold(d, head, margin), knee_rank(d, head, margin)
+    head_mean = _ranked(d).filter(F.col("_rn") <= head).groupBy("qid").agg(F.avg("score").alias("head_mean"))
+    n = d.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(0.5)).alias("p50"))
+    return n.join(t, "qid").join(k, "qid").join(head_mean, "qid").select(F.col("qid").alias(domain), "n", "tau", "knee", "p50", "head_mean")
+
+
+def promoted(metrics: DataFrame, candidate: str, baseline: str, bar: float) -> DataFrame:
+    """(candidate, baseline, delta, promote) of metrics (system, value): promoted where the candidate is over the bar."""
+    value = lambda s: F.max(F.when(F.col("system") == s, F.col("value")))
+    return metrics.agg(value(candidate).alias("candidate"), value(baseline).alias("baseline")).select("candidate", "baseline", (F.col("candidate") - F.col("baseline")).alias("delta"), (F.col("candidate") > bar).alias("promote"))

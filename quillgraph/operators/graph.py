@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.hashing import stable_hash
 from quillgraph.functions.ids import citer_allowed
 
 
@@ -146,9 +147,10 @@ def cocitations(edges: DataFrame, most_refs: int = 80, keep: int = 64, seed: int
     """(i, j, w): how many citers have both; `keep` partners a node, of most weight, then of least id.
 
     A citer's references are capped at most_refs in hash order before they are
-    paired, so that a long list costs at most most_refs squared pairs.
+    paired, so that a long list costs at most most_refs squared pairs; for citers
+    with more references the counts are those of that sample.
     """
-    w = Window.partitionBy(*extra, "src").orderBy(F.xxhash64("dst", "src", F.lit(seed)), "dst")
+    w = Window.partitionBy(*extra, "src").orderBy(stable_hash("dst", "src", seed), "dst")
     e = edges.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most_refs).select(*extra, "src", "dst")
     a, b = e.withColumnRenamed("dst", "i"), e.withColumnRenamed("dst", "j")
     pairs = a.join(b, [*extra, "src"]).filter("i != j").groupBy(*extra, "i", "j").agg(F.count(F.lit(1)).alias("w"))
@@ -157,9 +159,8 @@ def cocitations(edges: DataFrame, most_refs: int = 80, keep: int = 64, seed: int
 
 
 def folds(ids: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(id, fold): ids dealt evenly in the order of a seeded hash, ids that share a hash bucket side by side."""
-    h = F.xxhash64("id", F.lit(seed))
-    b = ids.select("id").distinct().withColumn("_h", h).withColumn("_b", F.pmod("_h", F.lit(256)))
+    """(id, fold): ids dealt evenly in the order of a seeded hash; they are numbered inside the hash's first eight bits."""
+    b = ids.select("id").distinct().withColumn("_h", stable_hash("id", seed)).withColumn("_b", F.shiftright("_h", 52))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "id")) - 1
     first = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_first", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
     return b.withColumn("_i", inside).join(F.broadcast(first), "_b").select("id", ((F.col("_first") + F.col("_i")) % k).cast("int").alias("fold"))
@@ -242,3 +243,18 @@ def personalised_pagerank(edges: DataFrame, seeds: DataFrame, steps: int = 20, d
         back = s.join(kept, "qid", "left").select("qid", "id", (F.col("p") * (1 - damping * F.coalesce("moved", F.lit(0.0)))).alias("home"))
         rank = written(sent.join(back, ["qid", "id"], "full").select("qid", "id", (damping * F.coalesce("got", F.lit(0.0)) + F.coalesce("home", F.lit(0.0))).alias("p")))
     return rank.withColumnRenamed("p", "rank")
+
+
+def cutoff_pack(edges: DataFrame, vectors: DataFrame, masked: DataFrame, required: DataFrame, near: int = 16, total: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, cocitations, neighbours) of a cutoff, all made after the masked sources' (id) references are gone.
+
+    Raises where a required paper (id) has no vector (id, emb).
+    """
+    from quillgraph.operators.universe import neighbour_lists
+
+    gone = required.select("id").distinct().join(vectors.select("id"), "id", "left_anti").count()
+    if gone:
+        raise ValueError(f"{gone} required papers have no vector")
+    seen = masked_view(edges, masked)
+    both = cocitations(seen)
+    return seen, both, neighbour_lists(seen, vectors, both, near, total)

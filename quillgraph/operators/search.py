@@ -55,10 +55,10 @@ def year_histogram(rows: DataFrame, date: str = "update_date", last: int = 40) -
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, least: float | None = None, limit: int = 20, offset: int = 0) -> DataFrame:
-    """A page by cosine: vectors (id, emb), queries (qid, emb), a stated set of few query vectors."""
-    from quillgraph.functions.vectors import cosine
+    """A page by cosine: vectors (id, emb), queries (qid, emb)."""
+    from quillgraph.functions.vectors import block_scores
 
-    d = queries.select("qid", F.col("emb").alias("_q")).join(vectors.select("id", "emb")).select("qid", "id", F.round(cosine(F.col("_q"), F.col("emb")), 9).alias("score"))
+    d = block_scores(queries.select(F.col("qid").alias("id"), "emb"), vectors.select("id", "emb")).select("qid", F.col("cid").alias("id"), F.round("cosine", 9).alias("score"))
     return page(d.filter(F.col("score") >= least) if least is not None else d, [F.col("score").desc(), F.col("id")], limit, offset)
 
 

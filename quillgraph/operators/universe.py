@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import gate_year
-from quillgraph.functions.vectors import cosine
+from quillgraph.functions.vectors import block_scores, cosine
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators.ranking import ranked_union
 
 
 def prototype_scores(corpus: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """(id, score): each paper's best cosine, to nine digits, over the prototypes (emb), which are a few query vectors."""
-    return corpus.join(prototypes.select(F.col("emb").alias("_p"))).groupBy("id").agg(F.round(F.max(cosine(F.col("emb"), F.col("_p"))), 9).alias("score"))
+    """(id, score): each paper's best cosine, to nine digits, over the prototypes (emb); 0 for a paper without a vector."""
+    p = prototypes.filter("emb is not null").select(F.monotonically_increasing_id().alias("id"), "emb")
+    best = block_scores(p, corpus.filter("emb is not null").select("id", "emb")).groupBy(F.col("cid").alias("id")).agg(F.max("cosine").alias("_s"))
+    return corpus.select("id").distinct().join(best, "id", "left").select("id", F.round(F.coalesce("_s", F.lit(0.0)), 9).alias("score"))
 
 
 def domain_retrieval(corpus: DataFrame, prototypes: DataFrame, min_year: int | None, most: int, head: int = 100, margin: float = 0.05, tau: float | None = None, year: Column | None = None) -> DataFrame:
@@ -94,11 +96,15 @@ def sentence_alignment(queries: DataFrame, sentences: DataFrame, most: int = 16)
 
 
 def neighbour_lists(edges: DataFrame, vectors: DataFrame, cocite: DataFrame, near: int = 16, total: int = 32) -> DataFrame:
-    """(id, other, ord): a paper's citers by cosine, then its co-cited papers by weight."""
+    """(id, other, ord): a paper's `near` citers by cosine, to nine digits, then its co-cited papers by weight, `total` in all.
+
+    vectors (id, emb) are whitened ones, where the cosine is to be one of whitened vectors.
+    """
     v = vectors.select("id", "emb")
     c = edges.select(F.col("dst").alias("id"), F.col("src").alias("other")).join(v, "id").join(v.select(F.col("id").alias("other"), F.col("emb").alias("_e")), "other")
     w = Window.partitionBy("id")
-    c = c.withColumn("ord", F.row_number().over(w.orderBy(cosine(F.col("emb"), F.col("_e")).desc(), "other"))).filter(F.col("ord") <= near)
+    c = c.withColumn("_c", F.round(cosine(F.col("emb"), F.col("_e")), 9))
+    c = c.withColumn("ord", F.row_number().over(w.orderBy(F.col("_c").desc(), "other"))).filter(F.col("ord") <= near)
     k = cocite.select(F.col("i").alias("id"), F.col("j").alias("other"), "w").withColumn("ord", F.row_number().over(w.orderBy(F.col("w").desc(), "other"))).filter(F.col("ord") <= total)
     return ranked_union([c.select("id", "other", "ord"), k.select("id", "other", "ord")], total, "id", "other")
 
@@ -124,11 +130,11 @@ def struct_features_of_universe(universe: DataFrame, queries: DataFrame, degrees
 def coarse_ranking(features: DataFrame, mode: str, most: int, weights: dict | None = None, score: Callable[[DataFrame], DataFrame] | None = None, prefilter: int = 800) -> DataFrame:
     """(qid, cid, score, ord): heuristic, linear (weights, bias, mean, sd), or a model over the `prefilter` best by the heuristic.
 
-    score(features) returns (qid, cid, score).
+    score(features) returns (qid, cid, score). Scores are compared to nine digits.
     """
     from quillgraph.operators.ranking import heuristic_score, linear_score
 
-    order = lambda d: d.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "cid")).cast("bigint"))
+    order = lambda d: d.withColumn("ord", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "cid")).cast("bigint"))
     if mode == "heuristic":
         d = features.withColumn("score", heuristic_score())
     elif mode == "linear":

@@ -76,3 +76,13 @@ def put_state(state: DataFrame, changes: DataFrame) -> DataFrame:
     """Key-value state after changes (key, value, seq): the last change of a key wins."""
     last = changes.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
     return state.join(last.select("key"), "key", "left_anti").select("key", "value").unionByName(last)
+
+
+def corpus_update(metadata: DataFrame, topics: DataFrame, vectors: DataFrame, label, encode, since: str) -> tuple[DataFrame, DataFrame]:
+    """(new topics, new vectors) of papers (id, ..., update_date) from `since` on that lack them.
+
+    label(papers) returns (id, topic), encode(papers) returns (id, embedding):
+    the models, as functions of tables.
+    """
+    fresh = metadata.filter(F.col("update_date") >= since)
+    return label(missing_from(fresh, topics)), encode(missing_from(fresh, vectors))

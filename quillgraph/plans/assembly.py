@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import cosine
+from quillgraph.functions.vectors import block_scores
 from quillgraph.operators import contracts, datasets, models, search, universe
 from quillgraph.operators import graph as g
 from quillgraph.plans.registry import Tables, query
@@ -41,13 +41,6 @@ def hop2(t: Tables) -> DataFrame:
     return universe.second_hop(t.edges, s).withColumn("support", r6("support"))
 
 
-@query("w39_neighbour_lists", """with n as (select e.dst as id, e.src as other, row_number() over (partition by e.dst order by list_cosine_similarity(a.v, b.v) desc, e.src) as ord from edges e join vec a on a.id = e.dst join vec b on b.id = e.src) select id, other, cast(ord as bigint) as ord from n where ord <= 16""", "edges", "vec")
-def w39(t: Tables) -> DataFrame:
-    v = t.vec.select("id", F.col("v").alias("emb"))
-    none = t.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(0).alias("w")).filter("false")
-    return universe.neighbour_lists(t.edges, v, none)
-
-
 @query("g14_query_subgraph", """with w as (select src as qid, dst as cid from edges), n as (select qid, cid as id from w union select qid, qid from w) select n.qid, e.src, e.dst from n join edges e on e.src = n.id join n m on m.qid = n.qid and m.id = e.dst where not exists (select 1 from w where w.qid = n.qid and e.src = n.qid and w.cid = e.dst)""", "edges")
 def g14(t: Tables) -> DataFrame:
     w = t.edges.select(F.col("src").alias("qid"), F.col("dst").alias("cid"))
@@ -76,7 +69,7 @@ def w42(t: Tables) -> DataFrame:
 def w44(t: Tables) -> DataFrame:
     v = t.vec
     q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("emb"))
-    s = q.select("qid", F.col("emb").alias("q")).join(v.select("id", F.col("v").alias("emb"))).filter("id <> qid").select("qid", "id", F.round(cosine(F.col("q"), F.col("emb")), 9).alias("score")).filter("score >= 0")
+    s = block_scores(q.select(F.col("qid").alias("id"), "emb"), v.select("id", F.col("v").alias("emb"))).filter("cid <> qid").select("qid", F.col("cid").alias("id"), F.round("cosine", 9).alias("score")).filter("score >= 0")
     return search.page(s, [F.col("score").desc(), F.col("id")], 10, 5).select("qid", "id", r6("score").alias("score"), "ord", "total")
 
 
@@ -154,23 +147,6 @@ def x11(t: Tables) -> DataFrame:
     return datasets.contrast_pairs(t.win, 2)
 
 
-@query("x12_list_sample")
-def x12(t: Tables) -> DataFrame:
-    return datasets.list_sample(t.win, 32)
-
-
-@query("x07_samples_with_negatives")
-def x07(t: Tables) -> DataFrame:
-    w = t.win
-    return datasets.samples_with_negatives(w.filter("is_gold").select("qid", "cid"), w.select("qid", "cid", F.col("gat").alias("score")), 20)
-
-
-@query("x08_task_expansion")
-def x08(t: Tables) -> DataFrame:
-    s = t.edges.groupBy(F.col("src").alias("source_id")).agg(F.array_sort(F.collect_set("dst")).alias("gold_ids"))
-    return datasets.tasks(s)
-
-
 @query("m17_listwise_loss", "select qid, round(ln(sum(exp(gat))) - avg(case when is_gold then gat end), 5) as loss from win group by 1 having count(*) filter (where is_gold) > 0", "win")
 def m17(t: Tables) -> DataFrame:
     return t.win.groupBy("qid").agg(*models.listwise_loss(F.col("gat"), F.col("is_gold"))).filter("loss is not null").select("qid", F.round("loss", 5).alias("loss"))

@@ -188,17 +188,6 @@ def a05(t: Tables) -> DataFrame:
     return g.cocitations(t.edges)
 
 
-@query("a06_fold_cocitation")
-def a06(t: Tables) -> DataFrame:
-    e = t.edges
-    return g.cocitations(g.fold_out(e, g.folds(e.select(F.col("src").alias("id")), 3)), extra=("fold",))
-
-
-@query("g12_folds")
-def g12(t: Tables) -> DataFrame:
-    return g.folds(t.edges.select(F.col("src").alias("id")), 5)
-
-
 @query("g13_fold_out", "with k as (select unnest([0, 1, 2]) as fold) select fold, src, dst from edges cross join k where src % 3 <> fold", "edges")
 def g13(t: Tables) -> DataFrame:
     e = t.edges

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.vectors import cosine, distance
+from quillgraph.functions.vectors import block_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,18 +85,14 @@ class Tables:
 
     @property
     def win(self) -> DataFrame:
-        """Every query (ids divisible by 20) against all other rows; two channels, gold by equal label.
-
-        Candidates are dealt out and the queries, a twentieth, are joined to their blocks.
-        """
-        v = self.vec
-        q = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-        c = v.select(F.col("id").alias("cid"), F.col("label").alias("cl"), F.col("v").alias("cv"))
-        j = q.join(c, F.col("qid") != F.col("cid"))
+        """Every query (ids divisible by 20) against all other rows, block by block; two channels, gold by equal label."""
+        v = self.vec.select("id", F.col("v").alias("emb"))
+        labels = self.vec.select("id", "label")
+        d = block_scores(v.filter("id % 20 = 0"), v).filter("qid <> cid")
+        d = d.join(labels.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").join(labels.select(F.col("id").alias("cid"), F.col("label").alias("cl")), "cid")
         slot = F.row_number().over(Window.partitionBy("qid").orderBy("cid")) - 1
-        ce = F.when(F.col("cid") % 13 != 0, F.round(cosine(F.col("qv"), F.col("cv")), 9))
-        d = j.select("qid", "cid", ce.alias("ce"), F.round(-distance(F.col("qv"), F.col("cv")), 9).alias("gat"), F.coalesce(F.col("ql") == F.col("cl"), F.lit(False)).alias("is_gold"))
-        return d.withColumn("slot", slot.cast("bigint"))
+        ce = F.when(F.col("cid") % 13 != 0, F.round("cosine", 9))
+        return d.select("qid", "cid", ce.alias("ce"), F.round(-F.col("distance"), 9).alias("gat"), F.coalesce(F.col("ql") == F.col("cl"), F.lit(False)).alias("is_gold"), slot.cast("bigint").alias("slot"))
 
     @property
     def ranked(self) -> DataFrame:

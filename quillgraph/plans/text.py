@@ -48,11 +48,6 @@ def p21(t: Tables) -> DataFrame:
     return t.read("benchmark").select("item_id", F.size(tx.fts_query_terms(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("f05_comment_strip")
-def f05(t: Tables) -> DataFrame:
-    return t.read("documents").select("doc_id", tx.without_comments(F.col("text")).alias("text"))
-
-
 @query("f03_clean_sentences")
 def f03(t: Tables) -> DataFrame:
     raw = F.concat(F.lit("\\textbf{We} follow "), "source", F.lit(" \\citep{a, b} % note\n\\label{x} and "), "text")
@@ -87,16 +82,18 @@ def f33(t: Tables) -> DataFrame:
 
 @query("g01_seed_graph", "select concat('o', l_orderkey) as src, concat('2401.', lpad(cast(l_partkey as varchar), 5, '0')) as dst, concat('We use \\cite{k', l_partkey, '} in this work.') as sentence from lineitem group by l_orderkey, l_partkey")
 def g01(t: Tables) -> DataFrame:
-    """Papers whose LaTeX cites their parts by key, and whose bibliography names them by id."""
-    key = F.concat(F.lit("k"), F.col("l_partkey").cast("string"))
-    arxiv = F.concat(F.lit("2401."), F.lpad(F.col("l_partkey").cast("string"), 5, "0"))
-    l = t.read("lineitem").select("l_orderkey", F.concat(F.lit("We use \\cite{"), key, F.lit("} in this work.")).alias("s"), F.concat(F.lit("\\bibitem{"), key, F.lit("} A. Author. \\newblock Some title. \\newblock arXiv:"), arxiv).alias("b"))
+    """Papers whose LaTeX cites their parts by key; the bibliography names even parts by id and odd ones by title."""
+    n = F.col("l_partkey")
+    key = F.concat(F.lit("k"), n.cast("string"))
+    of = lambda c: F.concat(F.lit("2401."), F.lpad(c.cast("string"), 5, "0"))
+    title = lambda c: F.concat(F.lit("On \\emph{part} "), c.cast("string"), F.lit(" and its $\\alpha_2$ Makers"))
+    entry = F.when(n % 2 == 0, F.concat(F.lit("Some title. \\newblock arXiv:"), of(n))).otherwise(F.concat(title(n), F.lit(". \\newblock A Press")))
+    l = t.read("lineitem").select("l_orderkey", F.concat(F.lit("We use \\cite{"), key, F.lit("} in this work.")).alias("s"), F.concat(F.lit("\\bibitem{"), key, F.lit("} A. Author. \\newblock "), entry).alias("b"))
     papers = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s")).alias("s"), F.sort_array(F.collect_set("b")).alias("b"))
     tex = F.concat(F.array_join("s", " "), F.lit(" \\begin{thebibliography} "), F.array_join("b", " "), F.lit(" \\end{thebibliography}"))
     papers = papers.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), tex.alias("tex"))
-    known = t.read("part").select(F.concat(F.lit("2401."), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("id"))
-    titles = t.read("part").select(F.lower("p_name").alias("title_key"), F.lit("none").alias("id")).filter("false")
-    return build.cited_edges(papers, titles, known).select("src", "dst", "sentence")
+    parts = t.read("part").select("p_partkey", of(F.col("p_partkey")).alias("id"))
+    return build.cited_edges(papers, parts.select(tx.title_key(title(F.col("p_partkey"))).alias("title_key"), "id"), parts.select("id")).select("src", "dst", "sentence")
 
 
 @query("j19_aligned_predictions")

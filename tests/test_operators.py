@@ -286,3 +286,58 @@ def test_bm25_before_a_month(spark):
         got[r["qid"]].append((-round(r["score"], 9), r["doc"]))
     assert got == want
     assert len(got["q2"]) == 10 and not got["q4"]
+
+
+def test_contracts_of_pools_and_packs(spark):
+    from quillgraph.operators import datasets, pool
+
+    assert pool.chosen_ranker({"linear", "ltr"}) == "ltr" and pool.chosen_ranker(set()) == "heuristic" and pool.chosen_ranker({"ce_sent", "ce"}) == "ce_sent"
+    window = spark.createDataFrame([(1, 0, 10), (1, 1, 11)], "qid int, slot int, cid int")
+    gat = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.7)], "qid int, cid int, gat double")
+    for bad in ([(1, 10, 0.5)], [(1, 10, 0.5), (1, 11, float("nan"))], [(1, 10, 0.5), (1, 11, float("inf"))]):
+        with pytest.raises(ValueError, match="1 candidates without a finite CE score"):
+            pool.scored_window(window, spark.createDataFrame(bad, "qid int, cid int, ce double"), gat)
+    edges = spark.createDataFrame([("a", "x", "s", 0), ("a", "y", "s", 1), ("b", "x", "s", 2), ("b", "y", "s", 3)], "src string, dst string, sentence string, pos bigint")
+    vectors = spark.createDataFrame([(i, [1.0, float(n)]) for n, i in enumerate("abxy")], "id string, emb array<double>")
+    none = vectors.select("id").limit(0)
+    with pytest.raises(ValueError, match="1 required papers have no vector"):
+        g.cutoff_pack(edges, vectors, none, spark.createDataFrame([("z",)], "id string"))
+    seen, both, near = g.cutoff_pack(edges, vectors, spark.createDataFrame([("b",)], "id string"), none)
+    assert seen.count() == 2 and {(r["i"], r["j"], r["w"]) for r in both.collect()} == {("x", "y", 1), ("y", "x", 1)}
+    assert {(r["id"], r["other"], r["ord"]) for r in near.collect()} == {("x", "a", 1), ("x", "y", 2), ("y", "a", 1), ("y", "x", 2)}
+    pools = spark.createDataFrame([("a", "", "", ["x", "y"])], "source_id string, title string, abstract string, pool_ids array<string>")
+    papers = spark.createDataFrame([("a", "A title", "An abstract")], "id string, title string, abstract string")
+    gold = spark.createDataFrame([("a", ["x"])], "source_id string, gold_ids array<string>")
+    made, rows, counts = datasets.adapter_dataset(pools, papers, gold, {"test": none})
+    assert made.count() == 4 and {r["name"]: r["n"] for r in counts.collect()} == {"bundle": 2, "one": 2, "rows": 1, "skipped": 0}
+    assert rows.first()["title"] == "A title" and rows.first()["abstract"] == "An abstract"
+    with pytest.raises(ValueError, match="train_test: 1 ids"):
+        datasets.adapter_dataset(pools, papers, gold, {"test": spark.createDataFrame([("a",)], "id string")})
+
+
+def test_block_scores_of_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quillgraph.functions import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 5)
+    x = np.random.default_rng(1).normal(size=(23, 4))
+    x[7] = 0
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, emb array<double>")
+    got = {(r["qid"], r["cid"]): (r["cosine"], r["distance"]) for r in vectors.block_scores(d.filter("id < 8"), d).collect()}
+    assert len(got) == 8 * 23
+    for (q, c), (cosine, distance) in got.items():
+        norms = np.linalg.norm(x[q]) * np.linalg.norm(x[c])
+        assert abs(cosine - (x[q] @ x[c] / norms if norms else 0.0)) < 1e-12 and abs(distance - np.linalg.norm(x[q] - x[c])) < 1e-12
+    assert vectors.block_scores(d.limit(0), d).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillgraph.operators.tables import shared_path
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir is unset"):
+        shared_path(session)
