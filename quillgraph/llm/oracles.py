@@ -17,16 +17,18 @@ EXACT_TOPK = """
         select query_id, "rank", vec_id, score from r where "rank" <= 20"""
 
 LINE_DEDUP = r"""
-with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-h as (select *, list_transform(lines, lambda x: cast(concat('0x', substr(md5(x), 1, 7)) as bigint)) as hs from d),
-s as (select doc_id, unnest(list_filter(range(0, len(lines)), lambda i: i = 0 or (hs[i] * 31 + coalesce(hs[i - 1], 0) * 17) % 3 = 0)) as s from h),
-e as (select doc_id, s, lead(s) over (partition by doc_id order by s) as e from s),
-c as (select e.doc_id, s, coalesce(e, len(lines)) as e, lines[s + 1 : coalesce(e, len(lines))] as part from e join d on d.doc_id = e.doc_id),
-m as (select doc_id, s, e, array_to_string(part, chr(10)) as chunk, len(list_filter(part, lambda x: trim(translate(x, concat(chr(9), chr(13), chr(11), chr(12)), '    ')) <> '')) >= 2 as several from c),
-r as (select *, several and row_number() over (partition by several, chunk order by doc_id, s) > 1 as gone from m)
-select doc_id, coalesce(string_agg(case when not gone then chunk end, chr(10) order by s), '') as text,
-  cast(max(e) as bigint) as n_lines, cast(sum(case when gone then e - s else 0 end) as bigint) as n_removed
-from r group by doc_id
+with d as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, unnest(range(0, len(lines))) as i from d),
+f as (select doc_id, i, cast(concat('0x', substr(md5(line), 1, 7)) as bigint) as h, row_number() over w - 1 as j, count(*) over (partition by doc_id) - 1 as last from l where trim(translate(line, concat(chr(9), chr(13), chr(11), chr(12)), '    ')) <> '' window w as (partition by doc_id order by i)),
+p as (select *, lag(h) over w as h0, lag(i) over w as i0 from f window w as (partition by doc_id order by j)),
+a as (select * from p where j >= 1 and (j = 1 or j = last or (h * 31 + h0 * 17) % 3 <> 0)),
+n as (select *, lead(j) over w as j2, lead(i) over w as i2 from a window w as (partition by doc_id order by j)),
+c as (select doc_id, i0 as s, i as e from n union all select doc_id, i0, i2 from n where j2 - j > 2),
+t as (select c.doc_id, s, e, array_to_string(lines[s + 1 : e + 1], chr(10)) as chunk from c join d on d.doc_id = c.doc_id),
+r as (select *, row_number() over (partition by chunk order by doc_id, s, e) > 1 as gone from t),
+g as (select distinct doc_id, unnest(range(s, e + 1)) as i from r where gone),
+k as (select l.doc_id, string_agg(l.line, chr(10) order by l.i) as text, count(*) as n from l left join g on g.doc_id = l.doc_id and g.i = l.i where g.i is null group by 1)
+select d.doc_id, coalesce(k.text, '') as text, cast(len(lines) as bigint) as n_lines, cast(len(lines) - coalesce(k.n, 0) as bigint) as n_removed from d left join k on k.doc_id = d.doc_id
 """
 
 

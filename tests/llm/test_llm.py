@@ -362,24 +362,22 @@ def test_viterbi_finds_the_best_path():
 
 
 def plain_line_dedup(docs):
-    """First occurrences in the order of id (all texts differ here)."""
-    def chunks(text):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        cut = [0] + [i for i in range(1, len(lines)) if (h[i - 1] * 31 + (h[i - 2] if i > 1 else 0) * 17) % 3 == 0]
-        return [lines[a:b] for a, b in zip(cut, [*cut[1:], len(lines)])]
+    """First occurrences in the order of id, line and length (all texts differ here)."""
+    def chunks(lines):
+        at = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        h = [int(hashlib.md5(lines[i].encode()).hexdigest()[:7], 16) for i in at]
+        anchors = [j for j in range(1, len(at)) if j in (1, len(at) - 1) or (h[j] * 31 + h[j - 1] * 17) % 3]
+        return sorted([(at[j - 1], at[j]) for j in anchors] + [(at[a - 1], at[b]) for a, b in zip(anchors, anchors[1:]) if b - a > 2])
 
     seen, out = set(), {}
     for i, text in sorted(docs.items()):
-        kept = []
-        for c in chunks(text):
-            key = "\n".join(c)
-            if sum(x.strip(" \t\r\x0b\x0c") != "" for x in c) >= 2:
-                if key in seen:
-                    continue
-                seen.add(key)
-            kept += c
-        out[i] = "\n".join(kept)
+        lines, gone = text.split("\n"), set()
+        for a, b in chunks(lines):
+            key = "\n".join(lines[a : b + 1])
+            if key in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(key)
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
     return out
 
 
@@ -399,6 +397,26 @@ def test_line_dedup(spark, small):
     assert without_repeated_lines(small).columns == small.columns
 
 
+def test_line_dedup_finds_passages_of_a_few_lines_anywhere(spark):
+    from quillgraph.llm.line_dedup import dedup_lines
+
+    rng = random.Random(16)
+    line = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(9))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 6) for _ in range(60)]
+    docs = []
+    for i in range(480):  # every passage twice, in texts of their own
+        p = passages[i % 240]
+        before = [line() for _ in range(rng.randint(0, 5))]
+        docs.append("\n".join(before + p + [line() for _ in range(rng.randint(0, 5))]))
+    rows = {r["doc_id"]: r for r in dedup_lines(frame(spark, [(i, t, "en", "a") for i, t in enumerate(docs)])).collect()}
+    assert all(rows[i]["n_removed"] == 0 for i in range(240))
+    for n, least in ((0, 0.5), (60, 0.75), (120, 0.85), (180, 0.95)):
+        assert sum(rows[240 + i]["n_removed"] > 0 for i in range(n, n + 60)) >= least * 60
+    for i in range(240, 480):  # nothing but the passage goes
+        kept = rows[i]["text"].split("\n")
+        assert all(x in kept for x in docs[i].split("\n") if x not in passages[i % 240])
+
+
 def test_html(spark):
     from quillgraph.llm.html_main import extract_main, labelled_pages, leaf_blocks, trained_crf, _features
 
