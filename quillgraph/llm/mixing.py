@@ -25,8 +25,8 @@ MAX_PASSES = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Intervals of the unit line by which drawn numbers meet the sources' shares.
 CELLS = 4096
-#: Parts of a source in which its documents are summed.
-BUCKETS = 256
+#: Rows that are summed in one task, documents of a source or its counts by shard; parts of a source follow from that.
+PART_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,20 +93,22 @@ _SOURCE_KEY = "concat(if(source is null, 'n', 's'), coalesce(source, ''))"
 
 
 def _rows(docs: DataFrame, *more: str) -> DataFrame:
-    """uid, doc_id, source, s (the source as a key), size in words, h, b and more columns; written once."""
+    """uid, doc_id, source, s (the source as a key), size in words, h and more columns; written once."""
     d = documents_of(docs).select(
         "doc_id", "source", F.expr(_SOURCE_KEY).alias("s"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64("doc_id", "text", "lang").alias("h"), *more,
     )
-    return materialize(d.withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int")).withColumn("uid", F.monotonically_increasing_id()), "sizes")
+    return materialize(d.withColumn("uid", F.monotonically_increasing_id()), "sizes")
 
 
 def _located(rows: DataFrame) -> DataFrame:
     """uid, doc_id, source, s, size, at: the words of its source before a document.
 
-    A source's documents are summed inside hash buckets, so that no task gets a whole source.
+    A source's documents are summed inside hash buckets of about PART_ROWS at most,
+    so that no task gets a whole source.
     """
+    rows = rows.withColumn("b", F.pmod("h", F.lit(max(256, -(-rows.count() // PART_ROWS)))).cast("int"))
     part = rows.groupBy("s", "b").agg(F.sum("size").alias("n"))
     first = part.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("b")) - F.col("n")).drop("n")
     inside = F.sum("size").over(Window.partitionBy("s", "b").orderBy("h", "doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1))
@@ -117,6 +119,14 @@ def _located(rows: DataFrame) -> DataFrame:
     )
 
 
+def _running(counts: DataFrame) -> DataFrame:
+    """(shard, s, first): a source's slots in the shards before, by ranges of shards, so that no task gets all shards of a source."""
+    whole = counts.groupBy("s", "range").agg(F.sum("n").alias("all"))
+    before = whole.withColumn("before", F.sum("all").over(Window.partitionBy("s").orderBy("range")) - F.col("all")).drop("all")
+    inside = F.sum("n").over(Window.partitionBy("s", "range").orderBy("shard")) - F.col("n")
+    return counts.withColumn("inside", inside).join(before, ["s", "range"]).select("shard", "s", (F.col("before") + F.col("inside")).alias("first"))
+
+
 def _slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """(s, j): every slot's source and its number among the source's slots.
 
@@ -133,7 +143,7 @@ def _slots(plan: DataFrame, shard_slots: int, seed: int) -> DataFrame:
         .join(shares, "cell").filter("u >= lo and u < hi").select("shard", "i", "s")
     )
     counts = drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"))
-    first = counts.withColumn("first", F.sum("n").over(Window.partitionBy("s").orderBy("shard")) - F.col("n")).drop("n")
+    first = _running(counts.withColumn("range", F.floor(F.col("shard") / PART_ROWS)))
     j = F.row_number().over(Window.partitionBy("shard", "s").orderBy("i")) - 1
     numbered = drawn.withColumn("r", j).join(first, ["shard", "s"]).select("shard", "i", "s", (F.col("first") + F.col("r")).alias("j"))
     # slots beyond a source's number move to the sources that drew too few

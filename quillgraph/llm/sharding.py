@@ -140,11 +140,12 @@ def _medians(rows: DataFrame, dimensions: tuple[str, ...], along: dict[int, str]
     return cuts
 
 
-def with_slots(rows: DataFrame, shard: str = "shard", buckets: int = 64) -> DataFrame:
+def with_slots(rows: DataFrame, shard: str = "shard", most: int = 500_000) -> DataFrame:
     """Adds slot: 0 to the shard's row count less 1, each once.
 
-    Rows are numbered inside hash buckets of a shard, so that no task gets a whole shard.
+    Rows are numbered inside hash buckets of a shard of about `most` rows, so that no task gets a whole shard.
     """
+    buckets = max(64, -(-rows.count() // most))
     b = rows.withColumn("_b", F.pmod(F.col("tie"), F.lit(buckets)).cast("int"))
     counts = b.groupBy(shard, "_b").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy(shard).orderBy("_b")) - F.col("_n"))

@@ -482,6 +482,37 @@ def test_mixing(spark, small):
             words[r["source"]] += len(WORD.findall(r["text"]))
         assert {k: v for k, v in words.items() if v} == {k: v for k, v in taken.items() if v}
     assert taken_words(small.limit(0)).count() == 0
+    assert mixed_documents(small.limit(0)).count() == 0 and mixed_documents(small).columns == small.columns
+
+
+def test_taken_words_are_those_of_the_blocks(spark, small):
+    """Words that documents give, by plain loops over the blocks that slots take."""
+    from quillgraph.llm.mixing import _rows, mix, taken_words
+
+    block = 64
+    rows = _rows(small)
+    located, sources, uses = mix(rows, block, shard_slots=16)
+    size_of = {r["s"]: r.asDict() for r in sources.collect()}
+    by_block, seen, total = defaultdict(list), set(), Counter()
+    slots = uses.collect()
+    assert sorted(r["i"] for r in slots) == list(range(len(slots)))
+    for r in slots:
+        assert r["shard"] == r["i"] // 16 and 0 <= r["block"] < size_of[r["s"]]["blocks"]
+        assert (r["s"], r["pass"], r["block"]) not in seen  # a pass takes a block once
+        seen.add((r["s"], r["pass"], r["block"]))
+        by_block[r["s"], r["block"]].append(r["words"])
+        total[r["s"]] += r["words"]
+    want, at = Counter(), defaultdict(int)
+    for r in sorted(located.collect(), key=lambda r: (r["s"], r["at"], r["size"])):
+        assert r["at"] == at[r["s"]]  # a source's documents lie end to end
+        at[r["s"]] += r["size"]
+        for b in range(r["at"] // block, -(-(r["at"] + r["size"]) // block)):
+            first, last = max(0, r["at"] - b * block), min(block, r["at"] + r["size"] - b * block)
+            want[r["doc_id"]] += sum(max(0, min(last, w) - first) for w in by_block[r["s"], b])
+    for s, n in total.items():
+        assert n == round(size_of[s]["target"])
+    got = {r["doc_id"]: r["taken"] for r in taken_words(small, block, shard_slots=16).collect()}
+    assert got == {r["doc_id"]: want[r["doc_id"]] for r in small.collect()}
 
 
 def test_permutations():
@@ -735,15 +766,54 @@ def test_components(spark):
 
 
 def test_pipeline(spark):
+    """Every stage against its plain version, on what the stage before it kept."""
     import corpus_pipeline as cp
 
+    from quillgraph.llm.common import materialize
+    from quillgraph.llm.quality import quality_verdicts
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n = docs.count()
-    for name, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-    assert cp.run(spark, SF).count() > n / 4
-    check_sequences(cp.run(spark, SF).collect())
+    stage = dict(cp.STAGES)
+    assert list(stage) == ["quality rules", "line dedup", "near dedup", "mixing", "packing"]
+    texts = lambda d: {r["doc_id"]: r["text"] for r in d.collect()}
+    run = lambda name, d: materialize(stage[name](spark, d, SF), "test")
+
+    kept = run("quality rules", docs)
+    want = {r["doc_id"] for r in quality_verdicts(docs).collect() if r["kept"]}
+    assert texts(kept) == {i: t for i, t in texts(docs).items() if i in want} and kept.columns == docs.columns
+
+    lines = run("line dedup", kept)
+    want = {i: t for i, t in plain_line_dedup({i: t or "" for i, t in texts(kept).items()}).items() if t.strip() or not (texts(kept)[i] or "").strip()}
+    assert texts(lines) == want and lines.columns == docs.columns
+
+    near = run("near dedup", lines)
+    classes = plain_near(texts(lines))
+    assert texts(near) == {i: t for i, t in texts(lines).items() if classes[i] == i} and near.columns == docs.columns
+
+    mixed = run("mixing", near)
+    sizes, words = defaultdict(int), defaultdict(int)
+    own = texts(near)
+    for r in near.collect():
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    for r in mixed.collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+        assert set(WORD.findall(r["text"])) <= set(WORD.findall(own[r["doc_id"]]))
+    assert all(abs(words[s] - t) <= 1 for s, t in water(sizes).items()) and mixed.columns == docs.columns
+
+    rows = stage["packing"](spark, mixed, SF).collect()
+    check_sequences(rows)
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in mixed.collect())
+    assert cp.run(spark, SF).count() == len(rows)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, small):
+    import corpus_pipeline as cp
+
+    for d in (odd(spark), small.limit(0)):
+        for name, stage in cp.STAGES[:-1]:
+            d = stage(spark, d, SF)
+            assert d.columns == small.columns, name
+        assert cp.STAGES[-1][1](spark, d, SF).count() >= 0
 
 
 @pytest.mark.parametrize("name", ["op4_exact_topk", "op6_line_dedup", "op9_quality_rules"])
