@@ -52,7 +52,8 @@ CUES = {
     "main": "content article post entry story main text body",
 }
 _AD_WORDS = frozenset("ad ads adv adverts".split())
-_ASIDE = re.compile(r"cookie|subscribe|advertis|newsletter|sign in|log in|sponsored", re.I)
+# Words of notices, adverts and forms.
+_ASIDE = ("cookie", "subscribe", "advertis", "newsletter", "sign in", "log in", "sponsored")
 _NAMES = [*TAGS, *CUES, "hidden"]
 _LENGTHS, _LINKS = (1, 15, 40, 80, 160, 320, 640), (0.001, 0.3, 0.7)
 _N_TEXT = 6
@@ -214,9 +215,8 @@ def _features(blocks: list[tuple[str, int, float]]) -> np.ndarray:
     out = np.zeros((len(blocks), width + _N_TEXT), np.int64)
     if not blocks:
         return out
-    bits = np.array([b[1] for b in blocks], object)
-    for c in range(width):
-        out[:, c] = 2 * c + np.array([(int(x) >> c) & 1 for x in bits])
+    names = np.arange(width)
+    out[:, :width] = 2 * names + (np.array([b[1] for b in blocks], np.int64)[:, None] >> names & 1)
     at = 2 * width
     length = np.array([len(b[0]) for b in blocks])
     out[:, width] = at + np.searchsorted(_LENGTHS, length, "right")
@@ -228,7 +228,7 @@ def _features(blocks: list[tuple[str, int, float]]) -> np.ndarray:
     # in whole blocks, and only where such words are frequent
     out[:, width + 3] = at + np.array([80 * b[0].count("©") >= len(b[0]) for b in blocks])
     at += 2
-    out[:, width + 4] = at + np.array([200 * sum(1 for _ in _ASIDE.finditer(b[0])) >= len(b[0]) for b in blocks])
+    out[:, width + 4] = at + np.array([200 * sum(map(b[0].lower().count, _ASIDE)) >= len(b[0]) for b in blocks])
     at += 2
     out[:, width + 5] = at + np.minimum(3, np.array([b[0].count(" ") // 4 for b in blocks]))
     return out
