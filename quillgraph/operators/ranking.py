@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.operators.tables import written
+
 
 def by(qid: str = "qid") -> Window:
     return Window.partitionBy(qid)
@@ -156,11 +160,8 @@ def hub_support(edges: DataFrame, hubs: DataFrame, dense: DataFrame) -> tuple[Da
     return s.groupBy("qid", "cid").agg(F.sum("w").alias("support")), h.filter("c >= 1").select("qid", "hub")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(qid, doc, score) of documents that share a term with the query; docs (doc, terms array), queries (qid, terms array).
-
-    A query's terms count once each.
-    """
+def _bm25_parts(docs: DataFrame, queries: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """((term, doc, part), (qid, term)): what each query term is worth in each document that has it; a query's terms count once each."""
     length = docs.select("doc", F.size("terms").alias("len"))
     stats = length.agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg_len"))  # one row
     tf = docs.select("doc", F.explode("terms").alias("term"))
@@ -170,7 +171,60 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     weighted = tf.join(df, "term").join(length, "doc").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return weighted.select("term", "doc", part.alias("part")).join(q, "term").groupBy("qid", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_terms"))
+    return weighted.select("term", "doc", part.alias("part")), q
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, doc, score, n_terms) of all documents that share a term with the query; docs (doc, terms array), queries (qid, terms array)."""
+    parts, q = _bm25_parts(docs, queries, k1, b)
+    return parts.join(q, "term").groupBy("qid", "doc").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_terms"))
+
+
+#: Documents whose scores for all queries of a block a task holds at once.
+BLOCK_DOCS, BLOCK_QUERIES = 4_096, 512
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(qid, doc, score, rank): the k best documents of each query, scores to six digits, ties by document.
+
+    Documents and queries are dealt into blocks. A task adds up the scores of one
+    block of documents for one block of queries, term by term, and passes on each
+    query's k best, so that neither a frequent term nor the number of matches
+    makes rows to shuffle.
+    """
+    docs = written(docs)
+    parts, q = _bm25_parts(docs, queries, k1, b)
+    n_docs, n_queries = (max(1, -(-d.count() // size)) for d, size in ((docs, BLOCK_DOCS), (queries, BLOCK_QUERIES)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = parts.select(block("doc", n_docs).alias("d_block"), "term", "doc", "part").withColumn("q_block", every(n_queries))
+    right = q.select(block("qid", n_queries).alias("q_block"), "qid", "term").withColumn("d_block", every(n_docs))
+    types = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc"]
+
+    def best(key: tuple, found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"qid": asked["qid"].iloc[:0], "doc": found["doc"].iloc[:0], "score": np.zeros(0)})
+        asked = asked[asked["term"].isin(found["term"])]
+        if not len(asked):
+            return out
+        # numbers in the order of the ids, so that ties go to the smaller one
+        doc, docs_of = pd.factorize(found["doc"], sort=True)
+        qid, queries_of = pd.factorize(asked["qid"], sort=True)
+        scores = np.zeros((len(queries_of), len(docs_of)))
+        rows = {t: i for t, i in found.groupby("term").indices.items()}
+        part = found["part"].to_numpy()
+        for term, i in asked.groupby("term").indices.items():
+            at = rows[term]
+            scores[np.ix_(qid[i], doc[at])] += part[at]
+        scores = np.round(scores, 6)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        top = np.take_along_axis(scores, order, 1)
+        row, column = np.nonzero(top > 0)
+        return pd.DataFrame({"qid": queries_of[row], "doc": docs_of[order[row, column]], "score": top[row, column]})
+
+    keys = ("d_block", "q_block")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"qid {types[0]}, doc {types[1]}, score double")
+    w = by().orderBy(F.col("score").desc(), "doc")
+    return found.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
 
 
 def bm25_before(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:

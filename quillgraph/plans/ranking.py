@@ -233,8 +233,9 @@ _BM = """with d as (select doc_id as doc, regexp_extract_all(lower(text), '[a-z0
 
 @query("w46_bm25", _BM + ', r as (select *, row_number() over (partition by qid order by round(score, 6) desc, doc) as rn from s) select qid, doc, cast(rn as bigint) as "rank" from r where rn <= 100')
 def w46(t: Tables) -> DataFrame:
-    s = _bm25(t).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(r6("score").desc(), "doc")).cast("bigint"))
-    return s.filter("rank <= 100").select("qid", "doc", "rank")
+    d = t.read("documents").select(F.col("doc_id").alias("doc"), tx.tokens(F.col("text")).alias("terms"))
+    q = t.read("benchmark").select(F.col("item_id").alias("qid"), tx.tokens(F.col("text")).alias("terms"))
+    return rk.bm25_top(d, q, 100).select("qid", "doc", "rank")
 
 
 @query("t02_all_terms_match", "with d as (select doc_id as doc, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as terms from documents), q as (select item_id as qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as terms from benchmark), u as (select qid, len(terms) as n, unnest(terms) as term from q), x as (select doc, unnest(terms) as term from d) select qid, doc from u join x using (term) group by qid, doc having count(*) = max(n)")
@@ -244,12 +245,6 @@ def t02(t: Tables) -> DataFrame:
     return ev.all_terms_match(d, q)
 
 
-def _bm25(t: Tables) -> DataFrame:
-    d = t.read("documents").select(F.col("doc_id").alias("doc"), tx.tokens(F.col("text")).alias("terms"))
-    q = t.read("benchmark").select(F.col("item_id").alias("qid"), tx.tokens(F.col("text")).alias("terms"))
-    return rk.bm25(d, q)
-
-
 _SUP = """with hubs as (select dst as qid, src as hub from edges), dense as (select e.dst as qid, e2.dst as cid from edges e join edges e2 on e.src = e2.src group by 1, 2 having count(*) >= 2),
     od as (select src as hub, count(*) as od from edges group by 1), refs as (select h.qid, h.hub, e.dst as cid from hubs h join edges e on e.src = h.hub), hit as (select r.qid, r.hub, count(*) as c from refs r join dense d on d.qid = r.qid and d.cid = r.cid group by 1, 2),
     w as (select h.qid, h.hub, (case when coalesce(c, 0) = 0 then 0.12 when c = 1 then 1.5 else 2.5 end) * ln(2) / ln(2.0 + od) as w from hubs h join od on od.hub = h.hub left join hit on hit.qid = h.qid and hit.hub = h.hub)

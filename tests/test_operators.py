@@ -341,3 +341,19 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir is unset"):
         shared_path(session)
+
+
+def test_top_by_bm25_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ranking, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(ranking, "BLOCK_QUERIES", 2)
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, rng.choices("abcdefgh", k=rng.randint(1, 9))) for i in range(60)], "doc bigint, terms array<string>")
+    queries = spark.createDataFrame([(i, rng.choices("abcdefghz", k=3)) for i in range(7)] + [(8, ["z"]), (9, [])], "qid bigint, terms array<string>")
+    all_scores = {}
+    for r in ranking.bm25(docs, queries).collect():
+        all_scores.setdefault(r["qid"], []).append((-round(r["score"], 6), r["doc"]))
+    want = {(q, d, n) for q, x in all_scores.items() for n, (_, d) in enumerate(sorted(x)[:5], 1)}
+    assert {(r["qid"], r["doc"], r["rank"]) for r in ranking.bm25_top(docs, queries, 5).collect()} == want
+    assert ranking.bm25_top(docs.limit(0), queries, 5).count() == 0
