@@ -449,7 +449,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         out = base.withColumn("class_digest", F.col("digest")).withColumn("n_links", F.lit(0).cast("bigint"))
     else:
         ends = links.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
-        named = labels.select(F.col("node").alias("digest"), F.col("label").alias("class_digest")).join(ends, "digest", "left")
+        # written, so that the join deals both sides out anew and a text with very many copies can be split
+        named = materialize(labels.select(F.col("node").alias("digest"), F.col("label").alias("class_digest")).join(ends, "digest", "left"), "named")
         out = base.join(named, "digest", "left").select("doc_id", "digest", F.coalesce("class_digest", "digest").alias("class_digest"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     out = materialize(out, "classes")
     least = materialize(out.groupBy("class_digest").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "class-sizes")
