@@ -71,6 +71,7 @@ def aligned_predictions(predicted: DataFrame, candidates: DataFrame) -> DataFram
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         flat = lambda t: " ".join(str(t or "").lower().split())
+        right = right.sort_values("cid")  # of equal titles the least id is first
         free = {str(c): flat(t) for c, t in zip(right["cid"], right["title"], strict=True)}
         own = {str(c): c for c in right["cid"]}
         out = []

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,21 +156,6 @@ def m17b(t: Tables) -> DataFrame:
     return models.multi_positive_ntxent(t.win.select("qid", F.col("gat").alias("score"), "is_gold"), 0.5).filter("loss is not null").select("qid", F.round("loss", 5).alias("loss"))
 
 
-@query("a36_whitening")
-def a36(t: Tables) -> DataFrame:
-    v = t.vec.select("id", F.col("v").alias("emb"))
-    mean, matrix = models.whitening(v, 64, keep=16)
-    return models.whitened(v, mean, matrix)
-
-
-@query("w28_pair_network")
-def w28(t: Tables) -> DataFrame:
-    v = t.vec
-    p = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("u")).join(v.select(F.col("id").alias("cid"), "v")).filter("qid <> cid").withColumn("extra", F.array(F.lit(1.0)))
-    rng = np.random.default_rng(0)
-    return models.pair_scores(p, rng.normal(size=(257, 8)) / 16, np.zeros(8), rng.normal(size=8), 0.0)
-
-
 @query("j16_judged_gold", "select e.src as qid, count(*) as n, count(*) filter (where l.l_returnflag = 'R') as gold from edges e join lineitem l on l.l_orderkey = e.src and l.l_partkey = e.dst group by 1", "edges")
 def j16(t: Tables) -> DataFrame:
     l = t.read("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_returnflag")

@@ -264,9 +264,3 @@ def d01(t: Tables) -> DataFrame:
 @query("d03_frozen_cutoff", "select min(month) as cutoff, count(*) filter (where month is null) as undated from months", "months")
 def d03(t: Tables) -> DataFrame:
     return t.months.agg(F.min("month").alias("cutoff"), F.count_if(F.col("month").isNull()).alias("undated"))
-
-
-@query("w19_personalised_pagerank")
-def w19(t: Tables) -> DataFrame:
-    e = t.edges.select((F.col("dst") % 10).alias("qid"), "src", "dst")
-    return g.personalised_pagerank(e, e.groupBy("qid").agg(F.min("src").alias("id")), steps=3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from quillgraph.operators import build, contracts, datasets, greedy, models, poo
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators import graph as g
 from quillgraph.operators import ranking as rk
-from quillgraph.operators.tables import shared_path
+from quillgraph.operators.tables import shared_path, written
 from quillgraph.plans.registry import Tables, query
 from quillgraph.plans.tables import _TOK
 from quillgraph.sources import files
@@ -470,3 +471,90 @@ def f05(t: Tables) -> DataFrame:
     from quillgraph.functions.text import without_comments
 
     return t.read("documents").select("doc_id", without_comments(F.col("text")).alias("text"))
+
+
+def _pagerank_sql(steps: int) -> str:
+    parts = ["e as materialized (select distinct dst % 10 as qid, src, dst from edges)", "s as materialized (select qid, min(src) as id, 1.0::double as p from e group by 1)", "od as materialized (select qid, src, count(*) as od from e group by 1, 2)", "p0 as materialized (select * from s)"]
+    for i in range(steps):
+        parts.append(f"m{i} as materialized (select e.qid, e.dst as id, sum(p.p / od.od) as got from e join p{i} p on p.qid = e.qid and p.id = e.src join od on od.qid = e.qid and od.src = e.src group by 1, 2)")
+        parts.append(f"h{i} as materialized (select s.qid, s.id, s.p * (1 - 0.85 * coalesce(k.moved, 0)) as home from s left join (select qid, sum(got) as moved from m{i} group by 1) k on k.qid = s.qid)")
+        parts.append(f"p{i + 1} as materialized (select coalesce(m.qid, h.qid) as qid, coalesce(m.id, h.id) as id, 0.85 * coalesce(m.got, 0) + coalesce(h.home, 0) as p from m{i} m full join h{i} h on m.qid = h.qid and m.id = h.id)")
+    return f"with {', '.join(parts)} select qid, id, round(p, 9) as rank from p{steps}"
+
+
+@query("w19_personalised_pagerank", _pagerank_sql(20), "edges")
+def w19(t: Tables) -> DataFrame:
+    e = t.edges.select((F.col("dst") % 10).alias("qid"), "src", "dst")
+    return g.personalised_pagerank(e, e.groupBy("qid").agg(F.min("src").alias("id"))).withColumn("rank", F.round("rank", 9))
+
+
+_UNITS, _DIM = 8, 64
+
+
+def _network() -> tuple[np.ndarray, np.ndarray]:
+    """Weights from sines, so that they need no table."""
+    n = 4 * _DIM + 1
+    return np.round(np.sin(np.arange(n * _UNITS).reshape(n, _UNITS) * 0.7) / 8, 6), np.round(np.cos(np.arange(_UNITS) * 1.3), 6)
+
+
+def _network_sql() -> str:
+    w1, w2 = _network()
+    unit = lambda j: f"{w2[j]} * tanh(list_inner_product(x, {[float(v) for v in w1[:, j]]}))"
+    x = "list_concat(list_concat(list_concat(q.v, c.v), list_concat(list_transform(range(1, 65), lambda i: q.v[i] * c.v[i]), list_transform(range(1, 65), lambda i: abs(q.v[i] - c.v[i])))), [1.0::double])"
+    return f"with p as (select q.id as qid, c.id as cid, {x} as x from vec q join vec c on q.id % 20 = 0 and q.id <> c.id) select qid, cid, round({' + '.join(unit(j) for j in range(_UNITS))}, 6) as score from p"
+
+
+@query("w28_pair_network", _network_sql(), "vec")
+def w28(t: Tables) -> DataFrame:
+    v, w = t.vec, t.win.select("qid", "cid")
+    p = w.join(v.select(F.col("id").alias("qid"), F.col("v").alias("u")), "qid").join(v.select(F.col("id").alias("cid"), "v"), "cid").withColumn("extra", F.array(F.lit(1.0)))
+    w1, w2 = _network()
+    return models.pair_scores(p, w1, np.zeros(_UNITS), w2, 0.0).withColumn("score", r6("score"))
+
+
+def _whitened(t: Tables) -> DataFrame:
+    v = t.vec.select("id", F.col("v").alias("emb"))
+    return models.whitened(v, *models.whitening(v, _DIM, keep=16)).select("id", F.posexplode("emb").alias("i", "x"))
+
+
+@query("a36_whitening", "select i::integer as i, j::integer as j, case when i = j then 1.0 else 0.0 end::double as cov from (select unnest(range(0, 16)) as i) cross join (select unnest(range(0, 16)) as j)")
+def a36(t: Tables) -> DataFrame:
+    """What whitening is for: the components' covariances are those of the unit matrix."""
+    x = written(_whitened(t))
+    both = x.join(x.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
+    return both.groupBy("i", "j").agg((F.round(F.covar_samp("x", "y"), 4) + 0.0).alias("cov"))
+
+
+@query("m14_whitened_vectors", "select i::integer as i, 0.0::double as mean, (select count(*) from embeddings) as n from (select unnest(range(0, 16)) as i)")
+def m14(t: Tables) -> DataFrame:
+    return _whitened(t).groupBy("i").agg((F.round(F.avg("x"), 6) + 0.0).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query("j19_aligned_predictions", "select p_brand as qid, p_partkey as ord, p_partkey as cid from part")
+def j19(t: Tables) -> DataFrame:
+    """A third of the predictions names the id, a third the title, a third holds the title among other words."""
+    p = t.read("part")
+    title, k = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")), F.col("p_partkey") % 3
+    predicted = p.select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("ord"), F.when(k == 0, F.col("p_partkey").cast("string")).alias("id"), F.when(k == 0, "").when(k == 1, F.upper(title)).otherwise(F.concat(F.lit("On "), title, F.lit(" again"))).alias("title"))
+    return greedy.aligned_predictions(predicted, p.select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("cid"), title.alias("title")))
+
+
+@query("w34_title_suppression", "with f as (select p_brand as qid, p_partkey as cid, row_number() over (partition by p_brand, p_name order by p_partkey) as again from part) select qid, cid, cast(row_number() over (partition by qid order by cid) as bigint) as ord from f where again = 1 qualify ord <= 100")
+def w34(t: Tables) -> DataFrame:
+    """Of the titles that hold one another, as those of parts with one name do here, the first stays."""
+    more = F.when(F.col("p_partkey") % 2 == 0, " of the long and winding road").otherwise(" Of the  long and winding road, and back")
+    p = t.read("part").select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("cid"), F.col("p_partkey").alias("ord"), F.concat(F.lit("# "), "p_name", more).alias("title"))
+    return greedy.suppressed_titles(p, 100)
+
+
+_SETS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2))"
+_NEAR_SET = "coalesce(len(list_intersect({a}.s, {b}.s)) / nullif(len(list_distinct(list_concat({a}.s, {b}.s))), 0), 0) < 0.8"
+
+
+@query("w40_diverse_selection", f"""with c as (select conv_id as qid, turn as ord, text, {_SETS} as s from conversations where trim(text) <> ''), a as (select * from c qualify row_number() over (partition by qid order by ord, text) = 1),
+    b as (select c.* from c join a using (qid) where (c.ord, c.text) > (a.ord, a.text) and {_NEAR_SET.format(a='c', b='a')} qualify row_number() over (partition by c.qid order by c.ord, c.text) = 1),
+    d as (select c.* from c join a using (qid) join b using (qid) where (c.ord, c.text) > (b.ord, b.text) and {_NEAR_SET.format(a='c', b='a')} and {_NEAR_SET.format(a='c', b='b')} qualify row_number() over (partition by c.qid order by c.ord, c.text) = 1)
+    select qid, ord, text from a union all select qid, ord, text from b union all select qid, ord, text from d""")
+def w40(t: Tables) -> DataFrame:
+    c = t.read("conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "text")
+    return greedy.diverse(c, 3)

@@ -215,3 +215,16 @@ def f36(t: Tables) -> DataFrame:
 @query("f37_keyword_hits", "select doc_id, doc_id % 2 = 0 as hit from documents")
 def f37(t: Tables) -> DataFrame:
     return _docs(t).select("doc_id", tx.title_keyword_hit(_kth(2, "Boats of old \\cite{x}", "A cat \\cite{y}"), F.lit("The boats and the cat")).alias("hit"))
+
+
+@query("f03_cleaned_citations", r"""select doc_id, case doc_id % 2 when 0 then concat('We follow ', source, ' \cite{a,b} and ', lang, '.') else 'Short.' end as text, doc_id % 2 = 0 as ok, case doc_id % 2 when 0 then '' else 'too_few_letters' end as reasons from documents where lang is not null and source is not null""")
+def f03b(t: Tables) -> DataFrame:
+    raw = _kth(2, _paper("\\textbf{We} \\emph{follow} {", F.col("source"), "}~\\citep[see][p.~3]{a, b} % a note\n\\label{x} and\\vspace{2pt} ", F.col("lang"), " ."), "\\section{Long title}  Short.")
+    d = _docs(t).filter("lang is not null and source is not null").select("doc_id", latex.cleaned(raw).alias("c"))
+    return d.select("doc_id", "c.text", "c.ok", F.array_join("c.reasons", ",").alias("reasons"))
+
+
+@query("f07_key_caps", r"select doc_id, concat('Many agree \cite{k1,k2,k3,k4,k5,k6} and ', source, ' does \cite{z}.') as text from documents where source is not null")
+def f07(t: Tables) -> DataFrame:
+    raw = _paper("Many agree \\cite{k1, k2,k3 ,k4,k5,k6,k7, k8} and ", F.col("source"), " does \\cite{z}.")
+    return _docs(t).filter("source is not null").select("doc_id", latex.cleaned(raw).alias("c")).select("doc_id", "c.text")

@@ -248,18 +248,6 @@ def j20(t: Tables) -> DataFrame:
     return resolve.jaccard_pairs(b.select("id", tx.token_set(F.col("text")).alias("s")), 0.8)
 
 
-@query("w34_title_suppression")
-def w34(t: Tables) -> DataFrame:
-    p = t.read("part").select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("cid"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("title"))
-    return greedy.suppressed_titles(p, 100)
-
-
-@query("w40_diverse_selection")
-def w40(t: Tables) -> DataFrame:
-    c = t.read("conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "text")
-    return greedy.diverse(c, 3)
-
-
 @query("w35_exact_title_dedupe", "select p_brand as qid, min(p_partkey) as cid, p_name as title from part group by 1, 3")
 def w35(t: Tables) -> DataFrame:
     p = t.read("part")

@@ -96,13 +96,6 @@ def g01(t: Tables) -> DataFrame:
     return build.cited_edges(papers, parts.select(tx.title_key(title(F.col("p_partkey"))).alias("title_key"), "id"), parts.select("id")).select("src", "dst", "sentence")
 
 
-@query("j19_aligned_predictions")
-def j19(t: Tables) -> DataFrame:
-    p = t.read("part")
-    predicted = p.select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("title"))
-    return greedy.aligned_predictions(predicted, p.select(F.col("p_brand").alias("qid"), F.col("p_partkey").alias("cid"), F.col("p_name").alias("title")))
-
-
 @query("a17_monthly_recall", "with m as (select month, count(*) as n from months where month is not null group by 1) select month, n, round(n / sum(n) over (), 6) as share from m", "months")
 def a17(t: Tables) -> DataFrame:
     m = t.months.filter("month is not null").groupBy("month").agg(F.count(F.lit(1)).alias("n"))
