@@ -158,6 +158,63 @@ def bibtex_entries(text: str) -> list[tuple[str, dict[str, str]]]:
     return out
 
 
+_DEFINITION = re.compile(r"\\(?:(?:re)?newcommand|providecommand)\*?\s*\{?\s*\\([A-Za-z]+)\s*\}?\s*(?:\[(\d)\])?\s*(?:\[[^\]]*\]\s*)?(?=\{)|\\def\s*\\([A-Za-z]+)\s*((?:#\d)*)\s*(?=\{)|\\DeclareMathOperator\*?\s*\{\s*\\([A-Za-z]+)\s*\}\s*(?=\{)")
+
+
+def expanded_macros(text: str, passes: int = 2, most: int = 2_000_000) -> str:
+    """A text with its own macros in place, and without their definitions.
+
+    \\newcommand (also re-, provide-), \\def with plain arguments, and
+    \\DeclareMathOperator; a macro with too few arguments stays. Bodies that name
+    other macros take a further pass; a text that would grow over `most` stays as
+    it was before that pass.
+    """
+    macros: dict[str, tuple[int, str]] = {}
+    rest, at = "", 0
+    for m in _DEFINITION.finditer(text):
+        if m.start() < at:
+            continue
+        end = balanced(text, m.end())
+        body = text[m.end() + 1 : end - 1]
+        if m[1]:
+            macros[m[1]] = (int(m[2] or 0), body)
+        elif m[3]:
+            macros[m[3]] = (m[4].count("#"), body)
+        else:
+            macros[m[5]] = (0, f"\\operatorname{{{body}}}")
+        rest, at = rest + text[at : m.start()], end
+    text = rest + text[at:]
+    if not macros:
+        return text
+    call = re.compile(r"\\(" + "|".join(sorted(macros, key=len, reverse=True)) + r")(?![A-Za-z])")
+    for _ in range(passes):
+        out, at, size = [], 0, 0
+        for m in call.finditer(text):
+            if m.start() < at:
+                continue
+            n, body = macros[m[1]]
+            end, arguments = m.end(), []
+            while len(arguments) < n:
+                start = len(text) - len(text[end:].lstrip(" ")) if end < len(text) and text[end] == " " else end
+                if start >= len(text) or text[start] != "{":
+                    break
+                stop = balanced(text, start)
+                arguments.append(text[start + 1 : stop - 1])
+                end = stop
+            if len(arguments) < n:
+                continue
+            made = re.sub(r"#(\d)", lambda x: arguments[int(x[1]) - 1] if 0 < int(x[1]) <= n else x[0], body)  # noqa: B023
+            out += [text[at : m.start()], made]
+            size += m.start() - at + len(made)
+            if size > most:
+                return text
+            at = end
+        if not out:
+            break
+        text = "".join(out) + text[at:]
+    return text
+
+
 def inlined(files: dict[str, str], main: str, deepest: int = 8, seen: tuple[str, ...] = ()) -> str:
     """A file with its inputs in place, to a depth, each path at most once on a way down."""
     text = files.get(main, files.get(main + ".tex", ""))
@@ -199,6 +256,14 @@ def cleaned(raw: str | Column) -> Column:
     return F.pandas_udf(_cleaned, "struct<text: string, ok: boolean, reasons: array<string>, raw_len: int, clean_len: int>")(raw)
 
 
+def _expanded(tex: pd.Series) -> pd.Series:
+    return pd.Series([expanded_macros(x or "") for x in tex])
+
+
+def with_macros_expanded(tex: str | Column) -> Column:
+    return F.pandas_udf(_expanded, "string")(tex)
+
+
 def sentences_with_keys(tex: str | Column) -> Column:
     return F.pandas_udf(_sentences, "array<struct<sentence: string, keys: array<string>>>")(tex)
 

@@ -258,3 +258,27 @@ def cutoff_pack(edges: DataFrame, vectors: DataFrame, masked: DataFrame, require
     seen = masked_view(edges, masked)
     both = cocitations(seen)
     return seen, both, neighbour_lists(seen, vectors, both, near, total)
+
+
+def leak_self_check(edges: DataFrame, targets: DataFrame, neighbours: DataFrame, scored: DataFrame, most_auc: float = 0.99, most_near: float = 0.85) -> DataFrame:
+    """(name, ok): whether a model may have seen its targets (src, dst).
+
+    No target edge is left once they are removed; in less than `most_near` of the
+    targets is the query among the candidate's neighbours (id, other); the AUC of
+    scored (score, is_gold) is not too good to be true.
+    """
+    from quillgraph.operators.contracts import verdicts
+    from quillgraph.operators.ranking import roc_auc
+
+    t = targets.select("src", "dst").distinct()
+    left = without_targets(edges, t).join(t, ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("left"))
+    near = t.join(neighbours.select(F.col("id").alias("dst"), F.col("other").alias("src"), F.lit(1).alias("_near")), ["src", "dst"], "left").agg(F.avg(F.coalesce("_near", F.lit(0))).alias("near"))
+    one = left.crossJoin(near).crossJoin(roc_auc(scored))  # one row each
+    return verdicts(one, {"no_target_left": F.col("left") == 0, "few_in_neighbours": F.col("near") < most_near, "plausible_auc": F.col("auc") <= most_auc})
+
+
+def attention_dump(attention: DataFrame, most: int) -> DataFrame:
+    """(dst, src, weight, ord): of each node the `most` sources with the highest mean weight over heads; attention (dst, src, head, weight)."""
+    m = attention.groupBy("dst", "src").agg(F.avg("weight").alias("weight"))
+    w = Window.partitionBy("dst").orderBy(F.round("weight", 9).desc(), "src")
+    return m.withColumn("ord", F.row_number().over(w).cast("bigint")).filter(F.col("ord") <= most)

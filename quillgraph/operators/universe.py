@@ -145,3 +145,14 @@ def coarse_ranking(features: DataFrame, mode: str, most: int, weights: dict | No
     else:
         raise ValueError(f"mode {mode!r} is none of heuristic, linear, model")
     return order(d).filter(F.col("ord") <= most).select("qid", "cid", "score", "ord")
+
+
+def reranked(features: DataFrame, score: Callable[[DataFrame], DataFrame], width: int, most: int) -> DataFrame:
+    """(qid, cid, score, ord): a learned ranker's order; features (qid, cid, x array) are padded with zeros, or cut, to its `width`.
+
+    score(features) returns (qid, cid, score): the booster, as a function of tables.
+    """
+    zeros = F.array_repeat(F.lit(0.0), width)
+    d = features.select("qid", "cid", F.slice(F.concat(F.col("x").cast("array<double>"), zeros), 1, width).alias("x"))
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "cid")
+    return score(d).withColumn("ord", F.row_number().over(w).cast("bigint")).filter(F.col("ord") <= most).select("qid", "cid", "score", "ord")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import contracts, resolve, search, upserts
 from quillgraph.operators.tables import shared_path
 from quillgraph.plans.registry import Tables, query
-from quillgraph.sources import files
+from quillgraph.sources import files, harvest
 
 _ID = "concat('2401.', lpad(cast(p_partkey as varchar), 5, '0'))"
 _META = f"select {_ID} as id, p_name as title, p_type as abstract, '2024-01-02' as update_date from part"
@@ -268,3 +268,34 @@ def i05(t: Tables) -> DataFrame:
     incoming = t.spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(staged)
     merge_stream(t.spark, incoming, table, state).awaitTermination()
     return latest_version(t.spark, table)
+
+
+@query("s16_staged_harvest", f"with m as ({_META}) select id, title, 7 as pages from m")
+def s16(t: Tables) -> DataFrame:
+    """Seven pages of records, each named by the token that the page before gave; the third fails at first."""
+    path, m = shared_path(t.spark), _metadata(t)
+    xml = F.concat(F.lit("<record><id>"), "id", F.lit("</id><created>2024-01-02</created><title>"), "title", F.lit("</title></record>"))
+    failed = []
+
+    def fetch(token: str | None) -> tuple[DataFrame, str | None]:
+        k = int(token or 0)
+        if k == 2 and not failed:
+            failed.append(k)
+            raise OSError("no answer")
+        return m.filter(F.substring("id", -5, 5).cast("int") % 7 == k).select(xml.alias("xml")), str(k + 1) if k < 6 else None
+
+    pages, rest = harvest.staged_harvest(fetch, path)
+    return files.oai_records(t.spark, path).select("id", "title", F.lit(pages if rest is None else -1).alias("pages"))
+
+
+def _fetched(i: str) -> bytes:
+    n = int(i)
+    if n % 7 == 0:
+        raise OSError("not found")
+    return b"x" * (n % 50)
+
+
+@query("s20_downloads", "select doc_id as id, case when doc_id % 7 = 0 or doc_id % 50 > 40 then null else doc_id % 50 end as bytes, case when doc_id % 7 = 0 then 'not found' when doc_id % 50 > 40 then 'over 40 bytes' end as error from documents")
+def s20(t: Tables) -> DataFrame:
+    d = harvest.downloaded(t.read("documents").select(F.col("doc_id").cast("string").alias("id")), _fetched, 40)
+    return d.select(F.col("id").cast("bigint").alias("id"), F.octet_length("content").cast("bigint").alias("bytes"), "error")

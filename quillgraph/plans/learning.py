@@ -558,3 +558,26 @@ _NEAR_SET = "coalesce(len(list_intersect({a}.s, {b}.s)) / nullif(len(list_distin
 def w40(t: Tables) -> DataFrame:
     c = t.read("conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "text")
     return greedy.diverse(c, 3)
+
+
+@query("w27_learned_rerank", f"with {_FEATURES}, s as (select qid, cid, round(0.5 * support_n + 0.3 * lex + 0.2 * cocite_n, 6) as score from f), r as (select *, row_number() over (partition by qid order by score desc, cid) as ord from s) select qid, cid, score, cast(ord as bigint) as ord from r where ord <= 60", "win")
+def w27(t: Tables) -> DataFrame:
+    """Three features, padded to the five that the ranker takes."""
+    weights = (0.5, 0.3, 0.2, 9.0, 9.0)
+    total = lambda d: d.select("qid", "cid", r6(sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))).alias("score"))
+    return universe.reranked(_features(t).select("qid", "cid", F.array("support_n", "lex", "cocite_n").alias("x")), total, 5, 60)
+
+
+@query("g17_leak_self_check", """with a as (select gat as s, count(*) filter (where is_gold) as p, count(*) filter (where not is_gold) as n from win group by 1), b as (select *, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from a), auc as (select sum(p * (below + 0.5 * n)) / (sum(p) * sum(n)) as auc from b)
+    select 'no_target_left' as name, true as ok union all select 'few_in_neighbours', (select avg(case when src % 4 = 0 then 1.0 else 0.0 end) < 0.85 from edges where src % 3 = 0) union all select 'plausible_auc', auc <= 0.99 from auc""", "edges", "win")
+def g17(t: Tables) -> DataFrame:
+    e = t.edges
+    near = e.filter("src % 4 = 0").select(F.col("dst").alias("id"), F.col("src").alias("other"))
+    return g.leak_self_check(e, e.filter("src % 3 = 0"), near, t.win.select(F.col("gat").alias("score"), "is_gold"))
+
+
+@query("q06_attention_dump", """with a as (select dst, src, (case when src % 7 = 0 then 0.5 else 0.1 end + (src % 5) / 5.0) / 2 as w from edges), r as (select *, row_number() over (partition by dst order by round(w, 9) desc, src) as ord from a) select dst, src, round(w, 6) as weight, cast(ord as bigint) as ord from r where ord <= 5""", "edges")
+def q06(t: Tables) -> DataFrame:
+    e = t.edges
+    heads = F.array(F.when(F.col("src") % 7 == 0, 0.5).otherwise(0.1), (F.col("src") % 5) / 5.0)
+    return g.attention_dump(e.select("dst", "src", F.posexplode(heads).alias("head", "weight")), 5).withColumn("weight", r6("weight"))

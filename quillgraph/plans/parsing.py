@@ -228,3 +228,9 @@ def f03b(t: Tables) -> DataFrame:
 def f07(t: Tables) -> DataFrame:
     raw = _paper("Many agree \\cite{k1, k2,k3 ,k4,k5,k6,k7, k8} and ", F.col("source"), " does \\cite{z}.")
     return _docs(t).filter("source is not null").select("doc_id", latex.cleaned(raw).alias("c")).select("doc_id", "c.text")
+
+
+@query("f21_expanded_macros", "select doc_id, concat('We use {the ', source, ' model} with x{y} and \\operatorname{argmax} of it; \\other{z} stays.') as tex from documents where source is not null")
+def f21(t: Tables) -> DataFrame:
+    tex = _paper("\\newcommand{\\model}[1]{{the #1 model}}\\def\\pair#1#2{#1{#2}}\\DeclareMathOperator*{\\am}{argmax}\\newcommand\\our{\\model{", F.col("source"), "}}We use \\our with \\pair{x}{y} and \\am of it; \\other{z} stays.")
+    return _docs(t).filter("source is not null").select("doc_id", latex.with_macros_expanded(tex).alias("tex"))
