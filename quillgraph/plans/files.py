@@ -299,3 +299,13 @@ def _fetched(i: str) -> bytes:
 def s20(t: Tables) -> DataFrame:
     d = harvest.downloaded(t.read("documents").select(F.col("doc_id").cast("string").alias("id")), _fetched, 40)
     return d.select(F.col("id").cast("bigint").alias("id"), F.octet_length("content").cast("bigint").alias("bytes"), "error")
+
+
+@query("s25_content_digests", "select k::integer as k, sum(length(p_name) + 1)::bigint as bytes, sha256(concat(string_agg(p_name, chr(10) order by p_name, p_partkey), chr(10))) as sha256 from (select *, p_partkey % 5 as k from part) group by 1")
+def s25(t: Tables) -> DataFrame:
+    """Digests of five files of names."""
+    path, p = shared_path(t.spark), t.read("part")
+    for i in range(5):
+        p.filter(F.col("p_partkey") % 5 == i).orderBy("p_name", "p_partkey").select("p_name").coalesce(1).write.text(f"{path}/k={i}")
+    d = files.content_digest(t.spark, path).filter(F.col("path").endswith(".txt"))
+    return d.select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("int").alias("k"), "bytes", "sha256")
