@@ -873,3 +873,42 @@ def test_span_query_removes_a_passages_last_sentences(spark, tmp_path):
     rows = {r["doc_id"]: r for r in queries()["op10_span_dedup"](spark, str(tmp_path)).collect()}
     assert [rows[i]["n_removed"] for i in (1, 2)] == [0, 3]
     assert rows[2]["text"] == docs[1][1].replace(passage + " ", "")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quillgraph.llm.common import shared_dir
+
+    def session(folder, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master, _quillgraph_dir="file:///x"))
+
+    assert shared_dir(session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    assert shared_dir(session(None, "local[8]")) == "file:///x"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir is unset"):
+            shared_dir(session(None, master))
+
+
+def test_tables_are_dropped_but_for_those_kept(spark):
+    import os
+
+    from quillgraph.llm.common import drop_tables, materialize, tables_so_far
+
+    since = tables_so_far(spark)
+    a, b = materialize(spark.range(3), "a"), materialize(spark.range(4), "b")
+    drop_tables(spark, since, b)
+    there = lambda d: os.path.exists(d._quillgraph_path.removeprefix("file://"))
+    assert not there(a) and there(b) and b.count() == 4 and tables_so_far(spark) == since + 1
+
+
+def test_the_package_is_sent_once(spark):
+    from quillgraph.llm.common import ship, ship_file
+
+    ship(spark)
+    ship(spark)
+    assert ship_file(spark, TOKENIZER) == "word_bpe_49k.json" and ship_file(spark, TOKENIZER) == "word_bpe_49k.json"
+    from pyspark import SparkFiles
+
+    sent = spark.range(1).select("id").mapInPandas(lambda batches: (b.assign(n=len(open(SparkFiles.get("word_bpe_49k.json")).read())) for b in batches), "id bigint, n bigint").first()
+    assert sent["n"] > 1_000_000
