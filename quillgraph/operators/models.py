@@ -85,14 +85,15 @@ def logistic_fit(rows: DataFrame, features: tuple[str, ...], label: str = "y", w
 
 
 def ranknet_pairs(rows: DataFrame, features: tuple[str, ...], most: int = 20) -> DataFrame:
-    """Difference rows for a pairwise fit: each positive of a query with `most` negatives in hash order, once each way."""
+    """Difference rows for a pairwise fit: each positive of a query with the query's first `most` negatives in hash order, once each way."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("qid", "p_cid").orderBy(F.xxhash64("qid", "p_cid", "n_cid"))
-    p = rows.filter("y = 1").select("qid", F.col("cid").alias("p_cid"), *[F.col(c).alias(f"p_{c}") for c in features])
-    n = rows.filter("y = 0").select("qid", F.col("cid").alias("n_cid"), *[F.col(c).alias(f"n_{c}") for c in features])
-    j = p.join(n, "qid").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
-    up = j.select("qid", *[(F.col(f"p_{c}") - F.col(f"n_{c}")).alias(c) for c in features], F.lit(1).alias("y"))
+    from quillgraph.functions.hashing import stable_hash
+
+    w = Window.partitionBy("qid").orderBy(stable_hash("qid", "cid"), "cid")
+    p = rows.filter("y = 1").select("qid", *[F.col(c).alias(f"p_{c}") for c in features])
+    n = rows.filter("y = 0").withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most).select("qid", *[F.col(c).alias(f"n_{c}") for c in features])
+    up = p.join(n, "qid").select("qid", *[(F.col(f"p_{c}") - F.col(f"n_{c}")).alias(c) for c in features], F.lit(1).alias("y"))
     return up.unionByName(up.select("qid", *[(-F.col(c)).alias(c) for c in features], F.lit(0).alias("y")))
 
 
