@@ -581,3 +581,10 @@ def q06(t: Tables) -> DataFrame:
     e = t.edges
     heads = F.array(F.when(F.col("src") % 7 == 0, 0.5).otherwise(0.1), (F.col("src") % 5) / 5.0)
     return g.attention_dump(e.select("dst", "src", F.posexplode(heads).alias("head", "weight")), 5).withColumn("weight", r6("weight"))
+
+
+@query("m18_ranknet_pairs", f"""with {_FEATURES}, n as (select * from f where not is_gold qualify row_number() over (partition by qid order by {stable_hash_sql('qid', 'cid')}, cid) <= 5), u as (select p.qid, round(p.lex - n.lex, 6) + 0.0 as lex, round(p.cocite_n - n.cocite_n, 6) + 0.0 as cocite_n from f p join n using (qid) where p.is_gold)
+    select qid, lex, cocite_n, 1 as y from u union all select qid, -lex + 0.0, -cocite_n + 0.0, 0 from u""", "win")
+def m18b(t: Tables) -> DataFrame:
+    d = models.ranknet_pairs(_features(t).withColumn("y", F.col("is_gold").cast("int")), ("lex", "cocite_n"), 5)
+    return d.select("qid", (r6("lex") + 0.0).alias("lex"), (r6("cocite_n") + 0.0).alias("cocite_n"), "y")
