@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parents[2]
+from quillgraph.operators.tables import shared_folder, ship
+
+__all__ = ["columns_of", "documents_of", "drop_tables", "keyed", "materialize", "shared_folder", "ship", "ship_file", "small_batches", "tables_so_far"]
 _NO_ID = -(2**63)
 
 
@@ -23,19 +21,6 @@ BATCH_ROWS = 2_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_quillgraph_shipped", False):
-        return
-    target = os.path.join(tempfile.mkdtemp(), "quillgraph.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in (ROOT / "quillgraph").rglob("*.py"):
-            z.write(p, p.relative_to(ROOT))
-    context.addPyFile(target)
-    context._quillgraph_shipped = True
-
-
 def ship_file(spark: SparkSession, path: str) -> str:
     """Send a file to the workers, once for each Spark context; they find it by SparkFiles.get(the returned name)."""
     context = spark.sparkContext
@@ -46,24 +31,6 @@ def ship_file(spark: SparkSession, path: str) -> str:
     return os.path.basename(path)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local run (one JVM) takes a temporary folder of its
-    own; on a cluster, where no other machine would see that, it is an error.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
-    own = getattr(spark.sparkContext, "_quillgraph_dir", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.sparkContext._quillgraph_dir = own
-    return own
-
-
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """Arrow batches of at most BATCH_ROWS rows in what runs inside."""
@@ -88,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     table goes with drop_tables, or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillgraph-{uuid.uuid4().hex}-{name}"
+    path = f"{shared_folder(spark)}/quillgraph-{uuid.uuid4().hex}-{name}"
     with small_batches(spark):
         df.write.parquet(path)
     p, fs = _place(spark, path)
@@ -150,7 +117,3 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("k1", F.coalesce("doc_id", F.lit(_NO_ID))).withColumn(
         "k2", F.xxhash64(F.coalesce("text", F.lit("")))
     )
-
-
-def partitions_for(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

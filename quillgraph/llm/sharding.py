@@ -86,8 +86,8 @@ def kd_leaves(meta: DataFrame, dimensions: tuple[str, ...], leaves: int, toleran
 
 
 def _small(like: DataFrame, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
-    values = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
-    return like.sparkSession.sql(f"select * from values {values} as t({', '.join(names)})")
+    """A table of one row a node."""
+    return like.sparkSession.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
 
 
 def _key(dimensions: tuple[str, ...]):

@@ -878,16 +878,16 @@ def test_span_query_removes_a_passages_last_sentences(spark, tmp_path):
 def test_a_cluster_needs_a_shared_folder():
     from types import SimpleNamespace
 
-    from quillgraph.llm.common import shared_dir
+    from quillgraph.llm.common import shared_folder
 
     def session(folder, master):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master, _quillgraph_dir="file:///x"))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *a: folder), sparkContext=SimpleNamespace(master=master, _quillgraph_folder="file:///x"))
 
-    assert shared_dir(session("hdfs://x/y", "yarn")) == "hdfs://x/y"
-    assert shared_dir(session(None, "local[8]")) == "file:///x"
+    assert shared_folder(session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    assert shared_folder(session(None, "local[8]")) == "file:///x"
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir is unset"):
-            shared_dir(session(None, master))
+            shared_folder(session(None, master))
 
 
 def test_tables_are_dropped_but_for_those_kept(spark):
