@@ -39,7 +39,7 @@ DF_BUCKETS = 1 << 17
 SMALL_BUCKET = 8
 #: Rounds of stars before the rest of each larger bucket is compared whole.
 ROUNDS = 4
-#: Pairs whose samples agree less are not read: with 48 samples a pair at 0.8 does so once in 10^8.
+#: Pairs whose samples agree less are not read: with 48 samples a pair at 0.8 does so once in 10^9.
 LEAST_AGREEMENT = 20
 #: Rows of a chunk whose shingles are made at once; their numbers have that many bits in the shingles' keys.
 _ROW_BITS = 14
