@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.functions.vectors import block_scores
 from quillgraph.operators import evaluation as ev
 from quillgraph.operators import ranking as rk
-from quillgraph.operators.universe import prototype_scores
 from quillgraph.plans.registry import Tables, query
 
 r6 = lambda c: F.round(c, 6)
@@ -208,7 +208,7 @@ def a27(t: Tables) -> DataFrame:
 @query("j11_prototype_max", "with p as (select * from vec where id % 20 = 0), c as (select * from vec) select c.id, round(max(list_cosine_similarity(c.v, p.v)), 6) as score from c cross join p group by 1", "vec")
 def j11(t: Tables) -> DataFrame:
     v = t.vec.select("id", F.col("v").alias("emb"))
-    return prototype_scores(v, v.filter("id % 20 = 0")).withColumn("score", r6("score"))
+    return block_scores(v.filter("id % 20 = 0"), v).groupBy(F.col("cid").alias("id")).agg(r6(F.max("cosine")).alias("score"))
 
 
 @query("j10_temporal_top", "with s as (select qid, cid, gat, slot from win where cid < qid), r as (select *, row_number() over (partition by qid order by gat desc, slot) as rn from s) select qid, cid, cast(rn as bigint) as ord from r where rn <= 20", "win")
