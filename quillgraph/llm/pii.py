@@ -25,7 +25,8 @@ from quillgraph.llm.crf import Crf
 from quillgraph.llm.words import chunks, word_codes
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("o", *KINDS)
+#: What the CRF tells apart; secrets (keys and tokens) are found besides, in columns of their own.
+LABELS = ("o", *KINDS, "secret")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a match never starts inside a run of digits: the run's start would do as well
@@ -76,10 +77,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 # Words that stand by personal data, each a feature of its own.
-CUES = "tel telephone phone call mobile cell fax ring text email mail contact write at dot (at) [at] (dot) [dot] ip address host server card visa credit order number no invoice version page id year code".split()
+CUES = "tel telephone phone call mobile cell fax ring text email mail contact write at dot (at) [at] (dot) [dot] ip address host server card visa credit order number no invoice version page id year code key token secret password api_key".split()
 _SHAPE_NUMBERS = 4096
-#: Numbers of a word's features: its shape, length, digits, cue word, and marks (colons, dots, brackets).
-_GROUPS = (_SHAPE_NUMBERS, 8, 8, 1 + len(CUES), 32)
+#: Numbers of a word's features: its shape, length, digits, cue word, marks (colons, dots, brackets), and the kinds of letters in a long run of them and digits.
+_GROUPS = (_SHAPE_NUMBERS, 8, 8, 1 + len(CUES), 32, 8)
+_RUN = "[A-Za-z0-9_+/=]{20,}"
 # a shape: capitals X, small letters x, digits 9, some marks as they are; runs of letters are one, long runs of digits 9999+
 _SHAPE = (("[0-9]", "9"), ("[A-ZÀ-Þ]", "X"), ("[a-zß-ɏ]", "x"), (r"[^9Xx@.+()\-:/\[\],]", "_"), ("X{2,}", "X"), ("x{2,}", "x"), ("9{5,}", "9999+"))
 
@@ -105,8 +107,10 @@ def _word_features(words: pa.Array | list[str]) -> np.ndarray:
     digits = pc.count_substring_regex(w, "[0-9]").to_numpy().astype(np.int64)
     cue = pc.fill_null(pc.index_in(pc.utf8_trim(pc.utf8_lower(w), ".,:;!?"), pa.array(CUES, w.type)), -1).to_numpy().astype(np.int64)
     count = lambda x: np.minimum(3, pc.count_substring(w, x).to_numpy().astype(np.int64))
-    bracket = pc.match_substring_regex(w, r"[\[(]").to_numpy(zero_copy_only=False)
-    columns = (numbers[shape.indices.to_numpy()], np.minimum(7, pc.utf8_length(w).to_numpy() // 3), np.minimum(7, digits // 2 + (digits > 0)), 1 + cue, count(":") + 4 * count(".") + 16 * bracket)
+    has = lambda x: pc.match_substring_regex(w, x).to_numpy(zero_copy_only=False)
+    bracket = has(r"[\[(]")
+    mixed = has(_RUN) * (1 + has("[0-9]") + 2 * has("[a-z]") + 4 * has("[A-Z]") - has("[0-9]") * has("[a-z]") * has("[A-Z]"))
+    columns = (numbers[shape.indices.to_numpy()], np.minimum(7, pc.utf8_length(w).to_numpy() // 3), np.minimum(7, digits // 2 + (digits > 0)), 1 + cue, count(":") + 4 * count(".") + 16 * bracket, mixed)
     return np.stack(columns, 1).astype(np.int64).reshape(-1, len(_GROUPS)) + _OFFSETS[: len(_GROUPS)]
 
 
@@ -147,12 +151,22 @@ def labelled_table(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], lis
             "[.]".join(four), "(.)".join(four), " dot ".join(four), ".".join(four[:2]) + "[.]" + "[.]".join(four[2:]), ".".join(four[:3]) + "[.]" + four[3], "[dot]".join(four), " (dot) ".join(four),
         ][rng.integers(11)]
 
+    def secret() -> str:
+        pick = lambda some, lo, hi: "".join(rng.choice(list(some), rng.integers(lo, hi)))
+        lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+        n = [32, 40, 64][rng.integers(3)]
+        made = [
+            pick("0123456789abcdef", n, n + 1), pick("0123456789ABCDEF", n, n + 1), pick(lower + upper + digits + digits, 24, 45), pick(lower + upper + digits + "+/", 30, 50) + "=", f"{['sk', 'key', 'tok', 'api'][rng.integers(4)]}_{pick(lower + upper + digits + digits, 20, 40)}", "AK" + pick(upper + digits + digits, 18, 19),
+        ][rng.integers(6)]
+        return f'"{made}"' if rng.random() < 0.3 else made
+
     def decoy() -> str:
         return [
+            "".join(word() for _ in range(6)), f"{num(24)}", "-".join("".join(rng.choice(list("0123456789abcdef"), k)) for k in (8, 4, 4, 4, 12)), f"www.{word()}.org/{word()}/{word()}",
             f"{num(2)}:{num(2)}:{num(2)}", f"{word()}::{word()}", ":".join("".join(rng.choice(list("0123456789abcdef"), 2)) for _ in range(6)), f"{word()}: {num(2)}", f"v{num(1)}.{num(1)}.{num(2)}", f"{word()} [{num(2)}]", f"{num(1)} dot {num(1)}",
             num(rng.integers(1, 9)), num(16), f"{num(2)}.{num(2)}.{num(4)}", f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(3)},{num(3)}", f"{num(2)}:{num(2)}", f"{num(3)}-{num(2)}", f"${num(3)}.{num(2)}", "$$$", "***", f"{word()} at {word()}", f"{word()}, {word()}", f"{word()}.{word()}",
             f"no {num(8)}", f"invoice {num(10)}", f"version {num(1)}.{num(2)}", f"page {num(3)}", f"({num(4)})", f"{num(4)} {num(4)}", word().upper() + "!!", f"id {num(12)}", f'"{num(40)}"', f"{word()}@{num(2)}", f"{word()}|{word()}", "| " + word(),
-        ][rng.integers(33)]
+        ][rng.integers(37)]
 
     out = []
     for _ in range(rows):
@@ -183,6 +197,10 @@ def labelled_table(rows: int = 1200, seed: int = 5) -> list[tuple[list[str], lis
                 if rng.random() < 0.5:
                     add(["host", "ip", "IP", "address", "server", "from"][rng.integers(6)], 0)
                 add(ip() + [".", ",", "", ""][rng.integers(4)], LABELS.index("ip"))
+            elif kind == 6:
+                if rng.random() < 0.5:
+                    add(["key", "token", "secret:", "password:", "api_key =", "key:"][rng.integers(6)], 0)
+                add(secret() + [".", ",", "", ""][rng.integers(4)], LABELS.index("secret"))
             else:
                 add(decoy(), 0)
         if rng.random() < 0.8 or not words:
@@ -205,6 +223,8 @@ def _passes(kind: int, text: str) -> bool:
         return 13 <= digits <= 19 and luhn("".join(_DIGITS.findall(text))) and not re.search(r"[A-Za-z]", text)
     if kind == 1:
         return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[(\[]\s*at\s*[)\]]|at)\s*[\w-]+(?:\s*(?:\.|[(\[]\s*dot\s*[)\]]|dot)\s*[\w-]+)+", text, re.I)) and bool(re.search(r"[(\[]|\bdot\b", text))
+    if kind == 5:
+        return bool(re.fullmatch(_RUN, text)) and digits >= 2 and len(re.findall("[A-Za-z]", text)) >= 3 and len(set(text)) >= 10
     return kind == 2 and _is_address(text)
 
 
@@ -226,7 +246,7 @@ def _is_address(text: str) -> bool:
 
 
 def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
-    """Per text (null: none) the CRF's spans that pass their kind's check."""
+    """Per text (null: none) the CRF's spans (label less 1, start, end) that pass their kind's check."""
     codes, vocabulary, starts = word_codes(texts)
     f = _word_features(vocabulary)
     emit = crf.emit.astype(np.float32)
@@ -258,36 +278,42 @@ def crf_spans(texts: pa.Array, crf: Crf) -> list[list[tuple[int, int, int]]]:
                 start, end = places[a][0], places[b - 1][1]
                 piece = text[start:end]
                 start, end = start + len(piece) - len(piece.lstrip(".,;:!?\"'<")), end - len(piece) + len(piece.rstrip(".,;:!?\"'>"))
+                if kind == 5 and (m := re.search(_RUN, text[start:end])):
+                    start, end = start + m.start(), start + m.end()
                 if start < end and _passes(kind, text[start:end]):
                     out[i].append((kind - 1, start, end))
     return out
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, secrets, n_found.
 
     Spans are kind:start:end in code points, end exclusive, by kind and start,
     comma-joined; counts by kind and digest are those of the base patterns, spans
-    and n_spans have the CRF's spans, too. Null and empty texts have none. Repeated rows give
+    and n_spans have the CRF's spans, too; secrets has start:end of keys and tokens,
+    n_found counts them with the spans. Null and empty texts have none. Repeated rows give
     repeated rows.
     """
     ship(docs.sparkSession)
     crf = trained_crf()
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "secrets", "n_found"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         for b in chunks(batches):
             text = b.column("text")
-            counts, digests, spans, n_spans = [], [], [], []
+            counts, digests, spans, n_spans, secrets, n_found = [], [], [], [], [], []
             for t, more in zip(text, crf_spans(text, crf), strict=True):
                 base = base_spans(t.as_py() or "")
                 counts.append([sum(k == i for k, _, _ in base) for i in range(4)])
                 digests.append(hashlib.sha256(said(sorted(base)).encode()).hexdigest())
                 new = [x for x in more if all(x[2] <= a or e <= x[1] for _, a, e in base)]
-                spans.append(said(sorted(base + new)))
-                n_spans.append(len(base) + len(new))
+                kept = [x for x in new if x[0] < len(KINDS)]
+                spans.append(said(sorted(base + kept)))
+                n_spans.append(len(base) + len(kept))
+                secrets.append(",".join(f"{a}:{e}" for k, a, e in new if k == len(KINDS)))
+                n_found.append(len(base) + len(new))
             counts = np.array(counts, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(counts[:, i]) for i in range(4)], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(counts[:, i]) for i in range(4)], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64()), pa.array(secrets, pa.string()), pa.array(n_found, pa.int64())], names=names)
 
-    return columns_of(docs, doc_id="bigint", text="string").mapInArrow(find, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
+    return columns_of(docs, doc_id="bigint", text="string").mapInArrow(find, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint, secrets string, n_found bigint")
