@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import drop_tables, materialize, tables_so_far
 from quillgraph.llm.line_dedup import without_repeated_lines
 from quillgraph.llm.mixing import mixed_documents
 from quillgraph.llm.near_dedup import one_of_each_class
@@ -47,10 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each written as Parquet and read again; what a stage has read goes when it is done."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables_so_far(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, name.replace(" ", "-"))
+            drop_tables(spark, since, docs)
     return docs
