@@ -97,14 +97,12 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
         for b in chunks(batches):
             row, start, length, value, second = [], [], [], [], []
             for i, text in enumerate(b.column("text")):
-                sentences = sentences_of(text.as_py() or "")[0]
-                s, n, h, h2 = runs_of(sentences, min_sentences, min_words, both_ends)
-                # a text's first row has its number of sentences
-                row.append(np.full(len(s) + 1, i))
-                start.append([-1, *s])
-                length.append([sum(1 for x in sentences if x.strip()), *n])
-                value.append([0, *h])
-                second.append([0, *h2])
+                s, n, h, h2 = runs_of(sentences_of(text.as_py() or "")[0], min_sentences, min_words, both_ends)
+                row.append(np.full(len(s), i))
+                start.append(s)
+                length.append(n)
+                value.append(h)
+                second.append(h2)
             row = pa.array(np.concatenate(row))
             yield pa.RecordBatch.from_arrays(
                 [b.column("k1").take(row), b.column("k2").take(row), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(length).astype(np.int32)), pa.array(np.concatenate(value)), pa.array(np.concatenate(second))],
@@ -114,31 +112,29 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
     spark = docs.sparkSession
     since = tables_so_far(spark)
     runs = materialize(d.select("k1", "k2", "text").mapInArrow(find, "k1 bigint, k2 bigint, start int, n int, hash bigint, hash2 bigint"), "runs")
-    counts, runs = materialize(runs.filter("start < 0").select("k1", "k2", "start", "n"), "counts"), runs.filter("start >= 0")
     # counts and firsts are written, so that a join deals both sides out anew and a frequent run's partition can be split
     twice = materialize(runs.groupBy("hash", "hash2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash", "hash2"), "twice")
     repeated = materialize(runs.join(twice, ["hash", "hash2"]), "repeated")
-    drop_tables(spark, since, repeated, counts)
+    drop_tables(spark, since, repeated)
     place = F.struct("k1", "k2", "start")
     first = materialize(repeated.groupBy("hash", "hash2").agg(F.min(place).alias("first")), "first")
     later = repeated.join(first, ["hash", "hash2"]).filter(place != F.col("first"))
-    run = F.when(F.col("start") >= 0, F.struct("start", "n"))
-    both = later.select("k1", "k2", "start", "n").unionByName(counts)
-    gone = materialize(both.groupBy("k1", "k2").agg(F.collect_set(run).alias("gone"), F.max(F.when(F.col("start") < 0, F.col("n"))).alias("sentences")), "gone")
+    gone = materialize(later.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("gone")), "gone")
     drop_tables(spark, since, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, count, removed, spans = [], [], [], []
-            for text, gone, full in zip(b.column("text"), b.column("gone"), b.column("sentences"), strict=True):
+            for text, gone in zip(b.column("text"), b.column("gone"), strict=True):
                 text, gone = text.as_py() or "", gone.as_py()
-                count.append(full.as_py() or 0)
+                s, breaks = sentences_of(text)
+                full = sum(1 for x in s if x.strip())
+                count.append(full)
                 if not gone:
                     texts.append(text)
                     removed.append(0)
                     spans.append("")
                     continue
-                s, breaks = sentences_of(text)
                 out = np.zeros(len(s) + 1, np.int64)
                 for g in gone:
                     out[g["start"]] += 1
@@ -153,5 +149,5 @@ def dedup_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words:
                 names=["doc_id", "text", "n_sentences", "n_removed", "removed"],
             )
 
-    joined = d.join(gone.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "gone", "sentences")
+    joined = d.join(gone.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(cut, "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed string")
