@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import block_scores
@@ -33,6 +33,19 @@ CTES = {
 NEEDS = {"nodes": ("edges",), "indeg": ("edges",), "outdeg": ("edges",), "deg": ("indeg", "outdeg"), "win": ("vec",), "ranked": ("win",)}
 
 
+def paper_id(n: Column) -> Column:
+    """A number below 91,200,000 as an id of its own: 2401.nnnnn, and 2402 to 2412, 2501 and so on for each further 100,000."""
+    month = F.floor(n / 100_000)
+    yymm = (24 + F.floor(month / 12)) * 100 + month % 12 + 1
+    return F.concat(F.lpad(yymm.cast("string"), 4, "0"), F.lit("."), F.lpad((n % 100_000).cast("string"), 5, "0"))
+
+
+def short_id(i: Column) -> Column:
+    """The SQL's text of a paper_id: 2401 and the number's first five digits, which from 100,000 on several numbers share."""
+    month = (F.substring(i, 1, 2).cast("bigint") - 24) * 12 + F.substring(i, 3, 2).cast("bigint") - 1
+    return F.concat(F.lit("2401."), F.lpad((month * 100_000 + F.substring(i, 6, 5).cast("bigint")).cast("string"), 5, "0"))
+
+
 def sql_of(body: str, *ctes: str) -> str:
     order: list[str] = []
 

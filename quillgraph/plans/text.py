@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import latex
 from quillgraph.functions import text as tx
 from quillgraph.operators import build, greedy
-from quillgraph.plans.registry import Tables, query
+from quillgraph.plans.registry import Tables, paper_id, query, short_id
 
 r6 = lambda c: F.round(c, 6)
 _SURVEY = r"(?i)\b(survey|overview|tutorial|systematic review|literature review|comprehensive review|critical review|review of)\b"
@@ -85,15 +85,14 @@ def g01(t: Tables) -> DataFrame:
     """Papers whose LaTeX cites their parts by key; the bibliography names even parts by id and odd ones by title."""
     n = F.col("l_partkey")
     key = F.concat(F.lit("k"), n.cast("string"))
-    of = lambda c: F.concat(F.lit("2401."), F.lpad(c.cast("string"), 5, "0"))
     title = lambda c: F.concat(F.lit("On \\emph{part} "), c.cast("string"), F.lit(" and its $\\alpha_2$ Makers"))
-    entry = F.when(n % 2 == 0, F.concat(F.lit("Some title. \\newblock arXiv:"), of(n))).otherwise(F.concat(title(n), F.lit(". \\newblock A Press")))
+    entry = F.when(n % 2 == 0, F.concat(F.lit("Some title. \\newblock arXiv:"), paper_id(n))).otherwise(F.concat(title(n), F.lit(". \\newblock A Press")))
     l = t.read("lineitem").select("l_orderkey", F.concat(F.lit("We use \\cite{"), key, F.lit("} in this work.")).alias("s"), F.concat(F.lit("\\bibitem{"), key, F.lit("} A. Author. \\newblock "), entry).alias("b"))
     papers = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s")).alias("s"), F.sort_array(F.collect_set("b")).alias("b"))
     tex = F.concat(F.array_join("s", " "), F.lit(" \\begin{thebibliography} "), F.array_join("b", " "), F.lit(" \\end{thebibliography}"))
     papers = papers.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), tex.alias("tex"))
-    parts = t.read("part").select("p_partkey", of(F.col("p_partkey")).alias("id"))
-    return build.cited_edges(papers, parts.select(tx.title_key(title(F.col("p_partkey"))).alias("title_key"), "id"), parts.select("id")).select("src", "dst", "sentence")
+    parts = t.read("part").select("p_partkey", paper_id(F.col("p_partkey")).alias("id"))
+    return build.cited_edges(papers, parts.select(tx.title_key(title(F.col("p_partkey"))).alias("title_key"), "id"), parts.select("id")).select("src", short_id(F.col("dst")).alias("dst"), "sentence")
 
 
 @query("a17_monthly_recall", "with m as (select month, count(*) as n from months where month is not null group by 1) select month, n, round(n / sum(n) over (), 6) as share from m", "months")
