@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as By
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vectors import block_scores
 from quillgraph.operators.tables import ship
+from quillgraph.operators.windows import Window, over_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,13 +107,23 @@ class Tables:
         labels = self.vec.select("id", "label")
         d = block_scores(v.filter("id % 20 = 0"), v).filter("qid <> cid")
         d = d.join(labels.select(F.col("id").alias("qid"), F.col("label").alias("ql")), "qid").join(labels.select(F.col("id").alias("cid"), F.col("label").alias("cl")), "cid")
-        slot = F.row_number().over(Window.partitionBy("qid").orderBy("cid")) - 1
+        slot = F.row_number().over(By.partitionBy("qid").orderBy("cid")) - 1
         ce = F.when(F.col("cid") % 13 != 0, F.round("cosine", 9))
         return d.select("qid", "cid", ce.alias("ce"), F.round(-F.col("distance"), 9).alias("gat"), F.coalesce(F.col("ql") == F.col("cl"), F.lit(False)).alias("is_gold"), slot.cast("bigint").alias("slot"))
 
+    def windows(self, f: Callable[[Window], dict], schema: str, queries: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """What f makes of each whole window of win, without a shuffle of its pairs."""
+        return self.all_windows(lambda ws: (f(w) for w in ws), schema, queries, rows)
+
+    def all_windows(self, f: Callable[[Iterator[Window]], Iterator[dict]], schema: str, queries: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+        """As windows, with all windows of a task in one call; further columns of queries and rows come by id."""
+        v = self.read("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("emb"), "label")
+        q = v.filter("id % 20 = 0")
+        return over_windows(q if queries is None else q.join(queries, "id", "left"), v if rows is None else v.join(rows, "id", "left"), f, schema)
+
     @property
     def ranked(self) -> DataFrame:
-        o = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("gat").desc(), "slot"))
+        o = F.row_number().over(By.partitionBy("qid").orderBy(F.col("gat").desc(), "slot"))
         return self.win.select("qid", "cid", "is_gold", o.cast("bigint").alias("ord"))
 
 

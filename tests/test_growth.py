@@ -30,3 +30,13 @@ def test_six_digit_keys(name, spark, tmp_path):
     c.execute(f"copy (select range as p_partkey from range(0, 100200)) to '{tmp_path}/part.parquet'")
     c.execute(f"copy (select i // 5 as l_orderkey, case when i % 2 = 0 then 10000 + i // 4 else 100000 + i end as l_partkey from (select range as i from range(0, 190))) to '{tmp_path}/lineitem.parquet'")
     same(spark, tmp_path, name, ["part", "lineitem"])
+
+
+#: Queries whose pairs stay in the task that makes them.
+WHOLE = ["a11_score_percentiles"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_pairs_are_not_shuffled(name, spark):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
