@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def network_scores(u: np.ndarray, v: np.ndarray, x: np.ndarray, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float) -> np.ndarray:
+    """A tanh network over [u, v, u * v, |u - v|, x]."""
+    return np.tanh(np.hstack([u, v, u * v, np.abs(u - v), x]) @ w1 + b1) @ w2 + b2
+
+
 def pair_scores(pairs: DataFrame, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float) -> DataFrame:
     """(qid, cid, score): a tanh network over [u, v, u * v, |u - v|, extra]; a missing vector gives a null score.
 
@@ -23,8 +29,7 @@ def pair_scores(pairs: DataFrame, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray
             full = (b["u"].notna() & b["v"].notna()).to_numpy()
             if full.any():
                 u, v, x = (np.stack(b.loc[full, c].to_numpy()) for c in ("u", "v", "extra"))
-                h = np.tanh(np.hstack([u, v, u * v, np.abs(u - v), x]) @ w1 + b1)
-                out[full] = h @ w2 + b2
+                out[full] = network_scores(u, v, x, w1, b1, w2, b2)
             yield pd.DataFrame({"qid": b["qid"], "cid": b["cid"], "score": pd.Series(out).where(full, None).astype("Float64")})
 
     return pairs.select("qid", "cid", "u", "v", "extra").mapInPandas(score, f"qid {types['qid']}, cid {types['cid']}, score double")
@@ -70,17 +75,29 @@ def whitened(vectors: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFr
     return vectors.select("id", "emb").mapInPandas(apply, f"id {kind}, emb array<double>")
 
 
-def logistic_fit(rows: DataFrame, features: tuple[str, ...], label: str = "y", weight: str | None = None):
-    """A pyspark.ml logistic regression: (weights by feature, bias, mean, sd); standardised on the given rows, sd below 1e-6 as 1."""
+def fit_statistics(rows: DataFrame, features: tuple[str, ...], count: str | None = None) -> tuple[dict[str, float], dict[str, float]]:
+    """(mean, sd) by feature, population sd, below 1e-6 as 1; `count` names the column with how many equal rows a row stands for."""
+    if count is None:
+        stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    else:
+        of = lambda x: F.sum(x * F.col(count)) / F.sum(count)
+        m = rows.agg(*[of(F.col(c)).alias(c) for c in features]).first()
+        s = rows.agg(*[F.sqrt(of((F.col(c) - F.lit(m[c])) ** 2)).alias(c) for c in features]).first()
+        stats = {f"m_{c}": m[c] for c in features} | {f"s_{c}": s[c] for c in features}
+    mean = {c: stats[f"m_{c}"] for c in features}
+    return mean, {c: stats[f"s_{c}"] if (stats[f"s_{c}"] or 0) >= 1e-6 else 1.0 for c in features}
+
+
+def logistic_fit(rows: DataFrame, features: tuple[str, ...], label: str = "y", weight: str | None = None, count: str | None = None):
+    """A pyspark.ml logistic regression: (weights by feature, bias, mean, sd), standardised as fit_statistics says."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    stats = rows.agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    mean = {c: stats[f"m_{c}"] for c in features}
-    sd = {c: stats[f"s_{c}"] if (stats[f"s_{c}"] or 0) >= 1e-6 else 1.0 for c in features}
-    z = rows.select(*[((F.col(c) - mean[c]) / sd[c]).alias(c) for c in features], F.col(label).cast("double").alias("label"), *([weight] if weight else []))
+    mean, sd = fit_statistics(rows, features, count)
+    by = [F.col(c).cast("double") for c in (weight, count) if c]
+    z = rows.select(*[((F.col(c) - mean[c]) / sd[c]).alias(c) for c in features], F.col(label).cast("double").alias("label"), *([reduce(lambda a, b: a * b, by).alias("_weight")] if by else []))
     x = VectorAssembler(inputCols=list(features), outputCol="features").transform(z)
-    model = LogisticRegression(standardization=False, regParam=1e-3, **({"weightCol": weight} if weight else {})).fit(x)
+    model = LogisticRegression(standardization=False, regParam=1e-3, **({"weightCol": "_weight"} if by else {})).fit(x)
     return dict(zip(features, model.coefficients.toArray().tolist(), strict=True)), model.intercept, mean, sd
 
 

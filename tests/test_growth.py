@@ -50,3 +50,13 @@ def test_bootstrap_reads_one_row_a_query(spark, monkeypatch):
     monkeypatch.setattr(ev, "paired_bootstrap", lambda pairs, draws: seen.append(pairs) or real(pairs, draws))
     QUERIES["m11_paired_bootstrap"](spark, "/root/testdata/sf0.001")
     assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counted_fit(spark):
+    """m18: rows with counts give the fit of the rows written out."""
+    from quillgraph.operators import models
+
+    d = spark.createDataFrame([(0.1, 1.0, 0, 3), (0.4, 0.0, 1, 2), (0.3, 1.0, 1, 1), (0.2, 0.5, 0, 2)], "a double, b double, y int, n int")
+    whole = d.selectExpr("a", "b", "y", "explode(sequence(1, n)) as k")
+    u, v = models.logistic_fit(d, ("a", "b"), count="n"), models.logistic_fit(whole, ("a", "b"))
+    assert all(abs(u[i][c] - v[i][c]) < 1e-3 for i in (0, 2, 3) for c in "ab")
