@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +19,23 @@ def _jaccard(a: frozenset[str], b: frozenset[str]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
+def chosen_titles(titles: Iterable[str | None], most: int, long_enough: int = 24) -> list[int]:
+    """Places of the first `most` titles that neither equal nor contain, nor are held by, one chosen before."""
+    chosen: list[str] = []
+    exact: set[str] = set()
+    out: list[int] = []
+    for i, title in enumerate(titles):
+        t = " ".join((title or "").lower().split())
+        if not t or t in exact or any(min(len(t), len(c)) >= long_enough and (t in c or c in t) for c in chosen):
+            continue
+        exact.add(t)
+        chosen.append(t)
+        out.append(i)
+        if len(out) == most:
+            break
+    return out
+
+
 def suppressed_titles(items: DataFrame, most: int, long_enough: int = 24) -> DataFrame:
     """(qid, cid, ord): items whose title neither equals nor contains, nor is held by, one chosen before.
 
@@ -25,19 +43,9 @@ def suppressed_titles(items: DataFrame, most: int, long_enough: int = 24) -> Dat
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen: list[str] = []
-        exact: set[str] = set()
-        out = []
-        for r in pdf.sort_values(["ord", "cid"]).itertuples():
-            t = " ".join((r.title or "").lower().split())
-            if not t or t in exact or any(min(len(t), len(c)) >= long_enough and (t in c or c in t) for c in chosen):
-                continue
-            exact.add(t)
-            chosen.append(t)
-            out.append((r.qid, r.cid, len(out) + 1))
-            if len(out) == most:
-                break
-        return pd.DataFrame(out, columns=["qid", "cid", "ord"])
+        d = pdf.sort_values(["ord", "cid"])
+        kept = d.iloc[chosen_titles(d["title"], most, long_enough)]
+        return pd.DataFrame({"qid": kept["qid"], "cid": kept["cid"], "ord": range(1, len(kept) + 1)})
 
     types = dict(items.dtypes)
     return items.select("qid", "cid", "ord", "title").groupBy("qid").applyInPandas(pick, f"qid {types['qid']}, cid {types['cid']}, ord bigint")

@@ -33,7 +33,7 @@ def test_six_digit_keys(name, spark, tmp_path):
 
 
 #: Queries whose pairs stay in the task that makes them.
-WHOLE = ["a11_score_percentiles", "w13_w15_structural_score", "w26_rank_features", "w54_second_head", "w58_frozen_window", "j15_score_alignment", "w07_zscore", "w28_pair_network", "w53_score_dump"]
+WHOLE = ["a11_score_percentiles", "w13_w15_structural_score", "w26_rank_features", "w54_second_head", "w58_frozen_window", "j15_score_alignment", "w07_zscore", "w28_pair_network", "w53_score_dump", "w36_cold_start_pool"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
