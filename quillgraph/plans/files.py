@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators import contracts, resolve, search, upserts
-from quillgraph.operators.tables import shared_path
+from quillgraph.operators.tables import shared_path, written
 from quillgraph.plans.registry import Tables, query
 from quillgraph.sources import files, harvest
 
@@ -112,7 +112,11 @@ def s12(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     _, e = files.read_gexf(t.spark, _gexf(t))
-    return e.select("src", "dst", "sentence", F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("nth"))
+    e = written(e.withColumn("file", F.shiftright("pos", 32)))
+    # rows are numbered inside their file; one row a file is numbered through
+    before = e.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("pos")) + F.col("before")
+    return e.join(F.broadcast(before), "file").select("src", "dst", "sentence", nth.cast("bigint").alias("nth"))
 
 
 @query("s13_gexf_nodes", "select cast(id as varchar) as id, concat('a \"title\" & <', id) as label, cast(id % 30 + 1990 as varchar) as year from nodes", "nodes")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import re
 import tarfile
@@ -10,7 +11,8 @@ from functools import reduce
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import latex
@@ -114,45 +116,85 @@ def _attributes(tag: str) -> dict[str, str]:
 
 
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes (id, label, attributes map), edges (src, dst, sentence, pos)) of GEXF files; the sentence falls back to the label."""
+    """(nodes (id, label, attributes map), edges (src, dst, sentence, pos)) of GEXF files, plain or gzipped; the sentence falls back to the label.
+
+    pos has the file's number, in the order of names, times 2^32, plus the place in the file. A file is read whole.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    number = {name: i for i, name in enumerate(sorted(r["path"] for r in found.select("path").toLocalIterator()))}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for content in b["content"]:
-                text, rows = bytes(content).decode(), []
+            for name, content in zip(b["path"], b["content"], strict=True):
+                raw, rows, first = bytes(content), [], number[name] << 32
+                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
                 defined = [_attributes(x) for x in re.findall(r"<attribute\b[^>]*>", text)]
                 names = {d.get("id", ""): d.get("title", "") for d in defined}
                 for i, m in enumerate(_GEXF_TAG.finditer(text)):
                     a = _attributes(m[2])
                     for x in map(_attributes, re.findall(r"<attvalue\b[^>]*>", m[4] or "")):
                         a[names.get(x.get("for", ""), x.get("for", ""))] = x.get("value", "")
-                    rows.append((m[1], i, a))
+                    rows.append((m[1], first + i, a))
+                    if len(rows) == 20_000:
+                        yield pd.DataFrame(rows, columns=["kind", "pos", "a"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=["kind", "pos", "a"])
 
-    x = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "kind string, pos bigint, a map<string,string>")
+    x = found.select("path", "content").mapInPandas(parse, "kind string, pos bigint, a map<string,string>")
     a = F.col("a")
     nodes = x.filter("kind = 'node'").select(a["id"].alias("id"), F.coalesce(a["label"], a["id"]).alias("label"), a.alias("attributes"))
     edges = x.filter("kind = 'edge'").select(a["source"].alias("src"), a["target"].alias("dst"), F.coalesce(F.nullif(a["sentence"], F.lit("")), a["label"], F.lit("")).alias("sentence"), "pos")
     return nodes, edges
 
 
-def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(line) of a GEXF file, in order: nodes (id, title and, if there, attributes map) and edges (src, dst, sentence, pos)."""
-    spark = nodes.sparkSession
+def _gexf_parts(nodes: DataFrame) -> tuple[dict, Column, Column]:
+    """Fixed lines by part, a node's line and an edge's line."""
     quoted = lambda c: F.concat(F.lit('"'), reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), _ESCAPES.items(), F.coalesce(c.cast("string"), F.lit(""))), F.lit('"'))
     values = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(F.lit("<attvalue for="), quoted(e["key"]), F.lit(" value="), quoted(e["value"]), F.lit("/>"))), "")
-    own = values(F.col("attributes")) if "attributes" in nodes.columns else F.lit("")
-    fixed = [(0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<gexf version="1.2"><graph defaultedgetype="directed">'), (2, '<attributes class="edge"><attribute id="0" title="sentence" type="string"/></attributes>'), (3, "<nodes>"), (5, "</nodes>"), (6, "<edges>"), (8, "</edges>"), (9, "</graph></gexf>")]
-    frame = spark.createDataFrame(fixed, "part int, line string").select("part", F.array().cast("array<string>").alias("key"), "line")
+    own = F.coalesce(values(F.col("attributes")), F.lit("")) if "attributes" in nodes.columns else F.lit("")
+    fixed = {0: '<?xml version="1.0" encoding="UTF-8"?>', 1: '<gexf version="1.2"><graph defaultedgetype="directed">', 2: '<attributes class="edge"><attribute id="0" title="sentence" type="string"/></attributes>', 3: "<nodes>", 5: "</nodes>", 6: "<edges>", 8: "</edges>", 9: "</graph></gexf>"}
+    node = F.concat(F.lit("<node id="), quoted(F.col("id")), F.lit(" label="), quoted(F.col("title")), F.lit("><attvalues>"), own, F.lit("</attvalues></node>"))
+    edge = F.concat(F.lit("<edge source="), quoted(F.col("src")), F.lit(" target="), quoted(F.col("dst")), F.lit('><attvalues><attvalue for="0" value='), quoted(F.col("sentence")), F.lit("/></attvalues></edge>"))
+    return fixed, node, edge
+
+
+def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line) of a GEXF file, in order: nodes (id, title and, if there, attributes map) and edges (src, dst, sentence, pos)."""
+    fixed, node, edge = _gexf_parts(nodes)
+    frame = nodes.sparkSession.createDataFrame(list(fixed.items()), "part int, line string").select("part", F.array().cast("array<string>").alias("key"), "line")
     key = lambda *c: F.array(*[x.cast("string") for x in c])
-    n = nodes.select(F.lit(4).alias("part"), key(F.col("id")).alias("key"), F.concat(F.lit("<node id="), quoted(F.col("id")), F.lit(" label="), quoted(F.col("title")), F.lit("><attvalues>"), own, F.lit("</attvalues></node>")).alias("line"))
-    e = edges.select(F.lit(7).alias("part"), key(F.lpad(F.col("pos").cast("string"), 20, "0"), F.col("src"), F.col("dst")).alias("key"), F.concat(F.lit("<edge source="), quoted(F.col("src")), F.lit(" target="), quoted(F.col("dst")), F.lit('><attvalues><attvalue for="0" value='), quoted(F.col("sentence")), F.lit("/></attvalues></edge>")).alias("line"))
+    n = nodes.select(F.lit(4).alias("part"), key(F.col("id")).alias("key"), node.alias("line"))
+    e = edges.select(F.lit(7).alias("part"), key(F.lpad(F.col("pos").cast("string"), 20, "0"), F.col("src"), F.col("dst")).alias("key"), edge.alias("line"))
     return frame.unionByName(n).unionByName(e).orderBy("part", "key").select("line")
 
 
-def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A folder with one GEXF file for other tools: sorted over all executors, then streamed through one task; Parquet is the primary format."""
-    gexf_lines(nodes, edges).coalesce(1).write.mode("overwrite").text(path)
+def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, largest: int = 250_000) -> None:
+    """A folder with one GEXF file for other tools, sorted; Parquet is the primary format.
+
+    With more than `largest` nodes or edges it has several gzipped files of about so many
+    instead, each a whole GEXF document: first nodes, then edges, whose order is that of the files' names.
+    """
+    n, e = nodes, written(edges.select("src", "dst", "sentence", "pos"))
+    most = e.count()
+    if most <= largest and nodes.limit(largest + 1).count() <= largest:
+        gexf_lines(n, e).coalesce(1).write.mode("overwrite").text(path)
+        return
+    fixed, node, edge = _gexf_parts(n)
+    head, tail = "\n".join(fixed[k] for k in (0, 1, 2)), fixed[9]
+
+    def documents(d: DataFrame, size: int, keys: list, line, parts: tuple[int, int]) -> DataFrame:
+        lines = d.repartitionByRange(max(1, -(-size // largest)), *keys).sortWithinPartitions(*keys).select(line.alias("line"))
+        before, after = f"{head}\n{fixed[parts[0]]}", f"{fixed[parts[1]]}\n{tail}"
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([before])], names=["line"])
+            yield from (pa.RecordBatch.from_arrays([b.column(0)], names=["line"]) for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array([after])], names=["line"])
+
+        return lines.mapInArrow(whole, "line string")
+
+    documents(n, n.count(), [F.col("id").cast("string")], node, (3, 5)).write.mode("overwrite").option("compression", "gzip").text(path)
+    documents(e, most, [F.col("pos"), F.col("src").cast("string"), F.col("dst").cast("string")], edge, (6, 8)).write.mode("append").option("compression", "gzip").text(path)
 
 
 def unpacked(archives: DataFrame, suffixes: tuple[str, ...] = (".tex", ".bbl", ".bib"), largest: int = 1_500_000) -> DataFrame:

@@ -68,3 +68,16 @@ def test_counted_statistics(spark):
 
     d = spark.createDataFrame([(1.0, 2.0, 3), (5.0, 2.0, 1)], "a double, b double, n int")
     assert models.fit_statistics(d, ("a", "b"), "n") == ({"a": 2.0, "b": 2.0}, {"a": pytest.approx(3**0.5), "b": 1.0})
+
+
+def test_gexf_in_several_files(spark, tmp_path):
+    """Above the size, edges come in several files, in order, and nothing is lost."""
+    from quillgraph.sources import files
+
+    n = spark.range(70).selectExpr("cast(id as string) as id", "concat('t', id) as title", "map('year', cast(id as string)) as attributes")
+    e = spark.range(500).selectExpr("cast(id % 70 as string) as src", "cast(id % 7 as string) as dst", "concat('<', id, '>') as sentence", "id as pos")
+    files.write_gexf(n, e, str(tmp_path / "g"), largest=60)
+    assert len(list((tmp_path / "g").glob("part-*.gz"))) > 8
+    nodes, edges = files.read_gexf(spark, str(tmp_path / "g"))
+    assert {r["id"]: r["attributes"]["year"] for r in nodes.collect()} == {str(i): str(i) for i in range(70)}
+    assert [r["sentence"] for r in edges.orderBy("pos").collect()] == [f"<{i}>" for i in range(500)]
