@@ -81,3 +81,14 @@ def test_gexf_in_several_files(spark, tmp_path):
     nodes, edges = files.read_gexf(spark, str(tmp_path / "g"))
     assert {r["id"]: r["attributes"]["year"] for r in nodes.collect()} == {str(i): str(i) for i in range(70)}
     assert [r["sentence"] for r in edges.orderBy("pos").collect()] == [f"<{i}>" for i in range(500)]
+
+
+def test_gexf_nodes_without_attributes(spark, tmp_path):
+    """Nodes alone go above the size, and one without attributes stays."""
+    from quillgraph.sources import files
+
+    n = spark.range(90).selectExpr("cast(id as string) as id", "concat('t', id) as title", "if(id % 2 = 0, map('year', '1'), null) as attributes")
+    e = spark.createDataFrame([("1", "2", "s", 1)], "src string, dst string, sentence string, pos bigint")
+    files.write_gexf(n, e, str(tmp_path / "g"), largest=40)
+    nodes, edges = files.read_gexf(spark, str(tmp_path / "g"))
+    assert sorted(int(r["id"]) for r in nodes.collect()) == list(range(90)) and edges.count() == 1
