@@ -101,9 +101,10 @@ def s11(t: Tables) -> DataFrame:
 
 
 def _gexf(t: Tables) -> str:
-    path = shared_path(t.spark)
-    nodes = t.nodes.select("id", F.concat(F.lit('a "title" & <'), F.col("id").cast("string")).alias("title"), F.create_map(F.lit("year"), (F.col("id") % 30 + 1990).cast("string")).alias("attributes"))
-    files.write_gexf(nodes, t.edges, path)
+    path, edges = shared_path(t.spark), written(t.edges, 16 << 20)
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    nodes = ids.select("id", F.concat(F.lit('a "title" & <'), F.col("id").cast("string")).alias("title"), F.create_map(F.lit("year"), (F.col("id") % 30 + 1990).cast("string")).alias("attributes"))
+    files.write_gexf(nodes, edges, path)
     return path
 
 
@@ -112,7 +113,7 @@ def s12(t: Tables) -> DataFrame:
     from pyspark.sql import Window
 
     _, e = files.read_gexf(t.spark, _gexf(t))
-    e = written(e.withColumn("file", F.shiftright("pos", 32)))
+    e = written(e.withColumn("file", F.shiftright("pos", 32)), 16 << 20)
     # rows are numbered inside their file; one row a file is numbered through
     before = e.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("file").orderBy("pos")) + F.col("before")

@@ -9,6 +9,7 @@ import tarfile
 from collections.abc import Iterator
 from functools import reduce
 from html import unescape
+from itertools import accumulate, batched
 
 import pandas as pd
 import pyarrow as pa
@@ -104,6 +105,7 @@ def content_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 _GEXF_TAG = re.compile(r"<(node|edge)\b([^>]*?)(/>|>(.*?)</\1>)", re.S)
+_GEXF_NODE = re.compile(r"<(node)\b([^>]*?)(/>|>(.*?)</node>)", re.S)
 _GEXF_ATTR = re.compile(r"""(\w+)=(?:"([^"]*)"|'([^']*)')""")
 
 
@@ -118,33 +120,42 @@ def _attributes(tag: str) -> dict[str, str]:
 def read_gexf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, label, attributes map), edges (src, dst, sentence, pos)) of GEXF files, plain or gzipped; the sentence falls back to the label.
 
-    pos has the file's number, in the order of names, times 2^32, plus the place in the file. A file is read whole.
+    pos has the file's number, in the order of names, times 2^32, plus the place in the file. A file is read whole; nodes pass over edges.
     """
     found = spark.read.format("binaryFile").load(path)
     number = {name: i for i, name in enumerate(sorted(r["path"] for r in found.select("path").toLocalIterator()))}
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def elements(raw: bytes, tag: re.Pattern, kind: str) -> Iterator[tuple[int, dict[str, str]]]:
+        text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
+        defined = [_attributes(x) for x in re.findall(r"<attribute\b[^>]*>", text)]
+        names = {d.get("id", ""): d.get("title", "") for d in defined}
+        for i, m in enumerate(tag.finditer(text)):
+            if m[1] == kind:
+                a = _attributes(m[2])
+                for x in map(_attributes, re.findall(r"<attvalue\b[^>]*>", m[4] or "")):
+                    a[names.get(x.get("for", ""), x.get("for", ""))] = x.get("value", "")
+                yield i, a
+
+    def rows(b: pa.RecordBatch, tag: re.Pattern, kind: str) -> Iterator[tuple[int, list[int], list[dict[str, str]]]]:
+        for name, content in zip(b.column("path"), b.column("content"), strict=True):
+            for some in batched(elements(content.as_py(), tag, kind), 20_000):
+                yield number[name.as_py()] << 32, [i for i, _ in some], [a for _, a in some]
+
+    def node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                raw, rows, first = bytes(content), [], number[name] << 32
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
-                defined = [_attributes(x) for x in re.findall(r"<attribute\b[^>]*>", text)]
-                names = {d.get("id", ""): d.get("title", "") for d in defined}
-                for i, m in enumerate(_GEXF_TAG.finditer(text)):
-                    a = _attributes(m[2])
-                    for x in map(_attributes, re.findall(r"<attvalue\b[^>]*>", m[4] or "")):
-                        a[names.get(x.get("for", ""), x.get("for", ""))] = x.get("value", "")
-                    rows.append((m[1], first + i, a))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=["kind", "pos", "a"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["kind", "pos", "a"])
-
-    x = found.select("path", "content").mapInPandas(parse, "kind string, pos bigint, a map<string,string>")
-    a = F.col("a")
-    nodes = x.filter("kind = 'node'").select(a["id"].alias("id"), F.coalesce(a["label"], a["id"]).alias("label"), a.alias("attributes"))
-    edges = x.filter("kind = 'edge'").select(a["source"].alias("src"), a["target"].alias("dst"), F.coalesce(F.nullif(a["sentence"], F.lit("")), a["label"], F.lit("")).alias("sentence"), "pos")
-    return nodes, edges
+            for _, _, some in rows(b, _GEXF_NODE, "node"):
+                own = pa.MapArray.from_arrays(pa.array([0, *accumulate(map(len, some))], pa.int32()), pa.array([k for a in some for k in a], pa.string()), pa.array([v for a in some for v in a.values()], pa.string()))
+                columns = [pa.array([a.get("id") for a in some], pa.string()), pa.array([a.get("label", a.get("id")) for a in some], pa.string()), own]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "attributes"])
+
+    def edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, places, some in rows(b, _GEXF_TAG, "edge"):
+                columns = [[a.get("source") for a in some], [a.get("target") for a in some], [a.get("sentence") or a.get("label", "") for a in some]]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns], pa.array([first + i for i in places], pa.int64())], names=["src", "dst", "sentence", "pos"])
+
+    whole = found.select("path", "content")
+    return whole.mapInArrow(node_rows, "id string, label string, attributes map<string,string>"), whole.mapInArrow(edge_rows, "src string, dst string, sentence string, pos bigint")
 
 
 def _gexf_parts(nodes: DataFrame) -> tuple[dict, Column, Column]:
@@ -173,10 +184,11 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, largest: int = 250
 
     With more than `largest` nodes or edges it has several gzipped files of about so many
     instead, each a whole GEXF document: first nodes, then edges, whose order is that of the files' names.
+    Nodes are computed once; edges up to three times, and so had better be a written table.
     """
-    n, e = nodes, written(edges.select("src", "dst", "sentence", "pos"))
-    most = e.count()
-    if most <= largest and nodes.limit(largest + 1).count() <= largest:
+    n, e = written(nodes.select([c for c in ("id", "title", "attributes") if c in nodes.columns]), 16 << 20), edges.select("src", "dst", "sentence", "pos")
+    several, most = n.count(), e.count()
+    if max(several, most) <= largest:
         gexf_lines(n, e).coalesce(1).write.mode("overwrite").text(path)
         return
     fixed, node, edge = _gexf_parts(n)
@@ -193,7 +205,7 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str, largest: int = 250
 
         return lines.mapInArrow(whole, "line string")
 
-    documents(n, n.count(), [F.col("id").cast("string")], node, (3, 5)).write.mode("overwrite").option("compression", "gzip").text(path)
+    documents(n, several, [F.col("id").cast("string")], node, (3, 5)).write.mode("overwrite").option("compression", "gzip").text(path)
     documents(e, most, [F.col("pos"), F.col("src").cast("string"), F.col("dst").cast("string")], edge, (6, 8)).write.mode("append").option("compression", "gzip").text(path)
 
 

@@ -92,3 +92,50 @@ def test_gexf_nodes_without_attributes(spark, tmp_path):
     files.write_gexf(n, e, str(tmp_path / "g"), largest=40)
     nodes, edges = files.read_gexf(spark, str(tmp_path / "g"))
     assert sorted(int(r["id"]) for r in nodes.collect()) == list(range(90)) and edges.count() == 1
+
+
+def test_gexf_nodes_are_computed_once(spark, tmp_path):
+    """Writing several files, which counts and samples the nodes, doesn't compute them again."""
+    from pyspark.sql import functions as F
+
+    from quillgraph.sources import files
+
+    made = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda i: made.add(1) or True, "boolean")
+    n = spark.range(90).filter(seen("id")).selectExpr("cast(id as string) as id", "concat('t', id) as title")
+    e = spark.createDataFrame([("1", "2", "s", 1)], "src string, dst string, sentence string, pos bigint")
+    files.write_gexf(n, e, str(tmp_path / "g"), largest=40)
+    assert files.read_gexf(spark, str(tmp_path / "g"))[0].count() == made.value == 90
+
+
+def test_gexf_nodes_pass_over_edges(spark, tmp_path):
+    """No edge leaves Python for the nodes, nor a node for the edges; both have what defaults and escapes give."""
+    from quillgraph.sources import files
+
+    (tmp_path / "g.gexf").write_text(
+        """<gexf><graph><attributes class="edge"><attribute id="0" title="sentence"/></attributes><nodes><node id="a" label="A &amp; B"><attvalues>
+        <attvalue for="year" value="1999"/></attvalues></node><node id='b'/><node id="c" label=""></node></nodes><edges><edge source="a" target="b"><attvalues><attvalue for="0" value="&lt;x&gt;"/>
+        </attvalues></edge><edge source="b" target="c" label="l"/><edge source="c" target="a"/></edges></graph></gexf>"""
+    )
+    nodes, edges = files.read_gexf(spark, str(tmp_path / "g.gexf"))
+    for d in (nodes, edges):
+        assert "Filter (" not in d._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in nodes.collect()] == [("a", "A & B", {"id": "a", "label": "A & B", "year": "1999"}), ("b", "b", {"id": "b"}), ("c", "", {"id": "c", "label": ""})]
+    assert [tuple(r) for r in edges.collect()] == [("a", "b", "<x>", 3), ("b", "c", "l", 4), ("c", "a", "", 5)]
+
+
+def test_gexf_tables_have_small_row_groups(spark, monkeypatch):
+    """s13: what a task holds of the edges and nodes that it writes stays far below Parquet's 128 MB."""
+    import pyarrow.parquet as pq
+
+    from quillgraph.operators.tables import written
+    from quillgraph.plans import files as plans
+    from quillgraph.sources import files
+
+    made = written(spark.range(400_000).selectExpr("xxhash64(id) as a", "xxhash64(-id) as b").coalesce(1), 1 << 20)
+    assert pq.ParquetFile(made.inputFiles()[0].removeprefix("file://")).num_row_groups > 3
+    sizes = []
+    for module in (plans, files):
+        monkeypatch.setattr(module, "written", lambda d, group=None: sizes.append(group) or written(d, group))
+    QUERIES["s13_gexf_nodes"](spark, "/root/testdata/sf0.001")
+    assert len(sizes) == 2 and all(x and x <= 16 << 20 for x in sizes)
