@@ -9,20 +9,18 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import latex
 from quillgraph.operators import graph as g
-from quillgraph.operators.resolve import resolved_citations
+from quillgraph.operators.resolve import lookups, with_hits
 from quillgraph.operators.tables import written
 
 
 def cited_edges(papers: DataFrame, title_index: DataFrame, known: DataFrame) -> DataFrame:
     """(src, dst, sentence, pos) of papers (id, tex): citing sentences whose keys resolve to known papers."""
-    s = papers.select("id", F.posexplode(latex.sentences_with_keys("tex")).alias("pos", "s")).select(F.col("id").alias("paper_id"), "pos", "s.sentence", F.explode("s.keys").alias("cite_key"))
-    library = papers.select(F.col("id").alias("paper_id"), F.inline(latex.bibliography("tex")))
-    target = resolved_citations(library, title_index, known)
-    j = s.join(target, ["paper_id", "cite_key"]).filter(F.col("target") != F.col("paper_id"))
-    first = j.groupBy(F.col("paper_id").alias("src"), F.col("target").alias("dst")).agg(F.min_by("sentence", "pos").alias("sentence"), F.min("pos").cast("bigint").alias("pos"))
+    r = latex.references(papers).select("paper_id", "ref", "sentence", "pos", F.inline(lookups(F.col)))
+    # all of a paper's rows are sent to one task once
+    hits = with_hits(r, title_index, known).repartition("paper_id")
+    target = hits.groupBy("paper_id", "ref").agg(F.min_by("hit", F.struct("prio", "hit")).alias("dst"), F.first("sentence").alias("sentence"), F.first("pos").alias("pos")).filter(F.col("dst") != F.col("paper_id"))
     # references that no sentence names are edges without a sentence
-    silent = target.filter(F.col("target") != F.col("paper_id")).select(F.col("paper_id").alias("src"), F.col("target").alias("dst")).distinct().join(first, ["src", "dst"], "left_anti")
-    return first.unionByName(silent.withColumn("sentence", F.lit("")).withColumn("pos", F.lit(2**31).cast("bigint")))
+    return target.groupBy(F.col("paper_id").alias("src"), "dst").agg(F.coalesce(F.min_by("sentence", "pos"), F.lit("")).alias("sentence"), F.coalesce(F.min("pos"), F.lit(2**31)).alias("pos"))
 
 
 def seed_graph(papers: DataFrame, metadata: DataFrame, title_index: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as tx
@@ -14,20 +16,32 @@ def first_hit(keys: DataFrame, index: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.min_by("hit", F.struct("prio", "hit")).alias("hit"), F.min("prio").alias("prio"))
 
 
+#: Fields that hold a paper's id, best first.
+ID_FIELDS = ("eprint", "url", "journal", "booktitle", "note")
+
+
+def lookups(field: Callable[[str], Column]) -> Column:
+    """What an entry is looked up by, as an array of (prio, by_title, key): ids in ID_FIELDS, then the variants of the title."""
+    by_id = F.array(*[F.struct(F.lit(i).alias("prio"), F.lit(False).alias("by_title"), (F.regexp_extract(field(n), r"(\d{4}\.\d{4,5})", 1) if n == "eprint" else tx.marked_id(field(n))).alias("key")) for i, n in enumerate(ID_FIELDS)])
+    keys = F.when(field("title").isNotNull(), tx.title_keys(field("title"))).otherwise(F.array().cast("array<string>"))
+    by_title = F.transform(keys, lambda k, i: F.struct((i + len(ID_FIELDS)).alias("prio"), F.lit(True).alias("by_title"), k.alias("key")))
+    return F.concat(F.filter(by_id, lambda x: x["key"] != ""), by_title)
+
+
+def with_hits(rows: DataFrame, title_index: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with prio, by_title and key: one for each id in known, or in title_index (title_key, id), that has the key, as hit."""
+    index = known.select(F.lit(False).alias("by_title"), F.col("id").alias("key"), F.col("id").alias("hit")).unionByName(title_index.select(F.lit(True).alias("by_title"), F.col("title_key").alias("key"), F.col("id").alias("hit")))
+    return rows.join(index.hint("shuffle_hash"), ["by_title", "key"]).drop("by_title", "key")
+
+
 def resolved_citations(library: DataFrame, title_index: DataFrame, known: DataFrame) -> DataFrame:
     """library (paper_id, cite_key, fields map) to (paper_id, cite_key, target).
 
     Ids in eprint, url, journal, booktitle and note go first, in this order and
     where known; then the variants of the title in title_index (title_key, id).
     """
-    names = ("eprint", "url", "journal", "booktitle", "note")
-    f = library.withColumn("_k", F.struct("paper_id", "cite_key"))
-    from_field = F.array(*[F.struct(F.lit(i).alias("prio"), (F.regexp_extract("fields.eprint", r"(\d{4}\.\d{4,5})", 1) if n == "eprint" else tx.marked_id(F.col("fields")[n])).alias("key")) for i, n in enumerate(names)])
-    by_id = f.select(F.col("_k").alias("id"), F.inline(from_field)).filter("key <> ''")
-    by_title = f.select(F.col("_k").alias("id"), F.posexplode(tx.title_keys(F.col("fields")["title"])).alias("prio", "key")).withColumn("prio", F.col("prio") + len(names))
-    hits = first_hit(by_id, known.select(F.col("id").alias("key"), F.col("id").alias("hit"))).unionByName(first_hit(by_title, title_index.select(F.col("title_key").alias("key"), F.col("id").alias("hit"))))
-    best = hits.groupBy("id").agg(F.min_by("hit", "prio").alias("target"))
-    return best.select("id.paper_id", "id.cite_key", "target")
+    rows = library.select("paper_id", "cite_key", F.inline(lookups(lambda n: F.col("fields")[n])))
+    return with_hits(rows, title_index, known).groupBy("paper_id", "cite_key").agg(F.min_by("hit", F.struct("prio", "hit")).alias("target"))
 
 
 def library_precedence(entries: DataFrame) -> DataFrame:

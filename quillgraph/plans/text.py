@@ -83,13 +83,15 @@ def f33(t: Tables) -> DataFrame:
 @query("g01_seed_graph", "select concat('o', l_orderkey) as src, concat('2401.', lpad(cast(l_partkey as varchar), 5, '0')) as dst, concat('We use \\cite{k', l_partkey, '} in this work.') as sentence from lineitem group by l_orderkey, l_partkey")
 def g01(t: Tables) -> DataFrame:
     """Papers whose LaTeX cites their parts by key; the bibliography names even parts by id and odd ones by title."""
-    n = F.col("l_partkey")
-    key = F.concat(F.lit("k"), n.cast("string"))
     title = lambda c: F.concat(F.lit("On \\emph{part} "), c.cast("string"), F.lit(" and its $\\alpha_2$ Makers"))
-    entry = F.when(n % 2 == 0, F.concat(F.lit("Some title. \\newblock arXiv:"), paper_id(n))).otherwise(F.concat(title(n), F.lit(". \\newblock A Press")))
-    l = t.read("lineitem").select("l_orderkey", F.concat(F.lit("We use \\cite{"), key, F.lit("} in this work.")).alias("s"), F.concat(F.lit("\\bibitem{"), key, F.lit("} A. Author. \\newblock "), entry).alias("b"))
-    papers = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_set("s")).alias("s"), F.sort_array(F.collect_set("b")).alias("b"))
-    tex = F.concat(F.array_join("s", " "), F.lit(" \\begin{thebibliography} "), F.array_join("b", " "), F.lit(" \\end{thebibliography}"))
+    entry = lambda n: F.when(n % 2 == 0, F.concat(F.lit("Some title. \\newblock arXiv:"), paper_id(n))).otherwise(F.concat(title(n), F.lit(". \\newblock A Press")))
+    key = lambda n: F.concat(F.lit("k"), n.cast("string"))
+    each = lambda f: F.sort_array(F.transform("n", f))
+    # numbers are sent, and texts made of them behind that
+    papers = t.read("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("n"))
+    s = each(lambda n: F.concat(F.lit("We use \\cite{"), key(n), F.lit("} in this work.")))
+    b = each(lambda n: F.concat(F.lit("\\bibitem{"), key(n), F.lit("} A. Author. \\newblock "), entry(n)))
+    tex = F.concat(F.array_join(s, " "), F.lit(" \\begin{thebibliography} "), F.array_join(b, " "), F.lit(" \\end{thebibliography}"))
     papers = papers.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("id"), tex.alias("tex"))
     parts = t.read("part").select("p_partkey", paper_id(F.col("p_partkey")).alias("id"))
     return build.cited_edges(papers, parts.select(tx.title_key(title(F.col("p_partkey"))).alias("title_key"), "id"), parts.select("id")).select("src", short_id(F.col("dst")).alias("dst"), "sentence")

@@ -32,6 +32,24 @@ def test_six_digit_keys(name, spark, tmp_path):
     same(spark, tmp_path, name, ["part", "lineitem"])
 
 
+def test_texts_are_parsed_once(spark):
+    """g01: each paper's text goes to Python once, for its sentences and its bibliography."""
+    plan = QUERIES["g01_seed_graph"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+
+
+def test_cited_edges(spark):
+    """A target's first sentence, whichever of its keys is cited; the least id or title of a key's entries; silent, unknown, own and repeated references."""
+    from quillgraph.operators import build
+
+    tex = r"See \cite{a, none}. Then \cite{b,c} shows. Again \cite{a}. \begin{thebibliography}{9} \bibitem{a} X. \newblock The Long Title 2020. \bibitem{b} Y. \newblock T. \newblock arXiv:2401.00002 \bibitem{c} Z, arXiv:2401.00001 \bibitem{c} Z, ``The long title,'' A. \bibitem{d} W, arXiv:2401.00003 \bibitem{e} V, arXiv:2401.99999 \bibitem{f} U, arXiv:2401.00009 \end{thebibliography}"
+    papers = spark.createDataFrame([("2401.00009", tex), ("p", None), ("q", ""), ("r", r"\bibitem{k} A. \newblock Long title")], "id string, tex string")
+    known = spark.createDataFrame([(f"2401.0000{i}",) for i in (1, 2, 3, 9)], "id string")
+    titles = spark.createDataFrame([("the long title", "2401.00002"), ("long title", "2401.00001"), ("long title", "2401.00003")], "title_key string, id string")
+    got = sorted(map(tuple, build.cited_edges(papers, titles, known).select("src", "dst", "sentence", "pos").collect()))
+    assert got == [("2401.00009", "2401.00001", "Then \\cite{b,c} shows.", 1), ("2401.00009", "2401.00002", "See \\cite{a,none}.", 0), ("2401.00009", "2401.00003", "", 2**31), ("r", "2401.00001", "", 2**31)]
+
+
 #: Queries whose pairs stay in the task that makes them.
 WHOLE = ["a11_score_percentiles", "w13_w15_structural_score", "w26_rank_features", "w54_second_head", "w58_frozen_window", "j15_score_alignment", "w07_zscore", "w28_pair_network", "w53_score_dump", "w36_cold_start_pool"]
 
